@@ -2,6 +2,7 @@
 
 from wakeline.llm.huffman import op1_huffman_ids
 from wakeline.llm.packing import op3_vector_packing
+from wakeline.llm.simhash import op2_simhash
 
-QUERIES = {f.__name__: f for f in (op1_huffman_ids, op3_vector_packing)}
+QUERIES = {f.__name__: f for f in (op1_huffman_ids, op2_simhash, op3_vector_packing)}
 ORACLES: dict[str, str] = {}
