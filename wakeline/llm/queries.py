@@ -3,6 +3,7 @@
 from wakeline.llm.huffman import op1_huffman_ids
 from wakeline.llm.packing import op3_vector_packing
 from wakeline.llm.simhash import op2_simhash
+from wakeline.llm.toxicity import op9_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_huffman_ids, op2_simhash, op3_vector_packing)}
+QUERIES = {f.__name__: f for f in (op1_huffman_ids, op2_simhash, op3_vector_packing, op9_toxicity)}
 ORACLES: dict[str, str] = {}
