@@ -1,9 +1,12 @@
 """The registered queries of the training-data operators."""
 
+from wakeline.llm import topk
+from wakeline.llm.counts import op7_token_counts
 from wakeline.llm.huffman import op1_huffman_ids
 from wakeline.llm.packing import op3_vector_packing
 from wakeline.llm.simhash import op2_simhash
+from wakeline.llm.topk import op10_topk_nra
 from wakeline.llm.toxicity import op9_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_huffman_ids, op2_simhash, op3_vector_packing, op9_toxicity)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_huffman_ids, op2_simhash, op3_vector_packing, op7_token_counts, op9_toxicity, op10_topk_nra)}
+ORACLES: dict[str, str] = {"op10_topk_nra": topk.ORACLE}
