@@ -21,7 +21,7 @@ SPACE = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x
 UNSAFE = rf"{SPACE}{{3}}|{SPACE}{{2}}\z"
 PUNCTUATION = ".,;:!?#*%$&"
 WORDS_A_CALL = 512
-GROUP_BYTES = 1 << 25
+GROUP_BYTES = 1 << 24
 
 
 def gather(pool: np.ndarray, size: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -29,8 +29,9 @@ def gather(pool: np.ndarray, size: np.ndarray, codes: np.ndarray) -> tuple[np.nd
     begins = np.cumsum(size) - size
     n = size[codes]
     ends = np.concatenate([[0], np.cumsum(n)])
-    at = np.repeat(begins[codes] - ends[:-1], n)
-    at += np.arange(ends[-1])
+    kind = np.int32 if max(len(pool), ends[-1]) < 1 << 31 else np.int64
+    at = np.repeat((begins[codes] - ends[:-1]).astype(kind), n)
+    at += np.arange(ends[-1], dtype=kind)
     return pool[at], ends
 
 

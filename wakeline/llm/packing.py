@@ -26,6 +26,7 @@ MAX_TOKENS = 1024
 MAX_SEGMENTS = 128
 MIN_CUT = 4  # a gap of fewer tokens is padded
 GROUP_PIECES = 4096
+BATCH = 4096  # documents a worker holds as ids
 PIECE = "doc_id long, start long, length int, doc_tokens long, prompt long, ids binary, ids_crc32 long, full_id long"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long, ids binary"
 
@@ -37,7 +38,7 @@ def pieces(docs: DataFrame, tokenizer: str, max_tokens: int, max_loss: int, end_
         from pyspark import TaskContext
 
         enc, full = encoder(tokenizer), TaskContext.get().partitionId() << 40
-        for b in batches:
+        for b in (b.slice(i, BATCH) for b in batches for i in range(0, b.num_rows, BATCH)):
             prompts = b.column("prompt").to_pylist()
             rows = {k: [] for k in ("doc_id", "start", "length", "doc_tokens", "prompt", "ids", "ids_crc32", "full_id")}
             for doc, raw, given in zip(b.column("doc_id").to_pylist(), enc.encode(b.column("text")).to_pylist(), prompts):
