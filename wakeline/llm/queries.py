@@ -6,10 +6,11 @@ from wakeline.llm.decontaminate import op5_decontaminate
 from wakeline.llm.html import op6_html_text
 from wakeline.llm.huffman import op1_huffman_ids
 from wakeline.llm.packing import op3_vector_packing
+from wakeline.llm.pii import op8_pii
 from wakeline.llm.secrets import op4_secret_scan
 from wakeline.llm.simhash import op2_simhash
 from wakeline.llm.topk import op10_topk_nra
 from wakeline.llm.toxicity import op9_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_huffman_ids, op2_simhash, op3_vector_packing, op4_secret_scan, op5_decontaminate, op6_html_text, op7_token_counts, op9_toxicity, op10_topk_nra)}
+QUERIES = {f.__name__: f for f in (op1_huffman_ids, op2_simhash, op3_vector_packing, op4_secret_scan, op5_decontaminate, op6_html_text, op7_token_counts, op8_pii, op9_toxicity, op10_topk_nra)}
 ORACLES: dict[str, str] = {"op10_topk_nra": topk.ORACLE}
