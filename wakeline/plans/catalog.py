@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from wakeline.plans import alert_queries, detector_queries, entity_queries
+from wakeline.plans.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "alert_queries", "detector_queries", "entity_queries", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Which vessels went dark, for how long, and was the reappearance possible: gaps by duration band."""
+    return QUERIES["r2_gap_bands"](spark, sf_dir)
