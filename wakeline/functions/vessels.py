@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 import pyspark.sql.functions as F
 from pyspark.sql import Column
+from pyspark.sql.types import DoubleType
 
 # Lower bound of deadweight, fastest plausible speed and speed that proves a spoof (knots).
 SPEED_CLASSES = ((200_000, 18.0, 22.0), (120_000, 19.0, 23.0), (80_000, 20.0, 24.0), (60_000, 20.0, 24.0))
@@ -82,7 +83,7 @@ def indel_ratio(a: str, b: str) -> float:
     return 200.0 * row[-1] / (len(a) + len(b))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def token_sort_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Similarity of two names after their words are sorted."""
     order = lambda s: " ".join(sorted((s or "").split()))
