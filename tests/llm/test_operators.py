@@ -305,7 +305,7 @@ def test_alignment_matches_plain_smith_waterman():
         assert decontaminate.align(np.array(a), [np.array(b), np.array([9])])[0] == max(map(max, h))
 
 
-PAGE = '<html><head><title>T</title><style>p{}</style></head><body><nav><a href="/a">Menu</a></nav><div class="ad">Buy</div>{}<footer>&copy; x</footer></body></html>'
+PAGE = '<html><head><title>T</title><style>p{{}}</style></head><body><nav><a href="/a">Menu</a></nav><div class="ad">Buy</div>{}<footer>&copy; x</footer></body></html>'
 
 
 def test_html_extraction(spark):
