@@ -56,10 +56,11 @@ class Encoder:
         got = [np.asarray(e.ids, "<u2") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         return np.concatenate([np.empty(0, "<u2"), *got]), np.array([len(x) for x in got], np.int64)
 
-    def _joined(self, words: list[str], sep: str) -> tuple[np.ndarray, np.ndarray]:
+    def _joined(self, words: pa.Array, sep: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids of sep + word for words without white space, and their counts."""
-        calls = [sep + sep.join(words[i : i + WORDS_A_CALL]) for i in range(0, len(words), WORDS_A_CALL)]
-        ids, _ = self._whole(calls)
+        cuts = pa.array([*range(0, len(words), WORDS_A_CALL), len(words)], pa.int32())
+        calls = pc.binary_join(pa.ListArray.from_arrays(cuts, words), sep)
+        ids, _ = self._whole([sep + x for x in calls.to_pylist()])
         first = np.flatnonzero((self.opens if sep == " " else self.newline)[ids])
         return ids, np.diff(first, append=len(ids))
 
@@ -70,8 +71,9 @@ class Encoder:
         core = pc.ascii_rtrim(body, characters=PUNCTUATION)
         cut = np.asarray(pc.utf8_is_alpha(core))
         core = pc.if_else(pa.array(cut), core, body)
-        tail = pc.replace_substring_regex(body, rf"^.*?([{PUNCTUATION}]*)\z", r"\1")
-        tail = pc.if_else(pa.array(cut), tail, "").dictionary_encode()
+        ends = pa.array(cut & np.asarray(pc.not_equal(core, body)))
+        tail = pc.replace_substring_regex(body.filter(ends), rf"^.*?([{PUNCTUATION}]*)\z", r"\1")
+        tail = pc.replace_with_mask(pa.array([""], body.type).take(pa.array(np.zeros(len(body), np.int32))), ends, tail).dictionary_encode()
         alone = np.asarray(pc.or_(pc.equal(core, ""), pc.match_substring_regex(core, SPACE)))
         kind = np.where(alone, 2, np.where(broken, 1, 0))
         pools, sizes, leaf, base = [], [], np.empty(len(chunks), np.int64), 0
@@ -83,7 +85,7 @@ class Encoder:
                 leaf[rows] = base + np.arange(len(rows))
             else:
                 words = core.take(pa.array(rows)).dictionary_encode()
-                ids, n = self._joined(words.dictionary.to_pylist(), "\n" if k else " ")
+                ids, n = self._joined(words.dictionary, "\n" if k else " ")
                 leaf[rows] = base + np.asarray(words.indices)
             pools.append(ids)
             sizes.append(n)

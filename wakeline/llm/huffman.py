@@ -104,46 +104,46 @@ class Code:
 
     def __init__(self, lengths: dict[int, int]):
         self.length, self.code = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.uint64)
-        self.symbols, self.bits = np.zeros(1 << MAX_BITS, np.uint16), np.zeros(1 << MAX_BITS, np.int64)
+        self.entry = np.zeros(1 << MAX_BITS, np.uint32)  # by the next MAX_BITS bits: the token and, above it, its length
         at = 0
         for size, token in sorted((v, k) for k, v in lengths.items()):
             width = 1 << (MAX_BITS - size)
-            self.length[token], self.code[token] = size, at >> (MAX_BITS - size)
-            self.symbols[at : at + width], self.bits[at : at + width] = token, size
+            self.length[token], self.code[token] = size, at << (48 - MAX_BITS)  # left-aligned in 48 bits
+            self.entry[at : at + width] = size << 16 | token
             at += width
 
     def encode(self, ids: np.ndarray, starts: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
-        """Payload of byte-aligned blocks that begin at `starts`, their byte bounds, each id's bit within its block."""
+        """Payload of byte-aligned blocks that begin at `starts`, their byte bounds, each id's bit in the payload."""
         size = self.length[ids]
         ends = np.cumsum(size)
         count = np.diff(starts, append=len(ids))
         first = (ends - size)[starts]
         n_bytes = (np.append(first[1:], ends[-1]) - first + 7) // 8
         bounds = np.concatenate([[0], np.cumsum(n_bytes)])
-        within = ends - size - np.repeat(first, count)
-        at = within + np.repeat(8 * bounds[:-1], count)
+        at = ends - size
+        at += np.repeat(8 * bounds[:-1] - first, count)
         word = at >> 5
-        value = self.code[ids] << (48 - size - (at & 31)).astype(np.uint64)
+        value = self.code[ids] >> (at & 31).view(np.uint64)
         heads = np.flatnonzero(np.diff(word, prepend=-1))
         out = np.zeros(word[-1] + 2, np.uint64)
         out[word[heads]] = np.bitwise_or.reduceat(value >> np.uint64(16), heads)
         out[word[heads] + 1] |= np.bitwise_or.reduceat((value & np.uint64(0xFFFF)) << np.uint64(16), heads)
-        return out.astype(">u4").tobytes()[: bounds[-1]], bounds, within
+        return out.astype(">u4").tobytes()[: bounds[-1]], bounds, at
 
     def decode(self, payload: np.ndarray, bit: np.ndarray, count: np.ndarray) -> np.ndarray:
         """Ids of stretches of `count` ids that begin at `bit`, in a row; all stretches advance together."""
         b = np.concatenate([payload, np.zeros(3, np.uint8)]).astype(np.uint32)
         window = b[:-2] << 16 | b[1:-1] << 8 | b[2:]
         order = np.argsort(-count, kind="stable")
-        at, left = bit[order].astype(np.int64), count[order]
+        at = bit[order].astype(np.uint32 if 8 * len(payload) < 1 << 31 else np.int64)
         place = (np.cumsum(count) - count)[order]
         out = np.empty(count.sum(), np.uint16)
-        for i in range(int(left[0]) if len(left) else 0):
-            k = np.searchsorted(-left, -i)  # stretches with more than i ids
+        steps = int(count.max()) if len(count) else 0
+        for i, k in enumerate(np.searchsorted(-count[order], -np.arange(steps)).tolist()):  # k stretches have more than i ids
             p = at[:k]
-            seen = window[p >> 3] >> (8 - (p & 7)).astype(np.uint32) & 0xFFFF
-            out[place[:k] + i] = self.symbols[seen]
-            p += self.bits[seen]
+            seen = self.entry[window[p >> 3] >> (8 - (p & 7)).astype(np.uint32) & 0xFFFF]
+            out[place[:k] + i] = seen.astype(np.uint16)
+            p += (seen >> 16).astype(at.dtype)
         return out
 
 
@@ -171,10 +171,10 @@ def write(ids: DataFrame, lengths: dict[int, int], path: str) -> None:
                 k = np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)
                 starts = (bounds[lo:hi] - bounds[lo])[doc] + k * BLOCK
                 count = np.minimum(size[doc] - k * BLOCK, BLOCK)
-                payload, at, within = code.encode(ids, starts)
+                payload, at, bits = code.encode(ids, starts)
                 marks_n = -(-count // STEP)
                 j = np.arange(marks_n.sum()) - np.repeat(np.cumsum(marks_n) - marks_n, marks_n)
-                marks = within[np.repeat(starts, marks_n) + j * STEP]
+                marks = bits[np.repeat(starts, marks_n) + j * STEP] - np.repeat(8 * at[:-1], marks_n)
                 blocks = pa.StructArray.from_arrays(
                     [
                         pa.array(count, pa.int32()),
