@@ -294,6 +294,25 @@ def test_decontamination(spark, none):
     assert decontaminate.matches(frame, bench.limit(0)).count() == 0
 
 
+def test_decontamination_matches_brute_force(spark):
+    rng = random.Random(14)
+    vocabulary = [f"w{i}" for i in range(150)]
+    say = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [say(n) for n in (3, 5, 9, 15, 25, 40, 40, 59)]
+    docs = [say(120) for _ in range(10)]
+    for item in items:
+        for share in (0.1, 0.15, 0.2, 0.25, 0.3):
+            docs.append(say(30) + [f"x{i}" if rng.random() < share else x for i, x in enumerate(item)] + say(30))
+        docs += [say(20) + [f"x{i}" if i % 5 == 4 else x for i, x in enumerate(item)], [y for x in item for y in (x, "put")], [x for i, x in enumerate(item) if i % 4] + say(9)]
+    code = {w: i for i, w in enumerate(sorted({w for t in docs + items for w in t}))}
+    coded = [np.array([code[w] for w in t]) for t in docs]
+    want = {(d, i): s / (2 * len(t)) for i, t in enumerate(items) for d, s in enumerate(decontaminate.align(np.array([code[w] for w in t]), coded).tolist()) if s >= len(t)}
+    frame = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(docs)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id): r.score for r in decontaminate.matches(frame, bench).collect()} == want
+    assert sum(i == 5 for _, i in want) >= 7
+
+
 def test_alignment_matches_plain_smith_waterman():
     rng = random.Random(6)
     for _ in range(30):

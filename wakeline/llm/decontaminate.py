@@ -1,65 +1,64 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-Every passage of the documents that shares MIN_HITS different word n-grams with a test item on nearby
-diagonals is a candidate. The n-grams' document frequencies over the whole corpus rank each item's
-n-grams; the rarer half are its seeds, and candidates without one fall away. The rest are aligned with
-the item, word by word; the score is the best local alignment as a share of the item's alignment with
-itself. Items go to the tasks in blocks of ITEMS, so what is sent has a bound; a pass over the
-documents is made for each block.
-
-Null or empty texts and items of fewer than NGRAM words match nothing. Repeated items and documents
-give a row each per different (doc_id, item_id). Null doc_ids and item_ids are matched and returned as
-null. An empty table on either side gives no rows. Only doc_id, item_id and text are read.
+"""Benchmark decontamination: word-pair seeds with a count that loses nothing, then Smith-Waterman alignment.
+
+The score of a passage is its best local alignment with a test item, word by word, as a share of the
+item's alignment with itself. The seeds of an item are all its neighbouring word pairs; a document has
+a pair's words next to each other or with one word between. In an alignment of score t or more over an
+item of n words, a changed or missing word breaks two pairs and costs 3 points of 2 a word, two or more
+words put in break one pair and cost 2; so min((4 t - 1) / 3, t) n - 1 pairs stay (a third of the
+words, less one, for t = 0.5; of three words also the outer two are a pair), on diagonals at most 2 n (1 - t) apart. Every stretch with so many is
+aligned, whatever the pairs' frequencies, so that only the score decides.
+
+Items go to the tasks in blocks of ITEMS, so what is sent has a bound; a pass over the documents is
+made for each block.
+
+Null or empty texts and items of fewer than LEAST_WORDS words match nothing. Repeated items and
+documents give a row each per different (doc_id, item_id). Null doc_ids and item_ids are matched and
+returned as null. An empty table on either side gives no rows. Only doc_id, item_id and text are read.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyspark.sql.functions as F
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 
-from wakeline.llm.common import materialise, table
+from wakeline.llm.common import table
 from wakeline.llm.counts import slices
 from wakeline.llm.toxicity import words
 
-NGRAM = 3
-MIN_HITS = 3
-BAND = 12  # words by which the diagonals of one passage may differ
+LEAST_WORDS = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 LEAST_SCORE = 0.5
 ITEMS = 20_000
+CELLS = 1 << 20  # words of the windows aligned at once
 
 
 class Items:
-    """The n-grams of a block of items."""
+    """The word pairs of a block of items, and what an alignment of score `least` keeps of them."""
 
-    def __init__(self, ids: list[int | None], texts: list[str | None]):
+    def __init__(self, ids: list[int | None], texts: list[str | None], least: float = LEAST_SCORE):
         known, codes, bounds = words(pa.array(texts, pa.string()))
         real = np.asarray(pc.not_equal(known, ""))
         self.ids, self.vocabulary = ids, known
         self.words = [c[real[c]] for c in (codes[i:j].astype(np.int64) for i, j in zip(bounds[:-1], bounds[1:]))]
         self.base = len(known) + 1
-        if self.base**NGRAM >= 1 << 63:
-            raise ValueError("too many different words in one block of items")
-        grams = [(g, i, p) for i, w in enumerate(self.words) for p, g in enumerate(self.grams(w).tolist())]
-        flat = np.array(sorted(grams), np.int64).reshape(-1, 3)
-        self.gram, start = np.unique(flat[:, 0], return_index=True)
-        self.first = np.append(start, len(flat))  # places of gram k: first[k] .. first[k + 1]
+        pairs = [(g, i, p) for i, w in enumerate(self.words) if len(w) >= LEAST_WORDS for apart in ((1, 2) if len(w) == 3 else (1,)) for p, g in enumerate(self.pairs(w, apart).tolist())]
+        flat = np.array(sorted(pairs), np.int64).reshape(-1, 3)
+        self.pair, start = np.unique(flat[:, 0], return_index=True)
+        self.first = np.append(start, len(flat))  # places of pair k: first[k] .. first[k + 1]
         self.item, self.place = flat[:, 1], flat[:, 2]
-        self.need = np.array([min(MIN_HITS, len(set(self.grams(w).tolist()))) for w in self.words])
+        n = [len(w) for w in self.words]
+        self.need = np.array([max(1, math.ceil(min((4 * least - 1) / 3, least) * x - 1 - 1e-9)) for x in n], np.int64)
+        self.band = np.array([math.ceil(2 * x * (1 - least)) for x in n], np.int64)
 
-    def grams(self, w: np.ndarray) -> np.ndarray:
-        """Codes of the n-grams at each place; -1 where a word is unknown."""
-        n = len(w) - NGRAM + 1
-        if n <= 0:
-            return np.empty(0, np.int64)
-        code, sound = np.zeros(n, np.int64), np.ones(n, bool)
-        for k in range(NGRAM):
-            part = w[k : k + n]
-            code, sound = code * self.base + part, sound & (part >= 0)
-        return np.where(sound, code, -1)
+    def pairs(self, w: np.ndarray, apart: int) -> np.ndarray:
+        """Codes of the pairs of each word and the one `apart` places on; -1 where a word is unknown."""
+        a, b = w[:-apart], w[apart:]
+        return np.where((a >= 0) & (b >= 0), a * self.base + b, -1)
 
 
 def align(item: np.ndarray, windows: list[np.ndarray]) -> np.ndarray:
@@ -81,7 +80,7 @@ def align(item: np.ndarray, windows: list[np.ndarray]) -> np.ndarray:
 
 
 def passages(docs: DataFrame, items: Items) -> DataFrame:
-    """Candidates (doc_id, item, grams, window) and, with a null item, partial document frequencies (grams, window = counts)."""
+    """Candidates (doc_id, item, window): the stretches that hold as many of an item's pairs as its alignment must."""
     shared = docs.sparkSession.sparkContext.broadcast(items)
 
     def run(batches):
@@ -92,37 +91,44 @@ def passages(docs: DataFrame, items: Items) -> DataFrame:
             blank = np.asarray(pc.equal(known, ""))[codes]
             owner = np.repeat(np.arange(b.num_rows), np.diff(bounds))[~blank]
             w = ids[codes][~blank]
-            gram = it.grams(w)
-            at = np.searchsorted(it.gram, gram)
-            at[at == len(it.gram)] = 0
-            found = np.flatnonzero((gram >= 0) & (it.gram[at] == gram) & (owner[: len(gram)] == owner[NGRAM - 1 :])) if len(it.gram) and len(gram) else np.empty(0, np.int64)
-            k, doc = at[found], owner[found]
-            pair = np.unique(doc * len(it.gram) + k)
-            df = np.bincount(pair % max(1, len(it.gram)), minlength=len(it.gram))
-            rows = [(None, None, np.flatnonzero(df), df[df > 0])]
+            ks, founds = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for apart in (1, 2):
+                pair = it.pairs(w, apart)
+                at = np.searchsorted(it.pair, pair)
+                at[at == len(it.pair)] = 0
+                if len(it.pair) and len(pair):
+                    founds.append(np.flatnonzero((pair >= 0) & (it.pair[at] == pair) & (owner[:-apart] == owner[apart:])))
+                    ks.append(at[founds[-1]])
+            k, found = np.concatenate(ks), np.concatenate(founds)
             n = it.first[k + 1] - it.first[k]
-            hit = np.repeat(np.arange(len(found)), n)
-            place = np.repeat(it.first[k] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            item, diagonal = it.item[place], found[hit] - it.place[place]
-            order = np.lexsort((diagonal, item, doc[hit]))
-            hit, item, diagonal = hit[order], item[order], diagonal[order]
-            new = (np.diff(doc[hit], prepend=-1) != 0) | (np.diff(item, prepend=-1) != 0) | (np.diff(diagonal, prepend=-(1 << 40)) > BAND)
-            cuts = np.append(np.flatnonzero(new), len(hit))
+            entry = np.repeat(it.first[k] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            item, place, at = it.item[entry], it.place[entry], np.repeat(found, n)
+            doc, diagonal = owner[at], at - place
+            order = np.lexsort((diagonal, item, doc))
+            doc, item, place, diagonal = doc[order], item[order], place[order], diagonal[order]
+            i = np.arange(len(doc))
+            j = i + it.need[item] - 1
+            z = np.minimum(j, len(doc) - 1)
+            held = (j < len(doc)) & (doc[z] == doc) & (item[z] == item) & (diagonal[z] - diagonal <= it.band[item])
+            i, j = i[held], j[held]
+            inside = np.cumsum(np.bincount(i, minlength=len(doc) + 1) - np.bincount(j + 1, minlength=len(doc) + 1))[:-1] > 0
+            hits = np.flatnonzero(inside)
+            doc, item, place, diagonal = doc[hits], item[hits], place[hits], diagonal[hits]
+            new = (np.diff(doc, prepend=-1) != 0) | (np.diff(item, prepend=-1) != 0) | (np.diff(diagonal, prepend=0) > it.band[item])
+            cuts = np.append(np.flatnonzero(new), len(hits))
             ends = np.searchsorted(owner, np.arange(b.num_rows + 1))
+            rows = []
             for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                own = np.unique(k[hit[i:j]])
-                if len(own) < it.need[item[i]]:
+                d, m = doc[i], item[i]
+                if len(set(place[i:j].tolist())) < it.need[m]:
                     continue
-                d, length = doc[hit[i]], len(it.words[item[i]])
-                lo, hi = max(ends[d], diagonal[i] - BAND), min(ends[d + 1], diagonal[j - 1] + length + BAND)
-                rows.append((d, item[i], own, w[lo:hi]))
+                lo, hi = max(ends[d], diagonal[i] - it.band[m]), min(ends[d + 1], diagonal[j - 1] + len(it.words[m]) + it.band[m])
+                rows.append((d, m, w[lo:hi]))
             where = pa.array([r[0] for r in rows], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").take(where), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.list_(pa.int32())), pa.array([r[3] for r in rows], pa.list_(pa.int32()))], ["doc_id", "item", "grams", "window"]
-            )
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(where), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.list_(pa.int32()))], ["doc_id", "item", "window"])
 
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return texts.mapInArrow(run, "doc_id long, item int, grams array<int>, window array<int>")
+    return texts.mapInArrow(run, "doc_id long, item int, window array<int>")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
@@ -134,16 +140,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE) -
     out = None
     for part in range(parts):
         own = sorted(((r.item_id, r.text) for r in named.filter(F.col("part") == part).collect()), key=str)  # ITEMS or so
-        items = Items([i for i, _ in own], [t for _, t in own])
-        found = materialise(passages(docs, items), "passages")
-        counted = found.filter("item is null").select(F.explode(F.arrays_zip("grams", "window")).alias("x")).groupBy(F.col("x.grams").alias("gram")).agg(F.sum("x.window").alias("df"))
-        places = spark.createDataFrame(sorted({(int(k), int(i)) for k, (a, z) in enumerate(zip(items.first[:-1], items.first[1:])) for i in items.item[a:z]}), "gram int, item int")
-        order = Window.partitionBy("item").orderBy(F.coalesce("df", F.lit(0)), "gram")
-        ranked = places.join(counted, "gram", "left").withColumn("rank", F.row_number().over(order)).withColumn("n", F.count("*").over(Window.partitionBy("item")))
-        seeds = ranked.filter(2 * F.col("rank") <= F.col("n") + 1).select("item", F.col("gram").alias("seed"))
-        rows = found.filter("item is not null").withColumn("row", F.monotonically_increasing_id())
-        seeded = rows.select("row", "item", F.explode("grams").alias("seed")).join(F.broadcast(seeds), ["item", "seed"], "left_semi")  # as long as the block's items
-        rows = rows.join(seeded.select("row").distinct(), "row", "left_semi")
+        items = Items([i for i, _ in own], [t for _, t in own], least)
         shared = spark.sparkContext.broadcast((items.ids, items.words))
 
         def score(batches, shared=shared):
@@ -155,14 +152,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE) -
                     by.setdefault(i, {}).setdefault(tuple(w), []).append(r)
                 got = np.zeros(len(item))
                 for i, own in by.items():
-                    keys = sorted(own, key=len)
-                    for at in range(0, len(keys), 256):
-                        few = keys[at : at + 256]
+                    keys = sorted(own, key=len, reverse=True)
+                    while keys:
+                        n = max(1, min(256, CELLS // len(keys[0])))
+                        few, keys = keys[:n], keys[n:]
                         for w, s in zip(few, align(texts[i], [np.array(x, np.int64) for x in few]).tolist()):
                             got[own[w]] = s / (MATCH * len(texts[i]))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([ids[i] for i in item], pa.int64()), pa.array(got)], ["doc_id", "item_id", "score"])
 
-        scored = rows.select("doc_id", "item", "window").mapInArrow(score, "doc_id long, item_id long, score double").filter(F.col("score") >= least)
+        scored = passages(docs, items).mapInArrow(score, "doc_id long, item_id long, score double").filter(F.col("score") >= least)
         out = scored if out is None else out.unionByName(scored)
     return out.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"))
 
