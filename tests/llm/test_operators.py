@@ -181,6 +181,31 @@ def test_near_duplicates_components(docs, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def test_near_dedup_stage_links_what_is_similar(spark):
+    import corpus_pipeline
+
+    rng = random.Random(31)
+    base = [[f"w{rng.randrange(5000)}" for _ in range(rng.randrange(60, 300))] for _ in range(40)]
+    texts = [" ".join(t) for t in base]
+    for t in base:  # one word in 60 changed: similarity of about 0.84
+        for k in range(3):
+            texts.append(" ".join(f"n{k}x{i}" if i % 60 == 20 + k else w for i, w in enumerate(t)))
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)] + [(None, texts[0], "en", "s", 1), (None, "only here", "en", "s", 1), (7, "another text of the same id", "en", "s", 1), (None, None, "en", "s", 0), (900, "", "en", "s", 0)]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (r[1] or "").split()) else set() for r in rows]
+    near = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if near(sets[i], sets[j]) and root[i] != root[j]:
+                root = [root[j] if r == root[i] else r for r in root]
+    best = {}
+    for i, r in enumerate(rows):
+        best[root[i]] = min(best.get(root[i], (True, 1, "")), (r[0] is None, r[0] or 0, r[1] or ""))
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3), "").collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in got) == sorted(best[r] for r in set(root))
+    assert len(got) < 60
+
+
 def naive_secrets(t):
     out = []
     for m in re.finditer(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t):
