@@ -338,6 +338,26 @@ def test_decontamination_matches_brute_force(spark):
     assert sum(i == 5 for _, i in want) >= 7
 
 
+def test_stages_judge_rows_not_ids(spark, monkeypatch):
+    import corpus_pipeline
+
+    rng = random.Random(15)
+    say = lambda n: " ".join(f"w{rng.randrange(300)}" for _ in range(n))
+    item = say(30)
+    bad = [say(20) + " vile nasty rotten vile nasty rotten" for _ in range(40)]
+    good = [say(26) for _ in range(80)]
+    labelled = [(i, t, "en", "s", 1) for i, t in enumerate(bad + good)]
+    frames = {"labels": spark.createDataFrame([(i, 1, int(i < 40)) for i in range(120)], "doc_id long, quality int, toxic int"), "benchmark": spark.createDataFrame([(1, item)], "item_id long, text string")}
+    monkeypatch.setattr(corpus_pipeline, "table", lambda _, __, name: frames[name])
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    mixed = labelled + [(None, bad[0], "en", "s", 1), (None, good[0] + " no id", "en", "s", 1), (200, bad[1], "en", "s", 1), (200, good[1] + " same id as a toxic one", "en", "s", 1)]
+    got = {(r.doc_id, r.text) for r in corpus_pipeline.toxicity(spark, spark.createDataFrame(mixed, schema), "").collect()}
+    assert got == {(r[0], r[1]) for r in mixed if "vile" not in r[1]}
+    rows = [(None, item), (None, good[0]), (1, item), (1, good[1]), (2, good[2])]
+    got = {(r.doc_id, r.text) for r in corpus_pipeline.decontamination(spark, spark.createDataFrame([(*r, "en", "s", 1) for r in rows], schema), "").collect()}
+    assert got == {r for r in rows if r[1] != item}
+
+
 def test_alignment_matches_plain_smith_waterman():
     rng = random.Random(6)
     for _ in range(30):

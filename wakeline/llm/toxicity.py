@@ -154,6 +154,16 @@ def score(docs: DataFrame, model: Ordinal) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, p_toxic double, p_severe double, severity double, toxic boolean")
 
 
+def clean(docs: DataFrame, model: Ordinal) -> DataFrame:
+    """The rows of docs that are not toxic."""
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(model.probabilities(b.column("text"))[:, 0] < REJECT))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score(docs, train(docs, table(spark, sf_dir, "labels")))
