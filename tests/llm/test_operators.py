@@ -380,6 +380,12 @@ def test_html_extraction(spark):
     assert got == [(-1, "plain & text"), (1, text), (1, text), (2, ""), (3, ""), (4, "broken page<"), (6, "deep")]
 
 
+def test_a_class_name_or_open_head_does_not_empty_a_page():
+    for page in ("<body class='no-sidebar'><p>Story</p></body>", "<body><article class='related-post'><p>Story</p></article></body>", "<html class='has-menu'><main id='comments'><p>Story</p></main></html>", "<html><head><title>T</title><body><p>Story</p></body></html>"):
+        assert html.main_text(page, set()) == "Story"
+    assert html.main_text("<body><div class='sidebar'>Menu</div><p>Story</p></body>", set()) == "Story"
+
+
 def test_style_tree_removes_what_pages_share(spark):
     pages = [(i, f"http://site.example/{i}", f"<body><div class='top'>Same on all</div><div class='story'><p>Story number {i} here</p></div></body>") for i in range(8)]
     got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}

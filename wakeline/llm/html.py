@@ -39,6 +39,7 @@ RAW = frozenset("script style textarea title noscript iframe xmp noembed noframe
 DROPPED = frozenset("head script style noscript template iframe svg canvas object form button select textarea title nav footer aside menu dialog".split())
 HINTS = frozenset("ad ads advert adverts advertisement banner sponsor sponsored promo sidebar menu nav navbar navigation breadcrumb breadcrumbs footer cookie cookies consent gdpr notice notices alert popup modal newsletter subscribe comment comments replies share social related recommended widget toolbar masthead copyright".split())
 ARTICLE = frozenset(("article", "main"))
+UNHINTED = ARTICLE | {"html", "body"}  # whatever their class, as they hold the page's text
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 P_ENDS = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
@@ -88,10 +89,12 @@ def blocks(page: str) -> list[tuple[str, int, str]]:
             stack.pop()
             if name == "tr" and stack[-1][0] == "tr":
                 stack.pop()
+        if name == "body":  # ends a head that is left open
+            del stack[next((i for i, x in enumerate(stack) if x[0] == "head"), len(stack)) :]
         _, path, shown = stack[-1]
         marks = [f"{k.lower()}={a or b or c}" for k, a, b, c in NAMED.findall(attributes)] if attributes else []
         if shown:
-            hinted = marks and not HINTS.isdisjoint(w for x in marks for w in WORD.findall(x.lower().partition("=")[2]))
+            hinted = marks and name not in UNHINTED and not HINTS.isdisjoint(w for x in marks for w in WORD.findall(x.lower().partition("=")[2]))
             if name in DROPPED or hinted or (name == "header" and shown != 1):
                 shown = 0
             elif name in ARTICLE:
