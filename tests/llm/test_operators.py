@@ -114,7 +114,7 @@ def test_packing_keeps_three_limits():
     seen = np.zeros(len(length), int)
     bins: dict[int, list] = {}
     for i, a, n, b, o in placed:
-        assert a == seen[i] or True
+        assert a == seen[i]  # a piece is cut from its front
         seen[i] += n
         bins.setdefault(b, []).append((n, max(0, a + n - max(a, int(loss_from[i])))))
     assert (seen == length).all()
@@ -380,19 +380,87 @@ def test_html_extraction(spark):
     assert got == [(-1, "plain & text"), (1, text), (1, text), (2, ""), (3, ""), (4, "broken page<"), (6, "deep")]
 
 
+def shown(page):
+    return " ".join(text for _, _, kind, text in html.parse(page)[0] if kind != html.NOISE)
+
+
 def test_a_class_name_or_open_head_does_not_empty_a_page():
     for page in ("<body class='no-sidebar'><p>Story</p></body>", "<body><article class='related-post'><p>Story</p></article></body>", "<html class='has-menu'><main id='comments'><p>Story</p></main></html>", "<html><head><title>T</title><body><p>Story</p></body></html>"):
-        assert html.main_text(page, set()) == "Story"
-    assert html.main_text("<body><div class='sidebar'>Menu</div><p>Story</p></body>", set()) == "Story"
+        assert shown(page) == "Story"
+    assert shown("<body><div class='sidebar'>Menu</div><p>Story</p></body>") == "Story"
+
+
+def test_hidden_and_inline_adverts_go():
+    assert shown('<p>d <span class="ad">ADV <span>x</span> y</span> e</p>') == "d e"
+    assert shown("<div hidden>x</div><p>a <span hidden>b</span> c<div style='color:red; display: none'>q</div>") == "a c"
+    assert shown('<p title="a>b">ok <!-- no > --><![CDATA[no]]>&lt;yes') == "ok <yes"
+
+
+@pytest.mark.parametrize("part", ['<a "', "<![CDATA[", '<a ">"', "<script></script ", "<div>", "<!--x", "<p ", "<span hidden>", "</b>"])
+def test_broken_markup_is_read_in_linear_time(part):
+    import time
+
+    began = time.process_time()
+    html.parse(part * (1_000_000 // len(part)))
+    html.parse("<div>" * 50_000 + "</x>" * 50_000)
+    assert time.process_time() - began < 20  # a quadratic scan takes many minutes
+
+
+SITE = {
+    "plain": "<body><div class='top'>Same on all</div><div class='story'><p>Story number {i} here</p></div></body>",  # neither article nor main, no telling names
+    "article": "<body><article><h1>Head {i}</h1><p>Text {i}</p><p>Read more on our site</p></article><div>See also {i}</div><div>Join us today</div></body>",
+}
 
 
 def test_style_tree_removes_what_pages_share(spark):
-    pages = [(i, f"http://site.example/{i}", f"<body><div class='top'>Same on all</div><div class='story'><p>Story number {i} here</p></div></body>") for i in range(8)]
-    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
-    assert got == {i: f"Story number {i} here" for i in range(8)}
+    pages = [(i, f"http://plain.example/{i}", SITE["plain"].format(i=i)) for i in range(10)]
+    pages += [(100 + i, f"http://story.example/{i}", SITE["article"].format(i=i)) for i in range(20)]
+    pages += [(200 + i, f"http://copies.example/{i}", SITE["article"].format(i=7)) for i in range(20)]  # one text on every page of a host
+    pages += [(300, "http://alone.example/", SITE["article"].format(i=300))]  # the tree over all hosts knows its template
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    want = {i: f"Story number {i} here" for i in range(10)}
+    want |= {100 + i: f"Head {i} Text {i}" for i in range(20)}
+    want |= {200 + i: "Head 7 Text 7 Read more on our site" for i in range(20)}
+    for keys in (html.BROADCAST_KEYS, 0):  # sent to the tasks, and joined by shuffle
+        got = {r.page_id: r.text for r in html.extract(frame, broadcast_keys=keys).collect()}
+        assert {k: got[k] for k in want if k < 200} == {k: v for k, v in want.items() if k < 200}
+        assert all(got[200 + i].startswith(want[200]) for i in range(20))
+        assert "Head 300 Text 300" in got[300]
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_style_tree_against_brute_force(spark):
+    rng = random.Random(12)
+    pages = []
+    for site in range(3):
+        for i in range(30):
+            parts = [f"<div class='{c}'>{c} {rng.randrange(k)}</div>" for c, k in (("a1", 2), ("b1", 12), ("c1", 400)) if rng.random() < 0.9]
+            pages.append((len(pages), f"http://h{site}.example/{i}", "<body>" + "".join(parts) + "</body>"))
+    found = {p: html.parse(h)[0] for p, _, h in pages}
+    kinds = {p: html.parse(h)[1] for p, _, h in pages}
+    want = {}
+    for site in range(3):
+        own = {}
+        for p, url, _ in pages:
+            if f"//h{site}." in url:
+                own.setdefault(tuple(t for *_, t in found[p]), (found[p], kinds[p]))  # distinct pages
+        for blocks, _ in own.values():
+            for path, parent, _, text in blocks:
+                m = sum(any(b[0] == path for b in bs) for bs, _ in own.values())
+                n = sum(any(b[0] == path and b[3] == text for b in bs) for bs, _ in own.values())
+                seen: dict = {}
+                for _, styles in own.values():
+                    for q, s in styles:
+                        if q == parent:
+                            seen[s] = seen.get(s, 0) + 1
+                total = sum(seen.values())
+                presentation = -sum(x / total * math.log(x / total, total) for x in seen.values()) if total > 1 else 1.0
+                want[f"h{site}.example", path, html.digest(text)] = (1 - math.log(n, m)) * (1 + presentation) / 2
+    seen = html.parsed(spark.createDataFrame(pages, "page_id long, url string, html string")).persist()
+    got = {(r.host, r.path, r.content): r.importance for r in html.style_tree(seen).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - v) < 1e-9 for k, v in want.items())
+
+
 def test_toxicity_on_held_out_rows(spark, none):
     rng = random.Random(8)
     plain = [f"word{i}" for i in range(300)]

@@ -1,40 +1,56 @@
 """HTML extraction by site style trees.
 
-The pages of a host are merged into one tree: a node is a path of block elements with their class, id
-and role. The importance of a node's content is the entropy of its texts over the host's distinct
-pages (1: every page has its own text, 0: all have the same); the importance of an inner node is the
-mean of the nodes below, weighted by their occurrences. A branch is removed from each page at the
-highest node whose importance is under IMPORTANT. Presentation settles what entropy cannot see: nodes
-whose element or class names a menu, advert, form and so on have importance 0 whatever they hold, nodes
-inside an article or main element have importance 1, so that copied articles stay, and on pages with
-an article what lies beside it has 0. Nodes seen on fewer than LEAST_PAGES distinct pages of a host
-take their importance from the tree over all hosts.
+The pages of a host are merged into one tree. A node is a path of block elements with their class, id
+and role. Its content nodes are the texts found there, its presentation nodes the sequences of child
+elements found there. Over the host's m distinct pages with such a node
+
+- the importance of a content node is 1 - log_m(n), n being the distinct pages that hold it there (1: one
+  page alone has it, 0: all have it);
+- the importance of a presentation is the entropy of the node's child sequences to the base m (0: the
+  same on every page);
+- a block has content importance x (1 + presentation importance of the parent) / 2, times the weight of its
+  markup: NOISE for elements and class words of menus, adverts, forms and so on, BESIDE for unmarked
+  blocks of a page that has an article or main element, ARTICLE_WEIGHT inside one, else 1.
+
+Blocks under IMPORTANT are removed from each page; a branch goes when all its blocks do. The weights only
+tip the scale where entropy may speak: inside an article only what nearly all pages share goes, so copied
+articles stay (pages are distinct by their text without NOISE, so copies count once). NOISE is under
+IMPORTANT, as the contract excludes menus and adverts however varied. Nodes of fewer than LEAST_PAGES distinct
+pages of a host take their importance from the tree over all hosts.
 
 Null and empty html gives an empty text, a null url the host ''. Repeated pages each give a row. Only
-page_id, url and html are read. Very long pages are parsed in one linear pass.
+page_id, url and html are read. Very long pages are parsed in one linear pass, broken markup included.
 """
 
 from __future__ import annotations
 
 import html
 import re
-import zlib
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession
 
 from wakeline.llm.common import materialise, table
 
 IMPORTANT = 0.3
-LEAST_PAGES = 3
-BROADCAST_BYTES = 8 << 20
+LEAST_PAGES = 8
+NOISE, PLAIN, BESIDE, INSIDE = range(4)
+ARTICLE_WEIGHT = 30.0
+WEIGHTS = (0.25, 1.0, 0.5, ARTICLE_WEIGHT)
+BROADCAST_KEYS = 1 << 20  # 8 MB
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+OPEN = re.compile(r"<(?:(!--)|(!\[CDATA\[)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
+QUOTED_END = re.compile(r"""(?>[^>"']+|"[^"]*"|'[^']*')*+>""")
 NAMED = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+UNSEEN = re.compile(r"""(?:^|["'\s])hidden(?=[\s=/]|$)|(?:^|\s)style\s*=\s*["']?[^"'>]*(?:display\s*:\s*none|visibility\s*:\s*hidden)""", re.I)
 WORD = re.compile(r"[a-z]+")
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+UNBROKEN = frozenset("img wbr input link meta".split())  # void elements that do not end a block
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
 DROPPED = frozenset("head script style noscript template iframe svg canvas object form button select textarea title nav footer aside menu dialog".split())
 HINTS = frozenset("ad ads advert adverts advertisement banner sponsor sponsored promo sidebar menu nav navbar navigation breadcrumb breadcrumbs footer cookie cookies consent gdpr notice notices alert popup modal newsletter subscribe comment comments replies share social related recommended widget toolbar masthead copyright".split())
@@ -44,141 +60,249 @@ CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr"
 P_ENDS = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
 
-def blocks(page: str) -> list[tuple[str, int, str]]:
-    """(path, presentation, text) of a page's blocks in order; presentation: 0 boilerplate, 1 article, 2 unknown."""
-    out, parts = [], []
-    stack: list[tuple[str, str, int]] = [("", "", 2)]  # element, path, presentation
+def digest(*parts: str | int) -> int:
+    """A signed 64-bit hash."""
+    import xxhash
+
+    h = xxhash.xxh3_64_intdigest("\0".join(map(str, parts)).encode("utf-8", "replace"))
+    return h - (1 << 64) if h >> 63 else h
+
+
+@lru_cache(maxsize=1 << 16)
+def below(path: int, step: str) -> int:
+    return digest(path, step)
+
+
+@lru_cache(maxsize=64)
+def closing(name: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I)
+
+
+def tags(page: str):
+    """(text before, closing, name, attributes) of each tag in one pass; the name is '' at the end and for comments."""
+    at, end, last = 0, len(page), page.rfind(">")
+    quotes = cdata = True  # whether quoted attributes and CDATA sections still end somewhere
+    text = 0
+    while True:
+        m = OPEN.search(page, at)
+        if m is None or m.start() > last and not m[1]:
+            yield page[text:], "", "", ""
+            return
+        if m[1]:
+            stop = page.find("-->", m.end())
+            stop = end if stop < 0 else stop + 3
+        elif m[2] and cdata and (stop := page.find("]]>", m.end())) >= 0:
+            stop += 3
+        elif m[2] or m[3]:
+            cdata = cdata and not m[2]
+            stop = page.find(">", m.end()) + 1
+        else:
+            close = QUOTED_END.match(page, m.end()) if quotes else None
+            quotes = close is not None
+            stop = close.end() if close else page.find(">", m.end()) + 1
+            yield page[text : m.start()], m[4], m[5].lower(), page[m.end() : stop - 1]
+            text = at = stop
+            name = m[5].lower()
+            if name in RAW and not m[4]:
+                shut = closing(name).search(page, at)
+                at = page.find(">", shut.end()) + 1 if shut else 0
+                text = at = at or end
+            continue
+        yield page[text : m.start()], "", "", ""
+        text = at = stop
+
+
+class Node:
+    __slots__ = ("name", "path", "shown", "style", "inline")
+
+    def __init__(self, name: str, path: int, shown: int, inline: bool = False):
+        self.name, self.path, self.shown, self.style, self.inline = name, path, shown, 0, inline
+
+
+def parse(page: str) -> tuple[list[tuple[int, int, int, str]], set[tuple[int, int]]]:
+    """Blocks (path, parent's path, kind of markup, text) in page order, and (path, child sequence) of inner nodes."""
+    out: list[tuple[int, int, int, str]] = []
+    styles: set[tuple[int, int]] = set()
+    parts: list[str] = []
+    stack = [Node("", 0, PLAIN)]
+    opened: dict[str, int] = {}
 
     def flush() -> None:
         text = "".join(parts)
         parts.clear()
         text = " ".join((html.unescape(text) if "&" in text else text).split())
         if text:
-            out.append((stack[-1][1], stack[-1][2], text))
-
-    at, end = 0, len(page)
-    while at < end:
-        m = TAG.search(page, at)
-        if m is None:
-            if stack[-1][2]:
-                parts.append(page[at:])
-            break
-        if m.start() > at and stack[-1][2]:
-            parts.append(page[at : m.start()])
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
+            block = [n for n in stack[-2:] if not n.inline] or stack[-1:]
+            out.append((block[-1].path, block[0].path, stack[-1].shown, text))
+
+    def pop() -> None:
+        n = stack.pop()
+        opened[n.name] -= 1
+        if n.style:
+            styles.add((n.path, n.style))
+
+    def push(n: Node) -> None:
+        if not n.inline:
+            stack[-1].style = below(stack[-1].style, n.name)
+        stack.append(n)
+        opened[n.name] = opened.get(n.name, 0) + 1
+
+    for before, shut, name, attributes in tags(page):
+        top = stack[-1]
+        if before and top.shown != NOISE:
+            parts.append(before)
         if not name:
             continue
-        closing, attributes = m[1] or m[4], m[3] or m[6] or ""
-        if name in INLINE and "hidden" not in attributes:
+        if name in INLINE:
+            if shut:
+                if top.inline and top.name == name:
+                    pop()
+            elif attributes and (UNSEEN.search(attributes) or hinted(attributes)):
+                push(Node(name, top.path, NOISE, True))
+            elif top.inline and top.name == name:
+                push(Node(name, top.path, NOISE, True))  # nested, so that the outer one stays open
             continue
-        if name in RAW and not closing:
-            close = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-            at = close.end() if close else end
+        if name in UNBROKEN:
             continue
         flush()
-        if closing:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
+        if name in RAW:
+            continue
+        if shut:
+            if opened.get(name):
+                while stack[-1].name != name:
+                    pop()
+                pop()
             continue
         if name in VOID:
             continue
-        if name in P_ENDS and stack[-1][0] == "p" or stack[-1][0] in CLOSES.get(name, ()):
-            stack.pop()
-            if name == "tr" and stack[-1][0] == "tr":
-                stack.pop()
-        if name == "body":  # ends a head that is left open
-            del stack[next((i for i, x in enumerate(stack) if x[0] == "head"), len(stack)) :]
-        _, path, shown = stack[-1]
-        marks = [f"{k.lower()}={a or b or c}" for k, a, b, c in NAMED.findall(attributes)] if attributes else []
-        if shown:
-            hinted = marks and name not in UNHINTED and not HINTS.isdisjoint(w for x in marks for w in WORD.findall(x.lower().partition("=")[2]))
-            if name in DROPPED or hinted or (name == "header" and shown != 1):
-                shown = 0
+        if name in P_ENDS and top.name == "p" or top.name in CLOSES.get(name, ()):
+            pop()
+            if name == "tr" and stack[-1].name == "tr":
+                pop()
+        if name == "body" and opened.get("head"):  # ends a head that is left open
+            while stack[-1].name != "head":
+                pop()
+            pop()
+        top = stack[-1]
+        marks = "".join(f"[{k.lower()}={a or b or c}]" for k, a, b, c in NAMED.findall(attributes)) if attributes else ""
+        shown = top.shown
+        if shown != NOISE:
+            if name in DROPPED or attributes and (UNSEEN.search(attributes) or name not in UNHINTED and hinted(attributes)) or name == "header" and shown != INSIDE:
+                shown = NOISE
             elif name in ARTICLE:
-                shown = 1
-        stack.append((name, f"{path}>{name}{''.join(f'[{x}]' for x in marks)}", shown))
+                shown = INSIDE
+        push(Node(name, below(top.path, name + marks), shown))
     flush()
-    if any(shown == 1 for _, shown, _ in out):
-        out = [(path, int(shown == 1), text) for path, shown, text in out]
-    return out
+    while len(stack) > 1:
+        pop()
+    if any(b[2] == INSIDE for b in out):
+        out = [(p, q, BESIDE if s == PLAIN else s, t) for p, q, s, t in out]
+    return out, styles
+
+
+def hinted(attributes: str) -> bool:
+    return any(not HINTS.isdisjoint(WORD.findall((a or b or c).lower())) for _, a, b, c in NAMED.findall(attributes))
 
 
 def host() -> F.Column:
     return F.lower(F.coalesce(F.regexp_extract("url", "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
 
 
-def style_nodes(pages: DataFrame) -> DataFrame:
-    """host, path, sign (of the page), content (hash of the text), presentation of each distinct block."""
+PARSED = (
+    "row long, page_id long, url string, host string, sign long, "
+    "blocks array<struct<path:long,parent:long,shown:int,content:long,text:string>>, styles array<struct<path:long,style:long>>"
+)
+
+
+def parsed(pages: DataFrame) -> DataFrame:
+    """Each page's blocks outside NOISE and child sequences; `sign` tells distinct pages, `row` numbers them once written."""
+    block = pa.struct([("path", pa.int64()), ("parent", pa.int64()), ("shown", pa.int32()), ("content", pa.int64()), ("text", pa.string())])
+    style = pa.struct([("path", pa.int64()), ("style", pa.int64())])
 
     def run(batches):
+        from pyspark import TaskContext
+
+        row = TaskContext.get().partitionId() << 40
         for b in batches:
-            rows = []
-            for site, page in zip(b.column("host").to_pylist(), b.column("html").to_pylist()):
-                found = blocks(page or "")
-                sign = zlib.crc32("\n".join(x[2] for x in found).encode("utf-8", "replace"))
-                rows += {(site, path, sign, zlib.crc32(text.encode("utf-8", "replace")), shown) for path, shown, text in found}
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32()))], ["host", "path", "sign", "content", "shown"])
-
-    return pages.select(host().alias("host"), F.col("html").cast("string")).mapInArrow(run, "host string, path string, sign long, content long, shown int")
-
-
-def style_tree(pages: DataFrame) -> DataFrame:
-    """host, path, importance of every node of the hosts' trees, and of the tree over all hosts (host null)."""
-    seen = materialise(style_nodes(pages).distinct(), "styles")
-    both = seen.unionByName(seen.withColumn("host", F.lit(None).cast("string")))
-    texts = both.groupBy("host", "path", "content").agg(F.countDistinct("sign").alias("n"), F.min("shown").alias("shown"))
-    n, m = F.col("n").cast("double"), F.sum("n").cast("double")
-    spread = F.when(m > 1, 1 - F.sum(n * F.log(n)) / (m * F.log(m))).otherwise(1.0)  # -sum p log_m p
-    leaves = texts.groupBy("host", "path").agg(F.sum("n").alias("m"), spread.alias("entropy"), F.min("shown").alias("shown"))
-    leaves = leaves.select("host", "path", "m", F.when(F.col("shown") == 2, F.col("entropy")).otherwise(F.col("shown").cast("double")).alias("importance"))
-    steps = F.split("path", ">")
-    above = F.transform(F.sequence(F.lit(2), F.size(steps)), lambda k: F.array_join(F.slice(steps, 1, k), ">"))
-    nodes = leaves.withColumn("path", F.explode(above)).groupBy("host", "path").agg((F.sum(F.col("m") * F.col("importance")) / F.sum("m")).alias("importance"), F.sum("m").alias("m"))
-    wide = nodes.filter("host is null").select("path", F.col("importance").alias("wide"))
-    own = nodes.filter("host is not null").join(wide, "path", "left")
-    return own.select("host", "path", F.when(F.col("m") < LEAST_PAGES, F.coalesce("wide", "importance")).otherwise(F.col("importance")).alias("importance"))
-
-
-def main_text(page: str | None, low: set[str]) -> str:
-    """A page's text without boilerplate and without what lies under a low-importance node."""
-    if not page:
-        return ""
-    kept: dict[str, bool] = {}
-    out = []
-    for path, shown, text in blocks(page):
-        if shown == 2 and low:
-            if path not in kept:
-                ends = [i for i, c in enumerate(path) if c == ">" and i] + [len(path)]
-                kept[path] = not any(path[:i] in low for i in ends)
-            if not kept[path]:
-                continue
-        if shown:
-            out.append(text)
-    return " ".join(out)
-
-
-def extract(pages: DataFrame) -> DataFrame:
+            blocks, styles, signs = [], [], []
+            for page in b.column("html").to_pylist():
+                found, seen = parse(page or "")
+                kept = [(p, q, s, digest(t), t) for p, q, s, t in found if s != NOISE]
+                blocks.append([dict(zip(("path", "parent", "shown", "content", "text"), x)) for x in kept])
+                styles.append([{"path": p, "style": s} for p, s in seen])
+                signs.append(digest(*(x[3] for x in kept)))
+            rows = pa.array(np.arange(row, row + b.num_rows))
+            row += b.num_rows
+            arrays = [rows, b.column("page_id"), b.column("url"), b.column("host"), pa.array(signs, pa.int64()), pa.array(blocks, pa.list_(block)), pa.array(styles, pa.list_(style))]
+            yield pa.RecordBatch.from_arrays(arrays, ["row", "page_id", "url", "host", "sign", "blocks", "styles"])
+
+    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"), host().alias("host")).mapInArrow(run, PARSED)
+
+
+def style_tree(seen: DataFrame) -> DataFrame:
+    """host, path, content, shown, importance of every content node; the weight of the markup is not in it."""
+    nodes = seen.select("host", "sign", F.explode("blocks").alias("b")).select("host", "sign", "b.path", "b.parent", "b.content", "b.shown").distinct()
+    nodes = materialise(nodes, "nodes")
+    styles = seen.select("host", "sign", F.explode("styles").alias("s")).select("host", "sign", "s.path", "s.style").distinct()
+    styles = styles.groupBy("host", "path", "style").count()  # distinct pages by child sequence
+
+    def entropy(keys: list[str]) -> DataFrame:
+        n = styles.groupBy(*keys, "path", "style").agg(F.sum("count").cast("double").alias("n"))
+        m = F.sum("n")
+        spread = F.when((m > 1) & (F.count("*") > 1), F.greatest(F.lit(0.0), 1 - F.sum(F.col("n") * F.log("n")) / (m * F.log(m)))).when(m > 1, 0.0).otherwise(1.0)
+        return n.groupBy(*keys, F.col("path").alias("parent")).agg(spread.alias("presentation"))
+
+    def level(keys: list[str]) -> DataFrame:
+        contents = nodes.select(*keys, "path", "parent", "content", "sign").distinct().groupBy(*keys, "path", "parent", "content").agg(F.count("*").cast("double").alias("n"))
+        sizes = nodes.select(*keys, "path", "sign").distinct().groupBy(*keys, "path").agg(F.count("*").cast("double").alias("m"))
+        own = contents.join(sizes, [*keys, "path"]).join(entropy(keys), [*keys, "parent"], "left")
+        alone = F.when(F.col("m") > 1, 1 - F.log("n") / F.log("m")).otherwise(1.0)
+        return own.select(*keys, "path", "content", "m", (alone * (1 + F.coalesce("presentation", F.lit(1.0))) / 2).alias("importance"))
+
+    own, wide = level(["host"]), level([]).select("path", "content", F.col("importance").alias("wide"))
+    own = own.join(wide, ["path", "content"])
+    best = F.when(F.col("m") < LEAST_PAGES, F.col("wide")).otherwise(F.col("importance"))
+    kinds = nodes.groupBy("host", "path", "content", "shown").count()
+    return kinds.join(own.select("host", "path", "content", best.alias("importance")), ["host", "path", "content"]).drop("count")
+
+
+def node_key(*columns) -> F.Column:
+    return F.xxhash64(*columns)
+
+
+def low_nodes(tree: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
+    """key of the content nodes to remove."""
+    weight = F.element_at(F.array(*map(F.lit, weights)), F.col("shown") + 1)
+    return tree.filter(weight * F.col("importance") < IMPORTANT).select(node_key("host", "path", "content", "shown").alias("key")).distinct()
+
+
+def extract(pages: DataFrame, weights: tuple[float, ...] = WEIGHTS, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """page_id, url, text per page."""
-    tree = materialise(style_tree(pages), "tree")
-    low = tree.filter(F.col("importance") < IMPORTANT).groupBy("host").agg(F.collect_list("path").alias("low"))
-    size = tree.filter(F.col("importance") < IMPORTANT).agg(F.sum(F.length("path") + 16)).first()[0] or 0
-    low = F.broadcast(low) if size <= BROADCAST_BYTES else low  # else by shuffle; a host's template is what one row holds
+    seen = materialise(parsed(pages), "parsed")
+    low = materialise(low_nodes(materialise(style_tree(seen), "tree"), weights), "low")
+    keyed = F.transform("blocks", lambda b: F.struct(node_key("host", b["path"], b["content"], b["shown"]).alias("key"), b["text"].alias("text")))
+    rows = seen.select("row", "page_id", "url", keyed.alias("blocks"))
+    texts = lambda kept: F.array_join(F.transform(kept, lambda b: b["text"]), " ").alias("text")
+    n = low.count()
+    if not n:
+        return rows.select("page_id", "url", texts(F.col("blocks")))
+    if n <= broadcast_keys:
+        shared = pages.sparkSession.sparkContext.broadcast(np.sort(low.toArrow()["key"].to_numpy()))  # at most broadcast_keys longs
 
-    def run(batches):
-        for b in batches:
-            last, marks = None, set()
-            texts = []
-            for page, paths in zip(b.column("html").to_pylist(), b.column("low").to_pylist()):
-                if paths != last:
-                    last, marks = paths, set(paths or ())
-                texts.append(main_text(page, marks))
-            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
-
-    keyed = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"), host().alias("host"))
-    return keyed.join(low, "host", "left").select("page_id", "url", "html", "low").mapInArrow(run, "page_id long, url string, text string")
+        def run(batches):
+            keys = shared.value
+            for b in batches:
+                blocks = b.column("blocks")
+                key, text = np.asarray(blocks.flatten().field(0)), blocks.flatten().field(1)
+                keep = keys[np.minimum(np.searchsorted(keys, key), len(keys) - 1)] != key
+                ends = np.concatenate([[0], np.cumsum(keep)])[np.asarray(blocks.offsets) - blocks.offsets[0].as_py()]
+                kept = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), text.filter(pa.array(keep)))
+                yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pc.binary_join(kept, " ")], ["page_id", "url", "text"])
+
+        return rows.mapInArrow(run, "page_id long, url string, text string")
+    hit = rows.select("row", F.explode("blocks.key").alias("key")).join(low, "key").groupBy("row").agg(F.collect_set("key").alias("low"))  # a page's own blocks at most
+    kept = F.filter("blocks", lambda b: F.col("low").isNull() | ~F.array_contains("low", b["key"]))
+    return rows.join(hit, "row", "left").select("page_id", "url", texts(kept))
 
 
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
