@@ -420,12 +420,10 @@ def test_style_tree_removes_what_pages_share(spark):
     frame = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
     want = {i: f"Story number {i} here" for i in range(10)}
     want |= {100 + i: f"Head {i} Text {i}" for i in range(20)}
-    want |= {200 + i: "Head 7 Text 7 Read more on our site" for i in range(20)}
+    want |= {200 + i: "Head 7 Text 7" for i in range(20)}
     for keys in (html.BROADCAST_KEYS, 0):  # sent to the tasks, and joined by shuffle
         got = {r.page_id: r.text for r in html.extract(frame, broadcast_keys=keys).collect()}
-        assert {k: got[k] for k in want if k < 200} == {k: v for k, v in want.items() if k < 200}
-        assert all(got[200 + i].startswith(want[200]) for i in range(20))
-        assert "Head 300 Text 300" in got[300]
+        assert got == want | {300: "Head 300 Text 300"}
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
