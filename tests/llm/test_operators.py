@@ -302,6 +302,22 @@ def test_top_k_matches_brute_force(spark):
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_bounds_stop_the_reading_of_lists():
+    rng = np.random.default_rng(7)
+    rows = rng.normal(size=(4000, 64))
+    rows = np.floor(256 * rows / np.linalg.norm(rows, axis=1)[:, None]).astype(np.int64)
+    rows[1000:1010] = rows[3] + rng.integers(-2, 3, (10, 64))  # near copies
+    block = topk.Block(rows, np.arange(4000))
+    for i in (0, 3, 50, 1005):
+        ids, scores, read = block.search(rows[i], i, 5)
+        want = sorted((-int(rows[i] @ rows[j]), j) for j in range(4000) if j != i)[:5]
+        assert list(zip((-scores).tolist(), ids.tolist())) == want
+        assert read < (0.7 if i < 3 or i == 50 else 0.45) * rows.size  # of all entries
+        assert block.search(rows[i], i, 5, float(scores[-1]))[1].tolist() == scores.tolist()  # with the bar of earlier blocks
+    huge = topk.Block(rows * 10**12, np.arange(4000))
+    assert huge.search(rows[3] * 10, 3, 5)[0].tolist() == block.search(rows[3], 3, 5)[0].tolist()
+
+
 def test_decontamination(spark, none):
     rng = random.Random(4)
     vocabulary = [f"w{i}" for i in range(400)]
@@ -453,9 +469,10 @@ def test_style_tree_against_brute_force(spark):
                             seen[s] = seen.get(s, 0) + 1
                 total = sum(seen.values())
                 presentation = -sum(x / total * math.log(x / total, total) for x in seen.values()) if total > 1 else 1.0
-                want[f"h{site}.example", path, html.digest(text)] = (1 - math.log(n, m)) * (1 + presentation) / 2
+                want[site, path, html.digest(text)] = (1 - math.log(n, m)) * (1 + presentation) / 2
     seen = html.parsed(spark.createDataFrame(pages, "page_id long, url string, html string")).persist()
-    got = {(r.host, r.path, r.content): r.importance for r in html.style_tree(seen).collect()}
+    hosts = {r.h: int(r.host[1]) for r in seen.select("host", html.F.xxhash64("host").alias("h")).distinct().collect()}
+    got = {(hosts[r.host], r.path, r.content): r.importance for r in html.style_tree(html.node_counts(seen))[1].collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - v) < 1e-9 for k, v in want.items())
 
 

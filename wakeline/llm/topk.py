@@ -1,21 +1,25 @@
 """Exact top-k inner product search by no-random-access aggregation over sorted lists.
 
-Candidates are dealt into blocks of bounded size, queries into groups. In a block every component has
-a list of its values in order; a query reads the lists of its positive components from the top and of
-its negative ones from the bottom, all to the same depth. What has been read of a candidate, with the
-lists' ends or their frontier for the rest, bounds its score below and above. Candidates whose upper
-bound is under the k-th lower bound drop out; when few are left, or the lists end, the final scores
-are resolved. The k best of each block are merged. All queries of a group advance together.
+Candidates stay where the table has them: each task takes its rows in blocks of BLOCK, and the queries go
+to the tasks in groups of QUERIES, a pass over the table for each group. In a block every component has a
+list of its values in order. A query reads the lists by falling weight |q_j|, each from its good end down.
+What has been read of a candidate and Cauchy-Schwarz over what has not (the norm of the rest of either
+vector) bound its score below and above; the bar is the k-th lower bound, or the k-th best score of the
+task's earlier blocks. Reading a list ends where nothing further down can reach the bar; candidates not
+reached, and those whose upper bound falls below the bar, are out and no later list is read for them.
+When RESOLVE or fewer are left, or the lists end, the final scores are resolved. Each query stops by itself.
 
 Vectors that are null, empty, or hold null or non-finite components take no part, nor do rows without a
 vec_id; vectors of another length than the query's are not its candidates. A query's own row is told
-by its vec_id. Repeated rows are candidates each for itself, repeated queries are asked once.
+by its vec_id. Repeated rows are candidates each for itself, repeated queries are asked once. Where
+values are so large that a double does not hold the scores, and in blocks of RESOLVE rows or fewer, all
+candidates are resolved at once. Only vec_id and embedding are read.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, SparkSession, Window
 
@@ -23,9 +27,8 @@ from wakeline.llm.common import table
 
 K = 5
 BLOCK = 8192
-QUERIES = 2048
-SIDE_BY_SIDE = 128
-DEPTHS = (1 / 8, 1 / 4, 1 / 2)
+QUERIES = 8192
+LISTS = 8  # lists read between two looks at the bounds
 RESOLVE = 64  # candidates left at which reading on costs more than resolving
 
 
@@ -37,69 +40,103 @@ def quantised(vectors: DataFrame) -> DataFrame:
     return kept.select(F.col("vec_id").cast("long"), F.transform(x, lambda c: F.floor(c * 256.0)).alias("v"))
 
 
-def search(queries: np.ndarray, own: np.ndarray, block: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(query position, vec_ids, scores) of the k best of a block, ties to smaller ids."""
-    n, order = len(block), np.argsort(ids, kind="stable")
-    block, ids = block[order], ids[order]
-    exact = (float(np.abs(queries).max()) + 1) * (float(np.abs(block).max()) + 1) * block.shape[1] < 2**53
-    lists, values = np.sort(block, axis=0), block.astype(float)
-    low, high = lists[0].astype(float), lists[-1].astype(float)
-    out = []
-    steps = [max(1, int(n * d)) for d in DEPTHS] if n > RESOLVE else []
-    views = []
-    for depth in steps:
-        top, bottom = lists[n - depth].astype(float), lists[depth - 1].astype(float)  # the frontiers
-        views.append((np.maximum(values, top).T, np.minimum(values, bottom).T, np.where(values >= top, values, low).T, np.where(values <= bottom, values, high).T))
-    for at in range(0, len(queries), SIDE_BY_SIDE):
-        q = queries[at : at + SIDE_BY_SIDE].astype(float)
-        up, down = np.maximum(q, 0), np.minimum(q, 0)
-        self_row = own[at : at + SIDE_BY_SIDE, None] == ids
-        alive = ~self_row
-        reading = np.arange(len(q)) if exact else np.empty(0, int)
-        for upper_top, upper_bottom, lower_top, lower_bottom in views:
-            reading = reading[alive[reading].sum(1) > RESOLVE]
-            if not len(reading):
-                break
-            lower = up[reading] @ lower_top + down[reading] @ lower_bottom
-            lower[~alive[reading]] = -np.inf
-            bar = np.partition(lower, n - k, axis=1)[:, n - k, None] if n > k else np.full((len(reading), 1), -np.inf)
-            alive[reading] &= up[reading] @ upper_top + down[reading] @ upper_bottom >= bar
-        for i in range(len(q)):
-            left = np.flatnonzero(alive[i])
-            score = (values[left] @ q[i]).astype(np.int64) if exact else block[left] @ queries[at + i]
-            if len(left) > 4 * k:
-                edge = np.partition(score, len(score) - k)[len(score) - k]
-                left, score = left[score >= edge], score[score >= edge]
-            best = np.lexsort((ids[left], -score))[:k]
-            out.append((at + i, ids[left[best]], score[best]))
-    return out
+class Block:
+    """The sorted lists of a block of candidates of one length."""
+
+    def __init__(self, rows: np.ndarray, ids: np.ndarray):
+        order = np.argsort(ids, kind="stable")
+        self.rows, self.ids = rows[order], ids[order]
+        self.by_list = np.ascontiguousarray(self.rows.T).astype(float)  # component, candidate
+        self.sorted = np.sort(self.by_list, axis=1)
+        self.norm2 = (self.by_list**2).sum(0)
+        self.peak = float(np.abs(self.rows).max()) + 1
+
+    def search(self, query: np.ndarray, own: int, k: int, bar: float = -np.inf) -> tuple[np.ndarray, np.ndarray, int]:
+        """vec_ids and scores of the k best, ties to smaller ids, and how many list entries were read; scores under `bar` may be left out."""
+        n, dim = self.rows.shape
+        exact = (float(np.abs(query).max()) + 1) * self.peak * dim < 2**52
+        alive, read = np.flatnonzero(self.ids != own), 0
+        if exact and n > RESOLVE:
+            q = query.astype(float)
+            order = np.argsort(-np.abs(q), kind="stable")
+            partial, rest = np.zeros(len(alive)), self.norm2[alive]
+            unread = np.append(np.cumsum((q[order] ** 2)[::-1])[::-1], 0.0)  # squared norm of the query's unread part
+            for at in range(0, dim, LISTS):
+                for t in range(at, min(at + LISTS, dim)):
+                    j = int(order[t])
+                    if not q[j]:
+                        continue
+                    # What is further down the list than `least` cannot reach the bar.
+                    least = (bar - partial.max() - np.sqrt(unread[t + 1] * max(0.0, rest.max())) - 1) / abs(q[j]) if len(alive) else 0.0
+                    value = self.by_list[j, alive]
+                    end = self.sorted[j, 0] if q[j] > 0 else -self.sorted[j, -1]
+                    if least > end:
+                        seen = value * np.sign(q[j]) >= least
+                        alive, partial, rest, value = alive[seen], partial[seen], rest[seen], value[seen]
+                    read += len(alive)
+                    partial += q[j] * value
+                    rest = rest - value * value
+                if len(alive) <= RESOLVE:
+                    break
+                slack = np.sqrt(np.maximum(rest, 0.0) * unread[min(at + LISTS, dim)]) + 1  # more than the rounding of the root
+                lower = partial - slack
+                if len(alive) > k:
+                    bar = max(bar, np.partition(lower, len(alive) - k)[len(alive) - k])
+                keep = partial + slack >= bar
+                alive, partial, rest = alive[keep], partial[keep], rest[keep]
+        score = (query.astype(float) @ self.by_list[:, alive]).astype(np.int64) if exact else self.rows[alive] @ query
+        best = np.lexsort((self.ids[alive], -score))[:k]
+        return self.ids[alive[best]], score[best], read
+
+
+def best_of(batches, groups: dict[int, tuple[np.ndarray, np.ndarray]], k: int):
+    """(query_id, vec_id, score) of the k best candidates of a task for each query; groups: by length, the queries' ids and vectors."""
+    found = {dim: [(np.empty(0, np.int64), np.empty(0, np.int64)) for _ in ids] for dim, (ids, _) in groups.items()}
+    held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+    def ask(dim: int) -> None:
+        parts = held.pop(dim)
+        block = Block(np.concatenate([p[1] for p in parts]), np.concatenate([p[0] for p in parts]))
+        for i, (own, query) in enumerate(zip(*groups[dim])):
+            ids, scores = found[dim][i]
+            bar = float(scores[-1]) if len(scores) == k else -np.inf
+            new_ids, new, _ = block.search(query, int(own), k, bar)
+            ids, scores = np.concatenate([ids, new_ids]), np.concatenate([scores, new])
+            top = np.lexsort((ids, -scores))[:k]
+            found[dim][i] = ids[top], scores[top]
+
+    for b in batches:
+        size = np.asarray(b.column("v").value_lengths())
+        flat, ids = np.asarray(b.column("v").flatten()), np.asarray(b.column("vec_id"))
+        starts = np.cumsum(size) - size
+        for dim in np.unique(size).tolist():
+            if dim not in groups:
+                continue
+            of = np.flatnonzero(size == dim)
+            rows = flat[starts[of, None] + np.arange(dim)]
+            for at in range(0, len(of), BLOCK):
+                held.setdefault(dim, []).append((ids[of[at : at + BLOCK]], rows[at : at + BLOCK]))
+                if sum(len(p[0]) for p in held[dim]) >= BLOCK:
+                    ask(dim)
+    for dim in list(held):
+        ask(dim)
+    for dim, (ids, _) in groups.items():
+        n = [len(x[0]) for x in found[dim]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), *(pa.array(np.concatenate([x[c] for x in found[dim]])) for c in (0, 1))], ["query_id", "vec_id", "score"])
 
 
 def top_k(vectors: DataFrame, every: int = 50, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score for the rows whose vec_id is divisible by `every`."""
-    all_rows = quantised(vectors)
-    asked = all_rows.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
-    n, n_asked = all_rows.count(), asked.count()
-    blocks, groups = max(1, -(-n // BLOCK)), max(1, -(-n_asked // QUERIES))
-
-    def spread(df: DataFrame, own: str, parts: int, other: str, others: int) -> DataFrame:
-        own_part = F.pmod(F.xxhash64("vec_id"), F.lit(parts)).alias(own)
-        return df.select(F.size("v").alias("dim"), own_part, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long"))).alias(other), "vec_id", "v")
-
-    left = spread(asked, "part", groups, "block", blocks)
-    right = spread(all_rows, "block", blocks, "part", groups)
-
-    def run(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype=np.int64)
-        if queries.empty or rows.empty:
-            return empty
-        asked = queries["vec_id"].to_numpy()
-        got = search(np.stack(queries["v"].to_list()), asked, np.stack(rows["v"].to_list()), rows["vec_id"].to_numpy(), k)
-        parts = [pd.DataFrame({"query_id": asked[i], "vec_id": ids, "score": score}) for i, ids, score in got]
-        return pd.concat(parts) if parts else empty
-
-    keys = ["dim", "block", "part"]
-    best = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, "query_id long, vec_id long, score long")
+    spark, rows = vectors.sparkSession, quantised(vectors)
+    asked = rows.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
+    parts = max(1, -(-asked.count() // QUERIES))
+    best = None
+    for part in range(parts):
+        own = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == part).toPandas()  # QUERIES or so, a bounded part of the query set
+        groups = {dim: (g["vec_id"].to_numpy(), np.stack(g["v"].to_list())) for dim, g in own.groupby(own["v"].map(len))} if len(own) else {}
+        shared = spark.sparkContext.broadcast(groups)
+        got = rows.mapInArrow(lambda batches, shared=shared: best_of(batches, shared.value, k), "query_id long, vec_id long, score long")
+        best = got if best is None else best.unionAll(got)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
