@@ -15,8 +15,8 @@ elements found there. Over the host's m distinct pages with such a node
 Blocks under IMPORTANT are removed from each page; a branch goes when all its blocks do. The weights only
 tip the scale where entropy may speak: inside an article only what nearly all pages share goes, so copied
 articles stay (pages are distinct by their text without NOISE, so copies count once). NOISE is under
-IMPORTANT, as the contract excludes menus and adverts however varied. Nodes of fewer than LEAST_PAGES distinct
-pages of a host take their importance from the tree over all hosts.
+IMPORTANT, as the contract excludes menus and adverts however varied, so it need not enter the tree. Nodes of fewer than LEAST_PAGES distinct
+pages of a host take their importance from the tree that merges those of all hosts.
 
 Null and empty html gives an empty text, a null url the host ''. Repeated pages each give a row. Only
 page_id, url and html are read. Very long pages are parsed in one linear pass, broken markup included.
@@ -239,49 +239,64 @@ def parsed(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"), host().alias("host")).mapInArrow(run, PARSED)
 
 
-def style_tree(seen: DataFrame) -> DataFrame:
-    """host, path, content, shown, importance of every content node; the weight of the markup is not in it."""
-    nodes = seen.select("host", "sign", F.explode("blocks").alias("b")).select("host", "sign", "b.path", "b.parent", "b.content", "b.shown").distinct()
-    nodes = materialise(nodes, "nodes")
-    styles = seen.select("host", "sign", F.explode("styles").alias("s")).select("host", "sign", "s.path", "s.style").distinct()
-    styles = styles.groupBy("host", "path", "style").count()  # distinct pages by child sequence
-
-    def entropy(keys: list[str]) -> DataFrame:
-        n = styles.groupBy(*keys, "path", "style").agg(F.sum("count").cast("double").alias("n"))
-        m = F.sum("n")
-        spread = F.when((m > 1) & (F.count("*") > 1), F.greatest(F.lit(0.0), 1 - F.sum(F.col("n") * F.log("n")) / (m * F.log(m)))).when(m > 1, 0.0).otherwise(1.0)
-        return n.groupBy(*keys, F.col("path").alias("parent")).agg(spread.alias("presentation"))
-
-    def level(keys: list[str]) -> DataFrame:
-        contents = nodes.select(*keys, "path", "parent", "content", "sign").distinct().groupBy(*keys, "path", "parent", "content").agg(F.count("*").cast("double").alias("n"))
-        sizes = nodes.select(*keys, "path", "sign").distinct().groupBy(*keys, "path").agg(F.count("*").cast("double").alias("m"))
-        own = contents.join(sizes, [*keys, "path"]).join(entropy(keys), [*keys, "parent"], "left")
-        alone = F.when(F.col("m") > 1, 1 - F.log("n") / F.log("m")).otherwise(1.0)
-        return own.select(*keys, "path", "content", "m", (alone * (1 + F.coalesce("presentation", F.lit(1.0))) / 2).alias("importance"))
-
-    own, wide = level(["host"]), level([]).select("path", "content", F.col("importance").alias("wide"))
-    own = own.join(wide, ["path", "content"])
-    best = F.when(F.col("m") < LEAST_PAGES, F.col("wide")).otherwise(F.col("importance"))
-    kinds = nodes.groupBy("host", "path", "content", "shown").count()
-    return kinds.join(own.select("host", "path", "content", best.alias("importance")), ["host", "path", "content"]).drop("count")
-
-
-def node_key(*columns) -> F.Column:
-    return F.xxhash64(*columns)
-
-
-def low_nodes(tree: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
-    """key of the content nodes to remove."""
-    weight = F.element_at(F.array(*map(F.lit, weights)), F.col("shown") + 1)
-    return tree.filter(weight * F.col("importance") < IMPORTANT).select(node_key("host", "path", "content", "shown").alias("key")).distinct()
+CONTENT, PLACE, STYLE = range(3)  # kinds of counted nodes
+
+
+def node_counts(seen: DataFrame) -> DataFrame:
+    """host, kind, path, value, n: a host's distinct pages with a text (CONTENT) or child sequence (STYLE) at a path, or with the path (PLACE)."""
+    mark = lambda b: F.element_at(F.array(*(F.lit(1 << i) for i in range(len(WEIGHTS)))), b["shown"] + 1)
+    node = lambda kind, path, parent, value, shown: F.struct(F.lit(kind).alias("kind"), path.alias("path"), parent.alias("parent"), value.alias("value"), shown.alias("shown"))
+    zero = F.lit(0).cast("long")
+    contents = F.transform("blocks", lambda b: node(CONTENT, b["path"], b["parent"], b["content"], mark(b)))
+    places = F.transform("blocks", lambda b: node(PLACE, b["path"], b["parent"], zero, mark(b)))
+    styles = F.transform("styles", lambda s: node(STYLE, s["path"], s["path"], s["style"], F.lit(0)))
+    pages = seen.select(F.xxhash64("host").alias("host"), "sign", F.array_distinct(F.concat(contents, places, styles)).alias("nodes")).dropDuplicates(["host", "sign"])
+    nodes = pages.select("host", F.explode("nodes").alias("x")).select("host", "x.*")
+    return nodes.groupBy("host", "kind", "path", "value").agg(F.count("*").alias("n"), F.min("parent").alias("parent"), F.bit_or("shown").alias("shown"))
+
+
+def templates(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, path, m, presentation (importance of the parent's), shown: the nodes of a tree without their texts."""
+    n, m = F.col("n").cast("double"), F.sum("n").cast("double")
+    spread = F.when(m <= 1, 1.0).when(F.count("*") == 1, 0.0).otherwise(1 - F.sum(n * F.log(n)) / (m * F.log(m)))
+    styles = counts.filter(F.col("kind") == STYLE).groupBy(*keys, F.col("path").alias("parent")).agg(spread.alias("presentation"))
+    places = counts.filter(F.col("kind") == PLACE).select(*keys, "path", "parent", F.col("n").cast("double").alias("m"), "shown")
+    return places.join(styles, [*keys, "parent"], "left").select(*keys, "path", "m", F.coalesce("presentation", F.lit(1.0)).alias("presentation"), "shown")
+
+
+def style_tree(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Places (host, path, presentation, shown) and content nodes (host, path, content, n, importance, shown), the weight of the markup not in it."""
+    wide = materialise(counts.groupBy("kind", "path", "value").agg(F.sum("n").alias("n"), F.min("parent").alias("parent"), F.bit_or("shown").alias("shown")), "wide")
+    own, over = templates(counts, ["host"]), templates(wide, []).select("path", F.col("m").alias("wide_m"), F.col("presentation").alias("wide_presentation"))
+    few = F.col("m") < LEAST_PAGES
+    places = own.join(over, "path").select("host", "path", few.alias("few"), F.when(few, F.col("wide_m")).otherwise(F.col("m")).alias("m"), F.when(few, F.col("wide_presentation")).otherwise(F.col("presentation")).alias("presentation"), "shown")
+    places = materialise(places, "places")
+    contents = counts.filter(F.col("kind") == CONTENT).select("host", "path", F.col("value").alias("content"), F.col("n").cast("double").alias("n"), "shown")
+    contents = contents.join(places.drop("shown"), ["host", "path"])
+    known = wide.filter(F.col("kind") == CONTENT).select("path", F.col("value").alias("content"), F.col("n").cast("double").alias("wide_n"))
+    both = contents.filter("not few").unionByName(contents.filter("few").drop("n").join(known, ["path", "content"]).withColumnRenamed("wide_n", "n"))
+    alone = F.when(F.col("m") > 1, 1 - F.log("n") / F.log("m")).otherwise(1.0)
+    return places, both.select("host", "path", "content", "n", (alone * (1 + F.col("presentation")) / 2).alias("importance"), "shown")
+
+
+def low_nodes(seen: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
+    """key of what goes: places where not even a text of its own is important enough, and content nodes that pages share."""
+    places, contents = style_tree(materialise(node_counts(seen), "nodes"))
+    weight = F.element_at(F.array(*map(F.lit, weights)), F.col("kind") + 1)
+    kinds = F.explode(F.array_compact(F.array(*(F.when(F.col("shown").bitwiseAND(1 << k) > 0, k) for k in range(len(weights)))))).alias("kind")
+    bare = places.select("host", "path", "presentation", kinds).filter(weight * (1 + F.col("presentation")) / 2 < IMPORTANT)
+    shared = contents.filter("n > 1").select("host", "path", "content", "importance", kinds).filter(weight * F.col("importance") < IMPORTANT)
+    return bare.select(F.xxhash64("host", "path", "kind").alias("key")).unionAll(shared.select(F.xxhash64("host", "path", "kind", "content").alias("key"))).distinct()
 
 
 def extract(pages: DataFrame, weights: tuple[float, ...] = WEIGHTS, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """page_id, url, text per page."""
     seen = materialise(parsed(pages), "parsed")
-    low = materialise(low_nodes(materialise(style_tree(seen), "tree"), weights), "low")
-    keyed = F.transform("blocks", lambda b: F.struct(node_key("host", b["path"], b["content"], b["shown"]).alias("key"), b["text"].alias("text")))
-    rows = seen.select("row", "page_id", "url", keyed.alias("blocks"))
+    low = materialise(low_nodes(seen, weights), "low")
+    own = F.xxhash64("host")
+    keys = lambda b: (F.xxhash64(own, b["path"], b["shown"]), F.xxhash64(own, b["path"], b["shown"], b["content"]))
+    blocks = F.transform("blocks", lambda b: F.struct(keys(b)[0].alias("place"), keys(b)[1].alias("node"), b["text"].alias("text")))
+    rows = seen.select("row", "page_id", "url", blocks.alias("blocks"))
     texts = lambda kept: F.array_join(F.transform(kept, lambda b: b["text"]), " ").alias("text")
     n = low.count()
     if not n:
@@ -290,18 +305,21 @@ def extract(pages: DataFrame, weights: tuple[float, ...] = WEIGHTS, broadcast_ke
         shared = pages.sparkSession.sparkContext.broadcast(np.sort(low.toArrow()["key"].to_numpy()))  # at most broadcast_keys longs
 
         def run(batches):
-            keys = shared.value
+            low = shared.value
             for b in batches:
                 blocks = b.column("blocks")
-                key, text = np.asarray(blocks.flatten().field(0)), blocks.flatten().field(1)
-                keep = keys[np.minimum(np.searchsorted(keys, key), len(keys) - 1)] != key
+                place, node, text = (blocks.flatten().field(i) for i in range(3))
+                keep = np.ones(len(text), bool)
+                for key in (np.asarray(place), np.asarray(node)):
+                    keep &= low[np.minimum(np.searchsorted(low, key), len(low) - 1)] != key
                 ends = np.concatenate([[0], np.cumsum(keep)])[np.asarray(blocks.offsets) - blocks.offsets[0].as_py()]
                 kept = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), text.filter(pa.array(keep)))
                 yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pc.binary_join(kept, " ")], ["page_id", "url", "text"])
 
         return rows.mapInArrow(run, "page_id long, url string, text string")
-    hit = rows.select("row", F.explode("blocks.key").alias("key")).join(low, "key").groupBy("row").agg(F.collect_set("key").alias("low"))  # a page's own blocks at most
-    kept = F.filter("blocks", lambda b: F.col("low").isNull() | ~F.array_contains("low", b["key"]))
+    every = rows.select("row", F.explode(F.concat("blocks.place", "blocks.node")).alias("key"))
+    hit = every.join(low, "key").groupBy("row").agg(F.collect_set("key").alias("low"))  # a page's own nodes at most
+    kept = F.filter("blocks", lambda b: F.col("low").isNull() | ~(F.array_contains("low", b["place"]) | F.array_contains("low", b["node"])))
     return rows.join(hit, "row", "left").select("page_id", "url", texts(kept))
 
 
