@@ -1,20 +1,22 @@
 """Personal data by weak supervision, in DataFrame functions only.
 
-Regexes propose candidate spans. Labelers vote on each (1 for, 0 against): the strict regex, a
-gazetteer of words of the kind in or before the span, the context before it, the shape of its value,
-and its borders. Expectation-maximisation over the counts of vote patterns estimates, per labeler, how
-often it is right; the posteriors train a logistic classifier over votes and kind, and the candidates
-it accepts are added. The spans of the four base kinds always stay.
-
-Only the counts of patterns reach the driver: kinds x 2^labelers rows at most. Null texts are empty,
-an empty table gives no rows, null or repeated doc_ids give a row each. Only doc_id, text and the
-columns named in `keep` are read.
+Regexes propose candidate spans. Six labelers vote on each, for or against: the strict form of its kind
+(number ranges, check digits), a gazetteer (mail domains, calling and country codes, card issuers), cue words
+before it, the absence of words that announce another number, the shape of its value, and its borders.
+Expectation-maximisation over the counts of vote patterns estimates for each kind how often each labeler is
+right. The two classes cannot swap: rates start at and are drawn to RATES with the weight of DRAWN candidates,
+and a labeler never counts as worse than chance. The posteriors train a logistic span classifier over kind,
+votes and three features that do not vote; the candidates that it accepts are added. The spans of the four base
+kinds always stay, and candidates that overlap one are no candidates.
+
+Only the counts of patterns reach the driver: kinds x 2^(labelers + features) rows at most. Null texts are
+empty, an empty table gives no rows, null or repeated doc_ids give a row each. Only doc_id, text and the
+columns named in `keep` are read. A very long text costs its length, as no pattern backtracks over a run.
 """
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession
 
@@ -27,7 +29,7 @@ EXTRA = {
     "obscured_email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++ ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]++(?: ?(?:\(dot\)|\[dot\]|\.) ?[A-Za-z0-9-]++){1,4}",
     "local_phone": r"(?<![0-9A-Za-z.+)-])(?<!\+[0-9] )\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}(?![0-9-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}+(?: ?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])",
 }
 KINDS = (*BASE, *EXTRA)
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -35,20 +37,31 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}"
 PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 DIGITS = r"[0-9][0-9\x20-]{10,}[0-9]"  # holds every card; a chain of digits ends at two separators
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-CONTEXT = {
-    "email": "mail|contact|write|@", "ip": "ip|server|host|address|login", "card": "card|visa|credit|pay|amex", "phone": "phone|tel|call|mobile|fax|cell",
-    "obscured_email": "mail|contact|write|at", "local_phone": "phone|tel|call|mobile|fax|cell", "ssn": "ssn|social|security", "iban": "iban|bank|account|konto|cuenta|compte",
+MAIL_DOMAIN = r"\.? ?(?:com|org|net|edu|gov|mil|int|info|biz|io|co|de|at|ch|fr|be|es|it|nl|pl|pt|uk|us|eu|ru|cn|jp|in|br|au|ca|example|test)$"
+CUES = {
+    "email": r"\b(?:e-?mail|mail|contact|write|reach|correo|courriel|kontakt)\b", "ip": r"\b(?:ip|server|host|address|login|from|node|peer|client)\b",
+    "card": r"\b(?:card|visa|mastercard|credit|debit|pay|amex|karte|carte|tarjeta)\b", "phone": r"\b(?:phone|tel|call|mobile|fax|cell|telefon|t[eé]l[eé]fono?|handy|number)\b",
+    "obscured_email": r"\b(?:e-?mail|mail|contact|write|reach|correo|courriel|kontakt)\b", "local_phone": r"\b(?:phone|tel|call|mobile|fax|cell|telefon|t[eé]l[eé]fono?|handy|dial|ring)\b",
+    "ssn": r"\b(?:ssn|social|security|taxpayer|born|applicant)\b", "iban": r"\b(?:iban|bank|account|konto|cuenta|compte|transfer|virement|payee)\b",
+}
+OTHER = r"(?:\b(?:order|invoice|part|item|sku|ref|reference|isbn|issn|version|ver|serial|tracking|ticket|model|case|lot|batch|article|section|art)\b\W{0,3}(?:(?:number|id|code|nr|no)\b\W{0,3})?|[#$€£])$"
+STRICT = {
+    "email": r"^[A-Za-z0-9][^@]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}$", "ip": r"^(?:[1-9][0-9]{0,2})(?:\.(?:0|[1-9][0-9]{0,2})){3}$", "card": r"^(?:[0-9]{12,19}|[0-9]{4}(?:[ -][0-9]{4}){2,3}[ -]?[0-9]{0,4})$", "phone": r"^\+[1-9]",
+    "obscured_email": r"^[A-Za-z0-9][A-Za-z0-9._%+-]{0,63} ?[(\[]", "local_phone": r"^\(?[2-9][0-9]{2}\)?.[2-9][0-9]{2}", "ssn": r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)",
 }
 GAZETTEER = {
-    "email": r"\.(?:com|org|net|edu|gov|io|de|fr|es|uk|info)$", "ip": r"^(?:10|127|172|192)\.", "card": r"^(?:4|5[1-5]|3[47]|6(?:011|5))", "phone": r"^\+(?:1|3[0-9]|4[0-9]|5[0-9]|6[0-9]|7|8[0-9]|9[0-9])",
-    "obscured_email": r"(?:com|org|net|edu|gov|io|de|fr|es|uk|info)$", "local_phone": r"555|^\(?[2-9]", "ssn": r"^(?!000|666|9)", "iban": r"^(?:DE|FR|ES|GB|IT|NL|BE|CH|AT|PT|PL)",
+    "email": MAIL_DOMAIN, "ip": r"^(?!0|127|22[4-9]|23[0-9]|24[0-9]|25[0-5])", "card": r"^(?:4|5[1-5]|2[2-7]|3[47]|6(?:011|4[4-9]|5)|35)", "phone": r"^\+(?:1|2[0-9]|3[0-9]|4[0-9]|5[0-9]|6[0-6]|7|8[0-9]|9[0-9])",
+    "obscured_email": MAIL_DOMAIN, "local_phone": r"^\(?(?:20[1-9]|2[1-9][0-9]|[3-9](?:0[1-9]|[1-8][0-9]))", "ssn": r"^(?!123-45-6789|078-05-1120|219-09-9999)(?:[0-6]|7[0-6]|77[0-2])", "iban": r"^(?:AT|BE|BG|CH|CY|CZ|DE|DK|EE|ES|FI|FR|GB|GR|HR|HU|IE|IS|IT|LI|LT|LU|LV|MC|MT|NL|NO|PL|PT|RO|SA|SE|SI|SK|SM|TR)",
 }
 SHAPE = {
-    "email": r"^[^@]{1,64}@.{3,}$", "ip": rf"^{PART}(?:\.{PART}){{3}}$", "card": r"^(?:[0-9]{12,19}|[0-9]{4}(?:[ -][0-9]{4}){2,3}[ -]?[0-9]{0,4})$", "phone": r"^\+[0-9]{1,3}[ (.-]",
-    "obscured_email": r"^\S{2,64} ?[(\[]", "local_phone": r"^\(?[2-9][0-9]{2}", "ssn": r"^(?:[0-9]{3})-(?!00)[0-9]{2}-(?!0000)", "iban": r"^.{15,42}$",
+    "email": r"^[^@]{2,64}@.{5,}$", "ip": r"^.{7,15}$", "card": r"^([0-9])(?!.*^(?:\1[ -]?)+$)", "phone": r"^\+[0-9]{1,3}[ (.-]|^\+[0-9]{9,15}$",
+    "obscured_email": r"^\S{2,64} ?(?:\(at\)|\[at\]) ?\S+ ?(?:\(dot\)|\[dot\]|\.[A-Za-z])", "local_phone": r"^(?:\([0-9]{3}\) |[0-9]{3}([.-]))[0-9]{3}(?:\1|-)[0-9]{4}$", "ssn": r"^(?!([0-9])\1\1-\1\1-\1{4})", "iban": r"^[A-Z]{2}[0-9]{2}(?:(?: [A-Z0-9]{4})+(?: [A-Z0-9]{1,4})?|[A-Z0-9]+)$",
 }
-VOTES = ("strict", "gazetteer", "context", "shape", "border")
-WINDOW = 40
+RATES = {"strict": (0.95, 0.3), "gazetteer": (0.85, 0.35), "cue": (0.5, 0.1), "alone": (0.97, 0.6), "shape": (0.9, 0.5), "border": (0.95, 0.6)}  # votes for: true, false candidates
+VOTES = tuple(RATES)
+FEATURES = ("cue_after", "opens_line", "bracketed")
+DRAWN = 50
+WINDOW, AFTER = 40, 16
 ROUNDS = 50
 
 
@@ -63,6 +76,18 @@ def luhn(value: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.length(digits) - 1), F.lit(0), add) % 10 == 0
 
 
+def mod_97(value: Column) -> Column:
+    """Whether an account number passes its check digits: the country code and they go last, letters count as 10 to 35."""
+    plain = F.regexp_replace(value, " ", "")
+    turned = F.concat(F.substring(plain, 5, 64), F.substring(plain, 1, 4))
+
+    def add(rest, c):
+        n = F.instr(F.lit("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"), c) - 1
+        return (rest * F.when(n > 9, 100).otherwise(10) + n) % 97
+
+    return F.aggregate(F.split(turned, ""), F.lit(0), add) == 1
+
+
 def n_digits(value: Column) -> Column:
     return F.length(F.regexp_replace(value, "[^0-9]", ""))
 
@@ -101,73 +126,95 @@ def propose(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     def voted(spans: Column, kind: str) -> Column:
         def vote(s):
             before = F.lower(F.substring(text, F.greatest(F.lit(1), s["start"] - WINDOW + 1), F.least(s["start"], F.lit(WINDOW))))
-            after = F.substring(text, s["end"] + 1, 1)
-            marks = (F.lit(kind in BASE), s["value"].rlike(GAZETTEER[kind]), before.rlike(CONTEXT[kind]), s["value"].rlike(SHAPE[kind]), ~(before.rlike(r"[0-9a-z]$") | after.rlike("[0-9A-Za-z]")))
+            after = F.lower(F.substring(text, s["end"] + 1, AFTER))
+            value = s["value"]
+            strict = {"card": luhn(value) & value.rlike(STRICT["card"]), "iban": mod_97(value)}.get(kind)
+            marks = (
+                value.rlike(STRICT[kind]) if strict is None else strict,
+                value.rlike(GAZETTEER[kind]),
+                before.rlike(CUES[kind]),
+                ~before.rlike(OTHER),
+                value.rlike(SHAPE[kind]),
+                ~(before.rlike(r"[0-9a-z_/=]$") | after.rlike(r"^[0-9a-z_/=]")),
+                after.rlike(CUES[kind]),
+                before.rlike(r"(?:^|\n)\s*$"),
+                before.rlike(r"[(<\[\"']$"),
+            )
             bits = sum((F.when(m, 1 << i).otherwise(0) for i, m in enumerate(marks)), F.lit(0))
             return F.struct(s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("order"), s["end"].alias("end"), F.lit(kind).alias("kind"), bits.alias("votes"))
 
         return F.transform(spans, vote)
 
-    base = [voted(sound[k], k).alias(k) for k in BASE]
-    return rows.select("doc_id", *keep, *base, F.concat(*(voted(F.col(f"_{k}"), k) for k in EXTRA)).alias("extra"))
-
-
-def reliabilities(counts: dict[tuple[str, int], int], rounds: int = ROUNDS) -> dict[tuple[str, int], float]:
-    """Posterior of each (kind, vote pattern), by expectation-maximisation of the labelers' hit and false alarm rates."""
-    hit, alarm = [0.8] * len(VOTES), [0.3] * len(VOTES)
-    prior, post = {k: 0.5 for k, _ in counts}, {}
-    for _ in range(rounds):
-        for kind, bits in counts:
-            yes, no = math.log(prior[kind]), math.log(1 - prior[kind])
-            for i in range(len(VOTES)):
-                on = bits >> i & 1
-                yes += math.log(hit[i] if on else 1 - hit[i])
-                no += math.log(alarm[i] if on else 1 - alarm[i])
-            post[kind, bits] = 1 / (1 + math.exp(max(-500, min(500, no - yes))))
-        n_yes = sum(n * post[x] for x, n in counts.items())
-        n_no = sum(n * (1 - post[x]) for x, n in counts.items())
-        for i in range(len(VOTES)):
-            hit[i] = (4 + sum(n * post[x] for x, n in counts.items() if x[1] >> i & 1)) / (5 + n_yes)
-            alarm[i] = (1.5 + sum(n * (1 - post[x]) for x, n in counts.items() if x[1] >> i & 1)) / (5 + n_no)
-        for kind in prior:
-            own = [(n, post[x]) for x, n in counts.items() if x[0] == kind]
-            prior[kind] = (1 + sum(n * p for n, p in own)) / (2 + sum(n for n, _ in own))
-    return post
-
-
-def classifier(counts: dict[tuple[str, int], int], post: dict[tuple[str, int], float], steps: int = 2000) -> tuple[dict[str, float], list[float]]:
-    """Weights of kinds and votes of a logistic regression on the posteriors."""
-    kinds, votes = {k: 0.0 for k, _ in counts}, [0.0] * len(VOTES)
-    total = sum(counts.values()) or 1
+    overlaps = lambda s, base: (base["start"] < s["end"]) & (s["start"] < base["end"])
+    rows = rows.select("doc_id", *keep, "_text", *(sound[k].alias(k) for k in BASE), *(f"_{k}" for k in EXTRA))
+    apart = {k: F.filter(f"_{k}", lambda s: ~F.exists(F.concat(*BASE), lambda b: overlaps(s, b))) for k in EXTRA}
+    return rows.select("doc_id", *keep, *(voted(F.col(k), k).alias(k) for k in BASE), *(voted(apart[k], k).alias(k) for k in EXTRA))
+
+
+def reliabilities(counts: dict[tuple[str, int], int], rounds: int = ROUNDS) -> tuple[dict[tuple[str, int], float], dict[str, np.ndarray]]:
+    """Posterior of each (kind, pattern) and, by kind, the labelers' rates of votes for true and for false candidates, by expectation-maximisation."""
+    start = np.array(list(RATES.values())).T  # class (true, false), labeler
+    post, rates = {}, {}
+    for kind in sorted({k for k, _ in counts}):
+        bits = sorted(b for k, b in counts if k == kind)
+        n = np.array([counts[kind, b] for b in bits], float)
+        on = np.array([[b >> i & 1 for i in range(len(VOTES))] for b in bits], float)
+        rate, prior = start.copy(), 0.5
+        for _ in range(rounds):
+            log = [np.log(share) + on @ np.log(r) + (1 - on) @ np.log(1 - r) for share, r in zip((prior, 1 - prior), rate)]
+            true = 1 / (1 + np.exp(np.clip(log[1] - log[0], -500, 500)))
+            for c, of in enumerate((true, 1 - true)):
+                rate[c] = (DRAWN * start[c] + (n * of) @ on) / (DRAWN + (n * of).sum())
+            rate[0] = np.clip(np.maximum(rate[0], rate[1]), 0.01, 0.99)  # no labeler is worse than chance
+            rate[1] = np.clip(rate[1], 0.01, 0.99)
+            prior = (DRAWN / 2 + (n * true).sum()) / (DRAWN + n.sum())
+        rates[kind] = rate
+        post |= {(kind, b): float(p) for b, p in zip(bits, true)}
+    return post, rates
+
+
+def classifier(counts: dict[tuple[str, int], int], post: dict[tuple[str, int], float], steps: int = 30) -> dict[str, tuple[float, list[float]]]:
+    """By kind the offset and the weights of votes and features: a logistic regression on the posteriors (Newton's method), with weights of the kinds drawn to common ones."""
+    keys, width = sorted(counts), len(VOTES) + len(FEATURES)
+    kinds = sorted({k for k, _ in keys})
+    if not keys:
+        return {}
+    n, y = np.array([counts[k] for k in keys], float), np.array([post[k] for k in keys])
+    on = np.array([[b >> i & 1 for i in range(width)] for _, b in keys], float)
+    x = np.zeros((len(keys), (width + 1) * (len(kinds) + 1)))
+    x[:, :width], x[:, width] = on, 1
+    for r, (kind, _) in enumerate(keys):
+        at = (width + 1) * (1 + kinds.index(kind))
+        x[r, at : at + width], x[r, at + width] = on[r], 1
+    penalty = np.full(x.shape[1], 1.0)
+    penalty[: width + 1] = 0.1
+    w = np.zeros(x.shape[1])
+    total = {k: sum(c for (kind, _), c in counts.items() if kind == k) for k in kinds}
+    n = n * np.array([min(1.0, 1e3 / total[k]) for k, _ in keys])  # kinds weigh alike, and the penalty keeps its order at every size
     for _ in range(steps):
-        by_kind, by_vote = {k: 0.001 * w for k, w in kinds.items()}, [0.001 * w for w in votes]
-        for (kind, bits), n in counts.items():
-            z = kinds[kind] + sum(w for i, w in enumerate(votes) if bits >> i & 1)
-            d = n / total * (1 / (1 + math.exp(-max(-500, min(500, z)))) - post[kind, bits])
-            by_kind[kind] += d
-            for i in range(len(VOTES)):
-                by_vote[i] += d * (bits >> i & 1)
-        kinds = {k: w - by_kind[k] for k, w in kinds.items()}
-        votes = [w - g for w, g in zip(votes, by_vote)]
-    return kinds, votes
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x.T * (n * p * (1 - p))) @ x + np.diag(penalty), x.T @ (n * (p - y)) + penalty * w)
+        w = w - step
+        if np.abs(step).max() < 1e-9:
+            break
+    common, own = w[: width + 1], w[width + 1 :].reshape(len(kinds), width + 1)
+    return {k: (float(o[-1] + common[-1]), (o[:-1] + common[:-1]).tolist()) for k, o in zip(kinds, own)}
 
 
 def find(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the kept columns, the spans of each base kind, and `spans`: all spans."""
     proposed = materialise(propose(docs, keep), "proposed")
-    every = proposed.select(F.explode(F.concat(*BASE, "extra")).alias("s")).groupBy("s.kind", "s.votes").count()
-    counts = {(r.kind, r.votes): r["count"] for r in sorted(every.collect())}
-    kinds, votes = classifier(counts, reliabilities(counts))
-    weight = F.create_map(*(F.lit(x) for k in KINDS for x in (k, float(kinds.get(k, 0.0)))))
+    every = proposed.select(F.explode(F.concat(*KINDS)).alias("s")).groupBy("s.kind", "s.votes").count()
+    counts = {(r.kind, r.votes): r["count"] for r in every.collect()}
+    post, _ = reliabilities(counts)
+    model = classifier(counts, post)
 
-    def accepted(s):
-        score = sum((F.when(s["votes"].bitwiseAND(1 << i) > 0, w).otherwise(0.0) for i, w in enumerate(votes)), F.element_at(weight, s["kind"]))
-        return score >= 0
+    def accepted(kind: str) -> Column:
+        offset, weights = model.get(kind, (-1.0, []))
+        return F.filter(kind, lambda s: sum((F.when(s["votes"].bitwiseAND(1 << i) > 0, w).otherwise(0.0) for i, w in enumerate(weights)), F.lit(offset)) >= 0)
 
     plain = lambda c: F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["order"].alias("order"), s["end"].alias("end"), s["kind"].alias("kind")))
-    base = F.concat(*BASE)
-    apart = lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    spans = F.concat(*(plain(F.col(k)) for k in BASE), plain(F.filter(F.filter("extra", accepted), apart)))
+    spans = F.concat(*(plain(F.col(k)) for k in BASE), *(plain(accepted(k)) for k in EXTRA))
     return proposed.select("doc_id", *keep, *(plain(F.col(k)).alias(k) for k in BASE), F.array_sort(spans).alias("spans"))
 
 
