@@ -49,12 +49,51 @@ def truth(docs, tokenizer):
 def test_huffman_round_trip(spark, docs, none, tokenizer):
     for frame in (docs, none):
         path = huffman.table_path(spark, "test")
-        lengths = huffman.write_corpus(frame, BYTE_BPE, path)
-        got = huffman.read(spark, path, lengths).orderBy("part", "local_start").collect()
+        huffman.write_corpus(frame, BYTE_BPE, path)
+        got = huffman.read(spark, path).orderBy("part", "local_start").collect()
         assert sorted((r.doc_id is not None, r.doc_id or 0, tuple(np.frombuffer(r.ids, "<u2").tolist())) for r in got) == truth(frame, tokenizer)
         assert [(r.doc_id is not None, r.doc_id or 0) for r in got] == sorted((r.doc_id is not None, r.doc_id or 0) for r in got)
 
 
+def test_huffman_files_stand_alone(spark, docs, tokenizer):
+    """Decodes the files with nothing but what they hold, and without Spark."""
+    import pyarrow.parquet as pq
+
+    path = huffman.table_path(spark, "alone")
+    huffman.write_corpus(docs, BYTE_BPE, path)
+    codes = pq.read_table(f"{path}/codes").to_pylist()[0]
+    assert codes["version"] == huffman.VERSION and codes["tokenizer"] == "byte_bpe_50k.json"
+    book, at, last = {}, 0, 0
+    for size, token in sorted(zip(codes["lengths"], codes["tokens"])):  # canonical: shorter first, then smaller tokens
+        at <<= size - last
+        book[f"{at:0{size}b}"], at, last = token, at + 1, size
+    got = []
+    for row in pq.read_table(f"{path}/documents").to_pylist():
+        ids = []
+        for block in row["blocks"]:
+            bits, held, word = "".join(f"{x:08b}" for x in block["payload"]), [], ""
+            for i, bit in enumerate(bits):
+                if not word and len(held) < block["n_ids"] and len(held) % huffman.STEP == 0:
+                    assert block["checkpoints"][len(held) // huffman.STEP] == i
+                word += bit
+                if word in book and len(held) < block["n_ids"]:
+                    held.append(book[word])
+                    word = ""
+            ids += held
+        got.append((row["doc_id"] is not None, row["doc_id"] or 0, tuple(ids)))
+    assert sorted(got) == truth(docs, tokenizer)
+
+
+def test_huffman_spreads_a_hot_id(spark):
+    rows = [(None if i % 3 else 7, f"text number {i} of one id") for i in range(900)]
+    path = huffman.table_path(spark, "hot")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    huffman.write_corpus(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), BYTE_BPE, path)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    parts = {r.part: r["count"] for r in huffman.read(spark, path).groupBy("part").count().collect()}
+    assert max(parts.values()) < 500
+
+
 def test_code_lengths_are_optimal_and_limited():
     rng = random.Random(1)
     for n in (1, 2, 3, 60, 900):

@@ -1,16 +1,21 @@
 """Token-id output: canonical length-limited Huffman coding of ids from global counts.
 
-The file format is a Parquet folder. A row is one document: doc_id, part and local_start (its place
-in ascending doc_id order), n_tokens, and independent blocks of at most BLOCK ids, each with its
+The file format is a folder of two Parquet tables that need nothing else to be decoded.
+`codes`: one row with the format's version, the tokenizer's file name, and the code length of each token,
+which fixes the canonical code. `documents`: a row is one document: doc_id, part and local_start (its
+place in ascending doc_id order), n_tokens, and independent blocks of at most BLOCK ids, each with its
 payload bytes and, every STEP ids, a checkpoint: the bit at which that id's code begins. A block is
 decoded from the code lengths alone; all stretches between checkpoints are decoded side by side.
 
-Null texts are empty, null doc_ids come first, repeated doc_ids are kept and ordered by content,
-an empty table gives an empty folder. Only doc_id and text are read, so other columns cannot clash.
+Null texts are empty, null doc_ids come first, repeated doc_ids are kept and ordered by content (their
+range is cut by content too, so that an id with a third of the rows spreads over many tasks), an empty
+table gives no documents. Very long texts are cut into blocks. Only doc_id and text are read, so other
+columns cannot clash.
 """
 
 from __future__ import annotations
 
+import os
 import zlib
 
 import numpy as np
@@ -26,6 +31,8 @@ MAX_BITS = 16
 BLOCK = 1 << 16
 STEP = 256
 GROUP_TOKENS = 1 << 21
+VERSION = 1
+CODES = "version int, tokenizer string, tokens array<int>, lengths array<int>"
 
 
 def id_table(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
@@ -151,8 +158,8 @@ BLOCKS = pa.list_(pa.struct([("n_ids", pa.int32()), ("checkpoints", pa.list_(pa.
 ROW = "doc_id long, part int, local_start long, n_tokens long, blocks array<struct<n_ids:int,checkpoints:array<int>,payload:binary>>"
 
 
-def write(ids: DataFrame, lengths: dict[int, int], path: str) -> None:
-    """Writes an id_table in ascending doc_id order."""
+def write(ids: DataFrame, lengths: dict[int, int], path: str, tokenizer: str = "") -> None:
+    """Writes an id_table in ascending doc_id order, and its codes."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -188,12 +195,25 @@ def write(ids: DataFrame, lengths: dict[int, int], path: str) -> None:
                 local += int(size.sum())
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), pa.array([part] * (hi - lo), pa.int32()), pa.array(begin), pa.array(size), listed], ["doc_id", "part", "local_start", "n_tokens", "blocks"])
 
-    ordered = ids.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.crc32("ids"))
-    ordered.mapInArrow(run, ROW).write.option("compression", "none").parquet(path)
+    spark = ids.sparkSession
+    codes = spark.createDataFrame([(VERSION, os.path.basename(tokenizer), list(lengths), list(lengths.values()))], CODES)
+    codes.coalesce(1).write.parquet(f"{path}/codes")
+    keyed = ids.withColumn("sum", F.crc32("ids"))
+    ordered = keyed.repartitionByRange("doc_id", "sum").sortWithinPartitions("doc_id", "sum").drop("sum")
+    ordered.mapInArrow(run, ROW).write.option("compression", "none").parquet(f"{path}/documents")
 
 
-def read(spark: SparkSession, path: str, lengths: dict[int, int]) -> DataFrame:
+def code_table(spark: SparkSession, path: str) -> dict[int, int]:
+    """The code length of each token, as written beside the documents."""
+    codes = spark.read.schema(CODES).parquet(f"{path}/codes").first()
+    if codes.version != VERSION:
+        raise ValueError(f"format version {codes.version} of {path} is not {VERSION}")
+    return dict(zip(codes.tokens, codes.lengths))
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, part, local_start, n_tokens and the decoded ids of files that write() made."""
+    lengths = code_table(spark, path)
 
     def run(batches):
         code = Code(lengths)
@@ -213,22 +233,21 @@ def read(spark: SparkSession, path: str, lengths: dict[int, int]) -> DataFrame:
             ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(per)])]
             yield pa.RecordBatch.from_arrays([b.column(c) for c in ("doc_id", "part", "local_start", "n_tokens")] + [id_arrays(ids, ends).cast(pa.binary())], ["doc_id", "part", "local_start", "n_tokens", "ids"])
 
-    return spark.read.schema(ROW).parquet(path).mapInArrow(run, "doc_id long, part int, local_start long, n_tokens long, ids binary")
+    return spark.read.schema(ROW).parquet(f"{path}/documents").mapInArrow(run, "doc_id long, part int, local_start long, n_tokens long, ids binary")
 
 
-def write_corpus(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0) -> dict[int, int]:
-    """Encodes and writes whole texts; returns the code lengths, at most one per vocabulary entry."""
+def write_corpus(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0) -> None:
+    """Encodes whole texts and writes them with their code, which has one length per vocabulary entry at most."""
     ids = materialise(id_table(docs, tokenizer, end_id), "ids")
     counts = [(r.token, r.n) for r in token_counts(ids).collect()]  # bounded by the vocabulary
     lengths = code_lengths(np.array([n for _, n in counts], np.int64))
     lengths = {t: int(size) for (t, _), size in zip(counts, lengths)}
-    write(ids, lengths, path)
-    return lengths
+    write(ids, lengths, path, tokenizer)
 
 
 def op1_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = table_path(spark, "huffman")
-    lengths = write_corpus(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), path)
+    write_corpus(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), path)
 
     def digest(batches):
         for b in batches:
@@ -236,8 +255,8 @@ def op1_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
             sums = [crc(flat[i:j]) for i, j in zip(at[:-1], at[1:])]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("part"), b.column("local_start"), pa.array(np.diff(at)), pa.array(sums, pa.int64())], ["doc_id", "part", "local_start", "n_tokens", "ids_crc32"])
 
-    decoded = read(spark, path, lengths).mapInArrow(digest, "doc_id long, part int, local_start long, n_tokens long, ids_crc32 long")
-    totals = spark.read.schema(ROW).parquet(path).groupBy("part").agg(F.max(F.col("local_start") + F.col("n_tokens")).alias("n"))
+    decoded = read(spark, path).mapInArrow(digest, "doc_id long, part int, local_start long, n_tokens long, ids_crc32 long")
+    totals = spark.read.schema(ROW).parquet(f"{path}/documents").groupBy("part").agg(F.max(F.col("local_start") + F.col("n_tokens")).alias("n"))
     order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per written partition
     bases = totals.select("part", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base"))
     return decoded.join(F.broadcast(bases), "part").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
