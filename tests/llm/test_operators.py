@@ -419,14 +419,16 @@ def test_decontamination(spark, none):
     assert decontaminate.matches(frame, bench.limit(0)).count() == 0
 
 
-def test_decontamination_matches_brute_force(spark):
+@pytest.mark.parametrize("joined", [decontaminate.JOINED, 40])
+def test_decontamination_matches_brute_force(spark, joined, monkeypatch):
+    monkeypatch.setattr(decontaminate, "JOINED", joined)
     rng = random.Random(14)
     vocabulary = [f"w{i}" for i in range(150)]
     say = lambda n: [rng.choice(vocabulary) for _ in range(n)]
     items = [say(n) for n in (3, 5, 9, 15, 25, 40, 40, 59)]
     docs = [say(120) for _ in range(10)]
     for item in items:
-        for share in (0.1, 0.15, 0.2, 0.25, 0.3):
+        for share in (0.05, 0.1, 0.15, 0.2, 0.25, 0.3):
             docs.append(say(30) + [f"x{i}" if rng.random() < share else x for i, x in enumerate(item)] + say(30))
         docs += [say(20) + [f"x{i}" if i % 5 == 4 else x for i, x in enumerate(item)], [y for x in item for y in (x, "put")], [x for i, x in enumerate(item) if i % 4] + say(9)]
     code = {w: i for i, w in enumerate(sorted({w for t in docs + items for w in t}))}
@@ -438,6 +440,14 @@ def test_decontamination_matches_brute_force(spark):
     assert sum(i == 5 for _, i in want) >= 7
 
 
+def test_seeds_are_rare_and_suffice():
+    items = decontaminate.Items([1, 2], ["in the end of the day we saw a quiet river run past the old mill", "in the end of the day they sold nine red boats to the last crew"])
+    every, common = len(items.place), items.pair[np.bincount(np.repeat(np.arange(len(items.pair)), np.diff(items.first))) == 2]
+    frequency = np.where(np.isin(items.pair, common), 1000, 1)
+    items.choose(frequency)
+    assert len(items.place) == every - (items.need - items.hits).sum() < every and not np.isin(items.pair, common).all()
+
+
 def test_stages_judge_rows_not_ids(spark, monkeypatch):
     import corpus_pipeline
 
