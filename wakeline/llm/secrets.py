@@ -1,13 +1,18 @@
 """Secret scans with a trigram inverted index, in DataFrame functions only.
 
 From each rule's regex a Boolean query over lower-case trigrams is derived: a conjunction of groups of
-alternatives, each a set of trigrams that a match must hold. The index has postings (trigram, doc_id)
-for the trigrams of all queries; the postings of each alternative are intersected by counting, and
-only the documents that satisfy a rule's query are verified with its regex. Rules without mandatory
-trigrams scan every document, as do documents without a doc_id.
-
-Null texts are empty, an empty table gives no rows, repeated rows (and repeated doc_ids, which share
-their candidates and are verified each for itself) give a row each. Only doc_id and text are read.
+alternatives, each a set of trigrams that a match must hold. The index has postings (trigram, row key)
+for the trigrams that queries name (postings of all trigrams would be some ten times the text); the
+postings of each alternative are intersected by counting, and only the rows that satisfy a rule's query
+are verified with its regex. Rules without mandatory trigrams scan every row.
+
+A row's key is the hash of its doc_id and text, so equal rows share their candidates, which are verified
+for each. The candidates come back to the texts by broadcast while there are BROADCAST_ROWS at most, and
+the texts then never leave their tasks; beyond, by a shuffle on the key, which is skewed only by equal rows
+(the adaptive join splits those).
+
+Null texts are empty, an empty table gives no rows, rows with null or repeated doc_ids give a row each.
+A very long text costs its length. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -20,10 +25,11 @@ from itertools import product
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession
 
-from wakeline.llm.common import table
+from wakeline.llm.common import materialise, table
 from wakeline.llm.native import SPANS, joined, lay_out, matches, named
 
 STRINGS = 64  # exact strings held at once while a query is derived
+BROADCAST_ROWS = 1 << 20  # of a long and an int
 
 
 @dataclass(frozen=True)
@@ -100,34 +106,36 @@ def trigram_query(pattern: str) -> list[list[frozenset[str]]]:
     return groups
 
 
-def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """doc_id, rules: the rules whose trigram query the document satisfies."""
-    queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern))}
-    terms = [(kind, g, a, t, len(alternative)) for kind, q in queries.items() for g, group in enumerate(q) for a, alternative in enumerate(group) for t in sorted(alternative)]
-    wanted = sorted({t for _, _, _, t, _ in terms})
-    index = docs.select("doc_id", F.lower("text").alias("low")).filter("doc_id is not null")
-    index = index.select("doc_id", F.explode(F.filter(F.array(*map(F.lit, wanted)), lambda t: F.col("low").contains(t))).alias("trigram"))
-    spark = docs.sparkSession
-    terms = spark.createDataFrame(terms, "rule string, grp int, alt int, trigram string, size int")
-    sizes = spark.createDataFrame([(k, len(q)) for k, q in queries.items()], "rule string, groups int")
+def candidates(keyed: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """key, rules: a bit for each rule whose trigram query the text satisfies; keyed: key, text."""
+    queries = {i: q for i, r in enumerate(rules) if (q := trigram_query(r.pattern))}
+    terms = [(t, i, g, a, len(alternative)) for i, q in queries.items() for g, group in enumerate(q) for a, alternative in enumerate(group) for t in sorted(alternative)]
+    wanted = sorted({t for t, *_ in terms})
+    low = F.lower("text")
+    index = keyed.select("key", F.explode(F.filter(F.array(*map(F.lit, wanted)), lambda t: low.contains(t))).alias("trigram")).distinct()
+    spark = keyed.sparkSession
+    terms = spark.createDataFrame(terms, "trigram string, rule int, grp int, alt int, size int")
+    sizes = spark.createDataFrame([(i, len(q)) for i, q in queries.items()], "rule int, groups int")
     hits = index.join(F.broadcast(terms), "trigram")  # a row for each trigram of the rules
-    met = hits.groupBy("doc_id", "rule", "grp", "alt", "size").agg(F.countDistinct("trigram").alias("n")).filter("n = size")
-    full = met.groupBy("doc_id", "rule").agg(F.countDistinct("grp").alias("n")).join(F.broadcast(sizes), "rule").filter("n = groups")
-    return full.groupBy("doc_id").agg(F.collect_set("rule").alias("rules"))
+    met = hits.groupBy("key", "rule", "grp", "alt", "size").count().filter("count = size").select("key", "rule", "grp").distinct()
+    full = met.groupBy("key", "rule").count().join(F.broadcast(sizes), "rule").filter("count = groups")
+    return full.groupBy("key").agg(F.bit_or(F.expr("shiftleft(1, rule)")).alias("rules"))
 
 
 def long_enough(spans: Column, values: Column, least: int) -> Column:
     return F.filter(spans, lambda _, i: F.length(F.get(values, i)) >= least)
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, text and, for each rule, its spans."""
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = texts.join(candidates(texts, rules), "doc_id", "left")
+    keyed = texts.withColumn("key", F.xxhash64("doc_id", "text"))
+    found = materialise(candidates(keyed, rules), "candidates")
+    rows = keyed.join(F.broadcast(found) if found.count() <= broadcast_rows else found, "key", "left")
     found = {}
-    for r in rules:
-        due = F.col("doc_id").isNull() | F.array_contains("rules", r.kind) if trigram_query(r.pattern) else F.lit(True)
-        due = F.coalesce(due, F.lit(False)) & F.col("text").rlike(r.pattern)
+    for i, r in enumerate(rules):
+        due = F.coalesce("rules", F.lit(0)).bitwiseAND(1 << i) > 0 if trigram_query(r.pattern) else F.lit(True)
+        due = due & F.col("text").rlike(r.pattern)
         kept, around = matches(F.col("text"), r.pattern)
         found[f"{r.kind}_kept"] = F.when(due, kept)
         found[f"{r.kind}_around"] = F.when(due, around)
