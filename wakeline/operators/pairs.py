@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyspark.sql.functions as F
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 
 from wakeline.functions.geo import haversine_nm, in_box
 
@@ -15,30 +15,80 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def cells(points: DataFrame, seconds: int, degrees: float = 1.0) -> DataFrame:
-    return points.withColumns({"bucket": F.floor(F.col("t") / seconds), "cell_lat": F.floor(F.col("lat") / degrees), "cell_lon": F.floor(F.col("lon") / degrees)})
+def _cells_in(row: Column, degrees: float) -> Column:
+    """How many cells a band of latitude has: each as wide as `degrees` of latitude are high, at the edge of the next band."""
+    edge = F.least(F.lit(90.0), (F.greatest(F.abs(row), F.abs(row + 1)) + 1) * degrees)
+    return F.greatest(F.lit(1), F.floor(360.0 * F.cos(F.radians(edge)) / degrees))
 
 
-def meetings(points: DataFrame, seconds: int, nm: float, degrees: float = 1.0) -> DataFrame:
-    """Pairs of vessels (smaller id first) that report in the same bucket and cell within a distance, one row a pair and bucket.
+def _cell(lon: Column, n: Column) -> Column:
+    return F.pmod(F.floor((lon + 180.0) / 360.0 * n), n)
 
-    Each vessel has its first report of a bucket and cell only, so a pair meets once in each.
-    """
-    first = Window.partitionBy("vessel_id", "bucket", "cell_lat", "cell_lon").orderBy("t", "point_id")
-    p = cells(points, seconds, degrees).withColumn("_r", F.row_number().over(first)).filter("_r = 1")
+
+def gridded(df: DataFrame, nm: float, lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """df with the cell (_row, _cell) of each position, for distances up to `nm`; cells narrow towards the poles and close at 180 degrees."""
+    degrees = nm / 59.9
+    row = F.floor(F.col(lat) / degrees)
+    return df.withColumns({"_row": row, "_cell": _cell(F.col(lon), _cells_in(row, degrees))})
+
+
+def around(df: DataFrame, nm: float, lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """df once for each of the up to nine cells in which a position within `nm` can lie."""
+    degrees = nm / 59.9
+    own = F.floor(F.col(lat) / degrees)
+    rows = df.withColumn("_row", F.explode(F.sequence(own - 1, own + 1)))
+    n = _cells_in(F.col("_row"), degrees)
+    at = F.floor((F.col(lon) + 180.0) / 360.0 * n)
+    return rows.withColumn("_cell", F.explode(F.array_distinct(F.transform(F.array(at - 1, at, at + 1), lambda c: F.pmod(c, n)))))
+
+
+def meetings(points: DataFrame, seconds: int, nm: float, apart: int) -> DataFrame:
+    """Pairs of reports of two vessels (smaller id first) in the same bucket, at most `apart` seconds and `nm` from each other, across cell edges."""
     cols = ["vessel_id", "t", "lat", "lon", "sog", "cog"]
-    a = p.select("bucket", "cell_lat", "cell_lon", *(F.col(c).alias(f"{c}_1") for c in cols))
-    b = p.select("bucket", "cell_lat", "cell_lon", *(F.col(c).alias(f"{c}_2") for c in cols))
-    pairs = a.join(b, ["bucket", "cell_lat", "cell_lon"]).filter("vessel_id_1 < vessel_id_2")
-    return pairs.withColumn("nm", haversine_nm("lat_1", "lon_1", "lat_2", "lon_2")).filter(F.col("nm") <= nm)
+    side = lambda df, k: df.select("bucket", "slot", "_row", "_cell", *(F.col(c).alias(f"{c}_{k}") for c in cols))
+    p = points.select(*cols).withColumns({"bucket": F.floor(F.col("t") / seconds), "slot": F.floor(F.col("t") / apart)})
+    a = side(gridded(p, nm), 1)
+    b = side(around(p, nm).withColumn("slot", F.explode(F.array(F.col("slot") - 1, F.col("slot"), F.col("slot") + 1))), 2)
+    met = a.join(b, ["bucket", "slot", "_row", "_cell"]).filter("vessel_id_1 < vessel_id_2").filter(F.abs(F.col("t_1") - F.col("t_2")) <= apart)
+    return met.drop("slot", "_row", "_cell").withColumn("nm", haversine_nm("lat_1", "lon_1", "lat_2", "lon_2")).filter(F.col("nm") <= nm)
 
 
-def consecutive(pairs: DataFrame, least: int) -> DataFrame:
-    """Stretches of consecutive buckets in which a pair met, of `least` buckets or more."""
+def runs_of_meetings(met: DataFrame, least: int) -> DataFrame:
+    """Stretches of consecutive buckets in which a pair met, with the mean place of each bucket's meetings."""
     keys = ["vessel_id_1", "vessel_id_2"]
-    met = pairs.select(*keys, "bucket").distinct()
-    island = met.withColumn("_i", F.col("bucket") - F.row_number().over(Window.partitionBy(*keys).orderBy("bucket")))
-    return island.groupBy(*keys, "_i").agg(F.min("bucket").alias("first_bucket"), F.max("bucket").alias("last_bucket"), F.count("*").alias("n")).filter(F.col("n") >= least).drop("_i")
+    each = met.groupBy(*keys, "bucket").agg(F.avg("lat_1").alias("lat"), F.avg("lon_1").alias("lon"))
+    island = each.withColumn("_i", F.col("bucket") - F.row_number().over(Window.partitionBy(*keys).orderBy("bucket")))
+    n = F.count("*").over(Window.partitionBy(*keys, "_i"))
+    return island.withColumn("n", n).filter(F.col("n") >= least)
+
+
+def turned(a: str, b: str) -> Column:
+    """Angle between two courses, 0 to 180; null if either is."""
+    return F.least(F.abs(F.col(a) - F.col(b)), 360 - F.abs(F.col(a) - F.col(b)))
+
+
+def transfers_by_run(points: DataFrame, zones: DataFrame, ports: DataFrame, seconds: int = 900, nm: float = 0.108, apart: int = 900, knots: float = 1.0, least: int = 8, port_nm: float = 3.0) -> DataFrame:
+    """Pairs that lie slow and (anti)parallel side by side for `least` buckets, away from ports; more points in a transfer zone.
+
+    A missing course does not speak against a pair, a missing speed does.
+    """
+    angle = turned("cog_1", "cog_2")
+    met = meetings(points, seconds, nm, apart).filter((F.col("sog_1") < knots) & (F.col("sog_2") < knots) & F.coalesce((angle <= 30) | (angle >= 150), F.lit(True)))
+    keys = ["vessel_id_1", "vessel_id_2", "_i"]
+    place = runs_of_meetings(met, least).withColumn("point_id", F.struct(*keys, "bucket"))
+    spots = place.groupBy(*keys).agg(F.min("bucket").alias("first_bucket"), F.max("bucket").alias("last_bucket"), F.first("n").alias("n"))
+    ported = near_port(place, ports, port_nm).select("point_id.vessel_id_1", "point_id.vessel_id_2", "point_id._i").distinct()
+    zoned = in_zone(place, zones, "point_id").groupBy(*keys).agg(F.max(F.col("corridor_id").isNotNull()).alias("in_zone"))
+    out = spots.join(ported, keys, "left_anti").join(zoned, keys)
+    return out.select("vessel_id_1", "vessel_id_2", "first_bucket", "last_bucket", "n", F.when(F.col("in_zone"), 35).otherwise(25).alias("score"))
+
+
+def convoys(points: DataFrame, seconds: int = 900, nm: float = 5.0, apart: int = 900, knots: float = 3.0, degrees: float = 15.0, least: int = 16, tiers: tuple[int, int] = (3, 4)) -> DataFrame:
+    """Pairs under way on like courses for `least` buckets or more; a missing speed counts as 0."""
+    speed = lambda c: F.coalesce(F.col(c), F.lit(0.0)) >= knots
+    met = meetings(points, seconds, nm, apart).filter(speed("sog_1") & speed("sog_2") & (turned("cog_1", "cog_2") <= degrees))
+    runs = runs_of_meetings(met, least).groupBy("vessel_id_1", "vessel_id_2", "_i").agg(F.first("n").alias("n"))
+    return runs.select("vessel_id_1", "vessel_id_2", "n", F.when(F.col("n") >= tiers[1], 35).when(F.col("n") >= tiers[0], 25).otherwise(15).alias("score"))
 
 
 def in_zone(df: DataFrame, zones: DataFrame, key: str, lat: str = "lat", lon: str = "lon", tolerance: float = 0.0) -> DataFrame:
@@ -55,17 +105,22 @@ def in_zone(df: DataFrame, zones: DataFrame, key: str, lat: str = "lat", lon: st
 
 
 def near_port(points: DataFrame, ports: DataFrame, nm: float) -> DataFrame:
-    """point_id, port_id, nm: the nearest port of each report within a distance, over cells a radius wide."""
-    degrees = max(0.1, nm / 30.0)
-    cell = lambda c: F.floor(F.col(c) / degrees)
-    around = lambda c: F.sequence(cell(c) - 1, cell(c) + 1)
-    p = ports.select("port_id", F.col("lat").alias("port_lat"), F.col("lon").alias("port_lon"), F.explode(around("lat")).alias("_la"), F.col("lon"))
-    p = p.withColumn("_lo", F.explode(around("lon"))).drop("lon")
-    at = points.select("point_id", "lat", "lon").withColumns({"_la": cell("lat"), "_lo": cell("lon")})
-    near = at.join(small(p), ["_la", "_lo"]).withColumn("nm", haversine_nm("lat", "lon", "port_lat", "port_lon")).filter(F.col("nm") <= nm)
+    """point_id, port_id, nm: the nearest port of each report within a distance."""
+    p = around(ports.select("port_id", F.col("lat").alias("port_lat"), F.col("lon").alias("port_lon")), nm, "port_lat", "port_lon")
+    near = gridded(points.select("point_id", "lat", "lon"), nm).join(small(p), ["_row", "_cell"])
+    near = near.withColumn("nm", haversine_nm("lat", "lon", "port_lat", "port_lon")).filter(F.col("nm") <= nm)
     return near.groupBy("point_id").agg(F.min_by(F.struct("port_id", "nm"), F.struct("nm", "port_id")).alias("_p")).select("point_id", "_p.*")
 
 
+def near_in_space_and_time(left: DataFrame, right: DataFrame, nm: float, seconds: int) -> DataFrame:
+    """Rows of left (lat_1, lon_1, t_1) and right (lat_2, lon_2, t_2) within a distance and a time of each other, with `nm`."""
+    slot = lambda t: F.floor(F.col(t) / seconds)
+    a = gridded(left, nm, "lat_1", "lon_1").withColumn("_slot", slot("t_1"))
+    b = around(right, nm, "lat_2", "lon_2").withColumn("_slot", F.explode(F.array(slot("t_2") - 1, slot("t_2"), slot("t_2") + 1)))
+    near = a.join(b, ["_slot", "_row", "_cell"]).filter(F.abs(F.col("t_1") - F.col("t_2")) <= seconds).drop("_slot", "_row", "_cell")
+    return near.withColumn("nm", haversine_nm("lat_1", "lon_1", "lat_2", "lon_2")).filter(F.col("nm") <= nm)
+
+
 def overlapping(a: DataFrame, b: DataFrame, keys: list[str], day: int = 86_400) -> DataFrame:
     """Rows of a (start_1, end_1) and b (start_2, end_2) with equal keys whose intervals overlap, by buckets of a day."""
     spread = lambda df, s, e: df.withColumn("_d", F.explode(F.sequence(F.floor(F.col(s) / day), F.floor(F.col(e) / day))))

@@ -50,8 +50,8 @@ def p5(spark, d):
     return vessels(spark, d).select("vessel_id").join(reports, "vessel_id", "left").join(gaps, "vessel_id", "left").fillna(0, ["reports", "gaps", "worst"])
 
 
-@query("p6_timeline", sql("""SELECT * FROM (SELECT vessel_id, gap_start AS t, 'gap' AS event, gap_id AS event_id FROM gaps UNION ALL SELECT vessel_id, t, 'mismatch', point_id FROM pos WHERE nav_status = 1 AND sog > 2
-  UNION ALL SELECT vessel_id, t, 'undefined', point_id FROM pos WHERE nav_status = 15) WHERE vessel_id % 10 = 3 ORDER BY t DESC, event, event_id LIMIT 100""", "gaps"))
+@query("p6_timeline", sql("""SELECT vessel_id, t, event, event_id FROM (SELECT *, row_number() OVER (PARTITION BY vessel_id ORDER BY t DESC, event, event_id) AS r FROM (SELECT vessel_id, gap_start AS t, 'gap' AS event, gap_id AS event_id FROM gaps UNION ALL SELECT vessel_id, t, 'mismatch', point_id FROM pos WHERE nav_status = 1 AND sog > 2
+  UNION ALL SELECT vessel_id, t, 'undefined', point_id FROM pos WHERE nav_status = 15)) WHERE r <= 100""", "gaps"))
 def p6(spark, d):
     p = positions(spark, d)
     parts = [
@@ -59,7 +59,8 @@ def p6(spark, d):
         p.filter("nav_status = 1 and sog > 2").select("vessel_id", "t", F.lit("mismatch").alias("event"), F.col("point_id").alias("event_id")),
         p.filter("nav_status = 15").select("vessel_id", "t", F.lit("undefined").alias("event"), F.col("point_id").alias("event_id")),
     ]
-    return A.timeline(parts).filter("vessel_id % 10 = 3").orderBy(F.desc("t"), "event", "event_id").limit(100)
+    newest = Window.partitionBy("vessel_id").orderBy(F.desc("t"), "event", "event_id")
+    return A.timeline(parts).withColumn("r", F.row_number().over(newest)).filter("r <= 100").drop("r")
 
 
 @query("p8_event_list", sql("SELECT vessel_id, point_id, t FROM pos WHERE nav_status = 15 AND sog >= 10 ORDER BY t DESC, point_id LIMIT 200", "pos"))

@@ -131,35 +131,40 @@ def w36(spark, d):
     return steps.groupBy("vessel_id").agg(F.expr("percentile_disc(0.5) within group (order by d)").cast("long").alias("median_s"))
 
 
-PAIR_SQL = """met AS (SELECT a.bucket, a.vessel_id AS vessel_id_1, b.vessel_id AS vessel_id_2, {nm} AS nm FROM cell a JOIN cell b ON a.bucket = b.bucket AND a.la = b.la AND a.lo = b.lo AND a.vessel_id < b.vessel_id)"""
+def met(seconds: int, nm: float, apart: int, body: str, where: str = "TRUE", *names: str) -> str:
+    near = distance("a.lat", "a.lon", "b.lat", "b.lon")
+    pairs_sql = f"""met AS (SELECT a.t // {seconds} AS bucket, a.vessel_id AS vessel_id_1, b.vessel_id AS vessel_id_2, a.t AS t_1, b.t AS t_2, a.lat AS lat_1, a.lon AS lon_1 FROM pos a JOIN pos b ON b.t BETWEEN a.t - {apart} AND a.t + {apart} AND a.vessel_id < b.vessel_id
+      WHERE a.t // {seconds} = b.t // {seconds} AND {near} <= {nm} AND {where})"""
+    return sql("", "pos", *names).rstrip() + ",\n" + pairs_sql + "\n" + body
 
 
-def met(seconds: int, body: str) -> str:
-    cell = f"cell AS (SELECT * FROM (SELECT *, t // {seconds} AS bucket, floor(lat) AS la, floor(lon) AS lo, row_number() OVER (PARTITION BY vessel_id, t // {seconds}, floor(lat), floor(lon) ORDER BY t, point_id) AS r FROM pos) WHERE r = 1)"
-    return sql("", "pos").rstrip() + ",\n" + cell + ",\n" + PAIR_SQL.format(nm=distance("a.lat", "a.lon", "b.lat", "b.lon")) + "\n" + body
-
-
-@query("j3_cell_meetings", met(86_400, "SELECT bucket, vessel_id_1, vessel_id_2 FROM met WHERE nm <= 3"))
+@query("j3_cell_meetings", met(86_400, 10, 21_600, "SELECT DISTINCT bucket, vessel_id_1, vessel_id_2 FROM met"))
 def j3(spark, d):
-    return pairs.meetings(positions(spark, d), 86_400, 3.0).select("bucket", "vessel_id_1", "vessel_id_2")
+    return pairs.meetings(positions(spark, d), 86_400, 10.0, 21_600).select("bucket", "vessel_id_1", "vessel_id_2").distinct()
 
 
-@query("j4_first_meeting", met(3_600, "SELECT vessel_id_1, vessel_id_2, min(bucket) AS first_bucket FROM met WHERE nm <= 10 GROUP BY 1, 2"))
+@query("j4_first_meeting", met(3_600, 30, 3_600, "SELECT vessel_id_1, vessel_id_2, min(bucket) AS first_bucket FROM met GROUP BY 1, 2"))
 def j4(spark, d):
-    return pairs.meetings(positions(spark, d), 3_600, 10.0).groupBy("vessel_id_1", "vessel_id_2").agg(F.min("bucket").alias("first_bucket"))
+    return pairs.meetings(positions(spark, d), 3_600, 30.0, 3_600).groupBy("vessel_id_1", "vessel_id_2").agg(F.min("bucket").alias("first_bucket"))
+
+
+SIDE_BY_SIDE = "least(abs(a.cog - b.cog), 360 - abs(a.cog - b.cog))"
+ISLANDS = "SELECT *, bucket - row_number() OVER (PARTITION BY vessel_id_1, vessel_id_2 ORDER BY bucket) AS i FROM (SELECT bucket, vessel_id_1, vessel_id_2, avg(lat_1) AS la, avg(lon_1) AS lo FROM met GROUP BY 1, 2, 3)"
 
 
-@query("w18_transfer_runs", met(86_400, """SELECT vessel_id_1, vessel_id_2, min(bucket) AS first_bucket, max(bucket) AS last_bucket, count(*) AS n FROM (
-  SELECT *, bucket - row_number() OVER (PARTITION BY vessel_id_1, vessel_id_2 ORDER BY bucket) AS i FROM (SELECT DISTINCT bucket, vessel_id_1, vessel_id_2 FROM met WHERE nm <= 20)) GROUP BY vessel_id_1, vessel_id_2, i HAVING count(*) >= 2"""))
+@query("w18_transfer_runs", met(172_800, 25, 43_200, f"""SELECT vessel_id_1, vessel_id_2, first_bucket, last_bucket, n, CASE WHEN in_zone THEN 35 ELSE 25 END AS score FROM (
+  SELECT vessel_id_1, vessel_id_2, min(bucket) AS first_bucket, max(bucket) AS last_bucket, count(*) AS n, bool_or(EXISTS (SELECT 1 FROM corridors c WHERE c.kind = 'sts_zone' AND la BETWEEN c.min_lat AND c.max_lat AND lo BETWEEN c.min_lon AND c.max_lon)) AS in_zone,
+    bool_or(EXISTS (SELECT 1 FROM ports q WHERE {distance('la', 'lo', 'q.lat', 'q.lon')} <= 3)) AS in_port FROM ({ISLANDS}) GROUP BY vessel_id_1, vessel_id_2, i HAVING count(*) >= 2) WHERE NOT in_port""",
+  f"a.sog < 8 AND b.sog < 8 AND ({SIDE_BY_SIDE} <= 30 OR {SIDE_BY_SIDE} >= 150)", "corridors", "ports"))
 def w18(spark, d):
-    return pairs.consecutive(pairs.meetings(positions(spark, d), 86_400, 20.0), 2)
+    p = positions(spark, d)
+    return pairs.transfers_by_run(p, corridors(spark).filter("kind = 'sts_zone'"), ports(spark, d), seconds=172_800, nm=25.0, apart=43_200, knots=8.0, least=2)
 
 
-@query("w21_convoy_runs", met(86_400, """SELECT vessel_id_1, vessel_id_2, count(*) AS n, CASE WHEN count(*) >= 4 THEN 35 WHEN count(*) = 3 THEN 25 ELSE 15 END AS score FROM (
-  SELECT *, bucket - row_number() OVER (PARTITION BY vessel_id_1, vessel_id_2 ORDER BY bucket) AS i FROM (SELECT DISTINCT bucket, vessel_id_1, vessel_id_2 FROM met WHERE nm <= 40)) GROUP BY vessel_id_1, vessel_id_2, i HAVING count(*) >= 2"""))
+@query("w21_convoy_runs", met(172_800, 60, 21_600, """SELECT vessel_id_1, vessel_id_2, n, CASE WHEN n >= 4 THEN 35 WHEN n = 3 THEN 25 ELSE 15 END AS score FROM (SELECT vessel_id_1, vessel_id_2, count(*) AS n FROM (
+  """ + ISLANDS + """) GROUP BY vessel_id_1, vessel_id_2, i HAVING count(*) >= 2)""", f"a.sog >= 3 AND b.sog >= 3 AND {SIDE_BY_SIDE} <= 60"))
 def w21(spark, d):
-    found = pairs.consecutive(pairs.meetings(positions(spark, d), 86_400, 40.0), 2)
-    return found.select("vessel_id_1", "vessel_id_2", "n", F.when(F.col("n") >= 4, 35).when(F.col("n") == 3, 25).otherwise(15).alias("score"))
+    return pairs.convoys(positions(spark, d), seconds=172_800, nm=60.0, apart=21_600, knots=3.0, degrees=60.0, least=2)
 
 
 @query("w20_dark_dark", sql("""SELECT a.gap_id AS gap_1, b.gap_id AS gap_2, least(a.gap_end, b.gap_end) - greatest(a.gap_start, b.gap_start) AS overlap_s FROM zoned a JOIN zoned b ON a.corridor_id = b.corridor_id AND a.vessel_id < b.vessel_id
@@ -242,13 +247,9 @@ def r37(spark, d):
 @query("h1_gap_midpoint_detections", sql(f"""SELECT g.gap_id, count(*) AS detections FROM gaps g JOIN pos p ON p.vessel_id <> g.vessel_id AND p.t BETWEEN (g.gap_start + g.gap_end) // 2 - 3600 AND (g.gap_start + g.gap_end) // 2 + 3600 AND p.nav_status = 5
   WHERE g.impossible AND {distance('(g.lat + g.lat2) / 2', '(g.lon + g.lon2) / 2', 'p.lat', 'p.lon')} <= 30 GROUP BY 1""", "gaps"))
 def h1(spark, d):
-    g = gap_frame(spark, d).filter("impossible").select("gap_id", "vessel_id", F.floor((F.col("gap_start") + F.col("gap_end")) / 2).alias("mid"), ((F.col("lat") + F.col("lat2")) / 2).alias("mid_lat"), ((F.col("lon") + F.col("lon2")) / 2).alias("mid_lon"))
-    near = lambda c, r: F.sequence(F.floor(F.col(c) - r), F.floor(F.col(c) + r))
-    g = g.withColumn("la", F.explode(near("mid_lat", 0.51))).withColumn("lo", F.explode(near("mid_lon", 0.51))).withColumn("all", F.lit(0))
-    seen = positions(spark, d).filter("nav_status = 5").select(F.col("vessel_id").alias("other"), "t", "lat", "lon", F.floor("lat").alias("la"), F.floor("lon").alias("lo"))
-    bucket = g.withColumn("b", F.explode(F.sequence(F.floor((F.col("mid") - 3600) / 7200), F.floor((F.col("mid") + 3600) / 7200))))
-    hits = bucket.join(seen.withColumn("b", F.floor(F.col("t") / 7200)), ["b", "la", "lo"]).filter("other <> vessel_id and t between mid - 3600 and mid + 3600")
-    return hits.filter(haversine_nm("mid_lat", "mid_lon", "lat", "lon") <= 30).groupBy("gap_id").agg(F.count("*").alias("detections"))
+    g = gap_frame(spark, d).filter("impossible").select("gap_id", "vessel_id", F.floor((F.col("gap_start") + F.col("gap_end")) / 2).alias("t_1"), ((F.col("lat") + F.col("lat2")) / 2).alias("lat_1"), ((F.col("lon") + F.col("lon2")) / 2).alias("lon_1"))
+    seen = positions(spark, d).filter("nav_status = 5").select(F.col("vessel_id").alias("other"), F.col("t").alias("t_2"), F.col("lat").alias("lat_2"), F.col("lon").alias("lon_2"))
+    return pairs.near_in_space_and_time(g, seen, 30.0, 3_600).filter("other <> vessel_id").groupBy("gap_id").agg(F.count("*").alias("detections"))
 
 
 @query("a9_daily_buckets", sql("SELECT vessel_id, t // 86400 AS day, count(*) AS n, CAST(floor(median(sog) * 10) AS BIGINT) AS tenth_knots FROM pos GROUP BY 1, 2", "pos"))

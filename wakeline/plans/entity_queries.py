@@ -50,9 +50,9 @@ def f4(spark, d):
     return n.select(F.col("n_nationkey").alias("id"), geo.wkt_bbox(wkt).alias("b")).select("id", "b.*")
 
 
-@query("f9_position_at", sql("SELECT gap_id, CAST(floor((lat + (lat2 - lat) * 0.5) * 1000 + 0.5) AS BIGINT) AS lat_milli, CAST(floor((lon + (lon2 - lon) * 0.5) * 1000 + 0.5) AS BIGINT) AS lon_milli FROM gaps WHERE (gap_end - gap_start) % 2 = 0", "gaps"))
+@query("f9_position_at", sql("SELECT gap_id, CAST(floor((lat + (lat2 - lat) * 0.5) * 1000 + 0.5) AS BIGINT) AS lat_milli, CAST(floor((lon + (lon2 - lon) * 0.5) * 1000 + 0.5) AS BIGINT) AS lon_milli FROM gaps", "gaps"))
 def f9(spark, d):
-    g = gap_frame(spark, d).filter("(gap_end - gap_start) % 2 = 0")
+    g = gap_frame(spark, d)
     lat, lon = geo.position_at("lat", "lon", "gap_start", "lat2", "lon2", "gap_end", (F.col("gap_start") + F.col("gap_end")) / 2)
     return g.select("gap_id", F.floor(lat * 1000 + 0.5).alias("lat_milli"), F.floor(lon * 1000 + 0.5).alias("lon_milli"))
 
