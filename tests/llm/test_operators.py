@@ -46,7 +46,9 @@ def truth(docs, tokenizer):
     return sorted((r.doc_id is not None, r.doc_id or 0, tuple(tokenizer.encode(r.text or "", add_special_tokens=False).ids + [0])) for r in docs.collect())
 
 
-def test_huffman_round_trip(spark, docs, none, tokenizer):
+@pytest.mark.parametrize("tokens", [huffman.GROUP_TOKENS, 50])
+def test_huffman_round_trip(spark, docs, none, tokenizer, tokens, monkeypatch):
+    monkeypatch.setattr(huffman, "GROUP_TOKENS", tokens)
     for frame in (docs, none):
         path = huffman.table_path(spark, "test")
         huffman.write_corpus(frame, BYTE_BPE, path)

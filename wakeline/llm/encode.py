@@ -21,7 +21,7 @@ SPACE = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x
 UNSAFE = rf"{SPACE}{{3}}|{SPACE}{{2}}\z"
 PUNCTUATION = ".,;:!?#*%$&"
 WORDS_A_CALL = 512
-GROUP_BYTES = 1 << 24
+GROUP_BYTES = 1 << 23  # of text at once; a worker holds some ten times as much
 
 
 def gather(pool: np.ndarray, size: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

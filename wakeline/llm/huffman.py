@@ -30,7 +30,7 @@ from wakeline.llm.encode import encoder, id_arrays
 MAX_BITS = 16
 BLOCK = 1 << 16
 STEP = 256
-GROUP_TOKENS = 1 << 21
+GROUP_TOKENS = 1 << 20  # coded or decoded at once, or one document
 VERSION = 1
 CODES = "version int, tokenizer string, tokens array<int>, lengths array<int>"
 
@@ -215,9 +215,14 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, part, local_start, n_tokens and the decoded ids of files that write() made."""
     lengths = code_table(spark, path)
 
+    def groups(b):
+        ends = np.cumsum(np.asarray(b.column("n_tokens")))
+        cuts = np.unique(np.searchsorted(ends, np.arange(0, ends[-1] if len(ends) else 0, GROUP_TOKENS), "right")).tolist()
+        return [b.slice(lo, hi - lo) for lo, hi in zip([0, *cuts], [*cuts, b.num_rows]) if hi > lo]
+
     def run(batches):
         code = Code(lengths)
-        for b in batches:
+        for b in (part for whole in batches for part in groups(whole)):
             blocks = b.column("blocks")
             per = np.diff(np.asarray(blocks.offsets))
             flat = blocks.flatten()
