@@ -236,13 +236,6 @@ def w28(spark, d):
     return folds.residuals(positions(spark, d), 0.3)
 
 
-@query("w30_flag_hopping", sql("SELECT vessel_id, count(*) AS changes, CASE WHEN count(*) >= 40 THEN 50 WHEN count(*) >= 30 THEN 40 ELSE 20 END AS score FROM (SELECT *, lag(nav_status) OVER (PARTITION BY vessel_id ORDER BY t, point_id) AS old FROM pos) WHERE old <> nav_status GROUP BY 1 HAVING count(*) >= 20", "pos"))
-def w30(spark, d):
-    p = positions(spark, d).withColumn("old", F.lag("nav_status").over(sequence.by_vessel())).filter("old <> nav_status")
-    n = p.groupBy("vessel_id").agg(F.count("*").alias("changes")).filter("changes >= 20")
-    return n.select("vessel_id", "changes", F.when(F.col("changes") >= 40, 50).when(F.col("changes") >= 30, 40).otherwise(20).alias("score"))
-
-
 @query("w29_track_replay", sql("SELECT vessel_id, count(*) AS hours FROM (SELECT vessel_id, t // 3600 % 24 AS h FROM pos GROUP BY 1, 2 HAVING count(*) FILTER (t >= (SELECT max(t) FROM pos) - 604800) > 0 AND count(*) FILTER (t < (SELECT max(t) FROM pos) - 604800) > 0) GROUP BY 1 HAVING count(*) >= 6", "pos"))
 def w29(spark, d):
     p = positions(spark, d)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from wakeline.functions.geo import RADIUS_NM
 from wakeline.functions.vessels import OTHER_SPEEDS, SPEED_CLASSES
-from wakeline.sources.adapter import CORRIDORS, STATUS
+from wakeline.sources.adapter import CORRIDORS, DESTINATIONS, EPOCH, FIELDS, STATUS, VALUES
 
 
 def distance(a: str, b: str, c: str, d: str) -> str:
@@ -36,12 +36,18 @@ CTE = {
     "zoned": """zoned AS (SELECT g.*, c.corridor_id, c.weight AS corridor_weight, c.kind AS corridor_kind FROM gaps g LEFT JOIN
       (SELECT gap_id, corridor_id, weight, kind FROM (SELECT gap_id, c.corridor_id, c.weight, c.kind, row_number() OVER (PARTITION BY gap_id ORDER BY c.weight DESC, c.corridor_id) AS r
         FROM gaps g JOIN corridors c ON g.lat BETWEEN c.min_lat AND c.max_lat AND g.lon BETWEEN c.min_lon AND c.max_lon) WHERE r = 1) c USING (gap_id))""",
+    "changes": f"""changes AS (SELECT *, lag(value) OVER w AS old, lag(change_id) OVER w AS old_change FROM (SELECT o_custkey AS vessel_id, o_orderkey AS change_id, {EPOCH} + (o_orderkey * 7919 % 120 - 60) * 86400 + o_orderkey % 24 * 3600 AS t,
+      CASE o_orderkey % {len(FIELDS)} {' '.join(f"WHEN {i} THEN '{f}'" for i, f in enumerate(FIELDS))} END AS field, o_orderkey * 31 % (CASE o_orderkey % {len(FIELDS)} {' '.join(f"WHEN {i} THEN {n}" for i, n in enumerate(VALUES))} END) AS value FROM orders)
+      WINDOW w AS (PARTITION BY vessel_id, field ORDER BY t, change_id))""",
+    "voyages": f"""voyages AS (SELECT *, CAST(k % 12 + 4 AS DOUBLE) AS draught, CASE WHEN k % 11 > 0 THEN CASE k % {len(DESTINATIONS)} {' '.join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(DESTINATIONS))} END END AS destination, k % 3 AS source FROM pos)""",
+    "detections": "detections AS (SELECT point_id AS detection_id, t, lat, lon, CAST(floor(value) % 300 + 20 AS INT) AS length, k * 13 % 360 AS heading FROM pos WHERE nav_status = 5)",
+    "lights": "lights AS (SELECT point_id AS light_id, t, lat, lon, k % 2 AS quality FROM pos WHERE nav_status = 1)",
     "alerts": """alerts AS (SELECT *, CASE WHEN score >= 76 THEN 'critical' WHEN score >= 51 THEN 'high' WHEN score >= 21 THEN 'medium' ELSE 'low' END AS band,
       CASE gap_id % 4 WHEN 0 THEN 'new' WHEN 1 THEN 'under_review' WHEN 2 THEN 'confirmed' ELSE 'dismissed' END AS status, gap_start // 86400 AS day FROM (
       SELECT z.*, CASE WHEN duration_minutes >= 1440 THEN 55 WHEN duration_minutes >= 720 THEN 40 WHEN duration_minutes >= 480 THEN 25 WHEN duration_minutes >= 240 THEN 12 ELSE 5 END
         + CASE WHEN impossible THEN 40 WHEN ratio > 0.8 THEN 15 ELSE 0 END + CASE corridor_kind WHEN 'sts_zone' THEN 20 WHEN 'dark_zone' THEN -10 ELSE 0 END AS score FROM zoned z))""",
 }
-NEEDS = {"steps": ("pos",), "gaps": ("steps", "vessels"), "zoned": ("gaps", "corridors"), "alerts": ("zoned",)}
+NEEDS = {"voyages": ("pos",), "detections": ("pos",), "lights": ("pos",), "steps": ("pos",), "gaps": ("steps", "vessels"), "zoned": ("gaps", "corridors"), "alerts": ("zoned",)}
 
 
 def sql(body: str, *names: str) -> str:

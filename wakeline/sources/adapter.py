@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyspark.sql.functions as F
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 
 STATUS = {"view": 0, "click": 1, "signup": 3, "purchase": 15, "error": 5}
 # corridor_id, name, kind, min_lat, max_lat, min_lon, max_lon, weight
@@ -69,3 +69,38 @@ def transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("transfer_id"), F.col("o_custkey").alias("vessel_1"), F.col("o_orderdate").alias("at"))
     line = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("transfer_id"), F.col("l_suppkey").alias("vessel_2"))
     return o.join(line, "transfer_id").select("transfer_id", "vessel_1", "vessel_2", F.to_date("at").alias("day"))
+
+
+FIELDS = ("flag", "name", "callsign", "insurer", "manager")
+VALUES = (25, 40, 60, 6, 8)  # how many values a field takes
+EPOCH = 1_704_067_200  # the first day of the reports
+DESTINATIONS = ("ROTTERDAM", "", "SUEZ", "FOR ORDERS", "KALAMATA", "CEYHAN", "AUGUSTA", "SINGAPORE")
+
+
+def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vessel_id, change_id, t, field, value (a number), old (the value before, null for the first)."""
+    k = F.col("o_orderkey")
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (k % len(FIELDS) + 1).cast("int"))
+    at = F.lit(EPOCH).cast("long") + (k * 7919 % 120 - 60) * 86_400 + k % 24 * 3_600
+    rows = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("vessel_id"), k.alias("change_id"), at.alias("t"), pick(FIELDS).alias("field"), (k * 31 % pick(VALUES)).alias("value"))
+    w = Window.partitionBy("vessel_id", "field").orderBy("t", "change_id")
+    return rows.withColumn("old", F.lag("value").over(w)).withColumn("old_change", F.lag("change_id").over(w))
+
+
+def voyages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """positions with draught, declared destination and receiver."""
+    k = F.col("k")
+    names = F.element_at(F.array(*map(F.lit, DESTINATIONS)), (k % len(DESTINATIONS) + 1).cast("int"))
+    return positions(spark, sf_dir).withColumns({"draught": (k % 12 + 4).cast("double"), "destination": F.when(k % 11 > 0, names), "source": (k % 3).cast("int")})
+
+
+def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """detection_id, t, lat, lon, length, heading: radar detections, from the reports of status 5."""
+    p = positions(spark, sf_dir).filter("nav_status = 5")
+    return p.select(F.col("point_id").alias("detection_id"), "t", "lat", "lon", (F.floor("value") % 300 + 20).cast("int").alias("length"), (F.col("k") * 13 % 360).cast("int").alias("heading"))
+
+
+def lights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """light_id, t, lat, lon, quality: night-light detections, from the reports of status 1."""
+    p = positions(spark, sf_dir).filter("nav_status = 1")
+    return p.select(F.col("point_id").alias("light_id"), "t", "lat", "lon", (F.col("k") % 2).cast("int").alias("quality"))
