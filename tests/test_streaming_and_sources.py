@@ -66,7 +66,9 @@ def test_archive_and_restore(spark, tmp_path):
     points = spark.createDataFrame([(i, i % 2, i * 86_400 * 20, "ais") for i in range(6)], "point_id long, vessel_id long, t long, source string")
     gaps = spark.createDataFrame([(1,)], "gap_id long")
     path = str(tmp_path / "archive")
-    left = archive.archive(points, gaps, 86_400 * 60, path)
+    archive.archive(points, gaps, 86_400 * 60, path)
+    left = archive.archive(points, gaps, 86_400 * 60, path)  # again, as after a failure
+    assert spark.read.parquet(path).count() + left.count() == points.count()
     assert sorted(r.point_id for r in left.collect()) == [1, 3, 4, 5]
     assert sorted(r.point_id for r in archive.restore(spark, path, left).collect()) == list(range(6))
     assert archive.retained(points, 86_400 * 100, {"ais": 41}).count() == 3

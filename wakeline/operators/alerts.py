@@ -25,8 +25,10 @@ def listed(alerts: DataFrame, min_score: int | None = None, name_part: str | Non
 
 
 def page(alerts: DataFrame, by: str, skip: int, limit: int, ascending: bool = False, key: str = "gap_id") -> DataFrame:
-    """One page in the order of a column, ties by key; at most PAGE_CAP rows."""
-    return alerts.orderBy(F.col(by).asc() if ascending else F.col(by).desc(), key).offset(skip).limit(min(limit, PAGE_CAP))
+    """One page in the order of a column, ties by key; a page has at most PAGE_CAP rows."""
+    if not 0 < limit <= PAGE_CAP:
+        raise ValueError(f"a page has 1 to {PAGE_CAP} rows")
+    return alerts.orderBy(F.col(by).asc() if ascending else F.col(by).desc(), key).offset(skip).limit(limit)
 
 
 def search_vessels(vessels: DataFrame, text: str, least_dwt: float | None = None, least_year: int | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 
 from wakeline.functions.geo import haversine_nm
 from wakeline.operators.graph import components
+from wakeline.operators.pairs import around, gridded
 
 FEATURES = ("n", "mean_sog", "sd_sog", "max_sog", "sd_lat", "sd_lon", "statuses")
 
@@ -84,11 +85,9 @@ def dbscan(points: DataFrame, nm: float, least: int) -> DataFrame:
 
     Neighbours come from an equi-join on cells a radius wide, not from all pairs.
     """
-    degrees = nm / 60.0
-    p = points.withColumns({"la": F.floor(F.col("lat") / degrees), "lo": F.floor(F.col("lon") / (2 * degrees))})
-    around = p.withColumn("la", F.explode(F.sequence(F.col("la") - 1, F.col("la") + 1))).withColumn("lo", F.explode(F.sequence(F.col("lo") - 1, F.col("lo") + 1)))
-    a = p.select(F.col("id").alias("a"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), "la", "lo")
-    near = a.join(around.withColumnRenamed("id", "b"), ["la", "lo"]).filter(haversine_nm("lat1", "lon1", "lat", "lon") <= nm).select("a", "b")
+    a = gridded(points.select(F.col("id").alias("a"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1")), nm, "lat1", "lon1")
+    b = around(points.select(F.col("id").alias("b"), "lat", "lon"), nm)
+    near = a.join(b, ["_row", "_cell"]).filter(haversine_nm("lat1", "lon1", "lat", "lon") <= nm).select("a", "b")
     counted = near.withColumn("n", F.count("*").over(Window.partitionBy("a")))
     core = counted.filter(F.col("n") >= least).select("a").distinct()
     links = near.join(core, "a").join(core.withColumnRenamed("a", "b"), "b").select("a", "b")

@@ -2,33 +2,45 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """node, component (its smallest node) over edges (a, b), by hooking to the smallest neighbour and jumping.
+def components(edges: DataFrame) -> DataFrame:
+    """node, component (its smallest node) over edges (a, b).
 
-    Every round is checkpointed to spark.checkpoint.dir where it is set, so lineage stays short.
+    Each round every node points at its smallest neighbour, pointers are followed, and the edges are drawn
+    anew between the nodes pointed at; loops and repeats go. So the graph shrinks by a factor each round and
+    long chains take as few rounds as short ones.
     """
-    both = edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct()
-    both = _cut(both)
-    label = _cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("component")))
-    for _ in range(rounds):
-        near = both.join(label, both.b == label.node).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("seen"))
-        hooked = label.join(near, "node").select("node", F.least("component", "seen").alias("component"))
-        jump = hooked.select(F.col("node").alias("component"), F.col("component").alias("up"))
-        new = _cut(hooked.join(jump, "component", "left").select("node", F.coalesce(F.least("component", "up"), "component").alias("component")))
-        changed = new.join(label.withColumnRenamed("component", "old"), "node").filter("component <> old").isEmpty()
-        label = new
-        if changed:
-            return label
-    raise RuntimeError("components did not settle")
+    one_way = lambda df: _cut(df.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    left = one_way(edges.select("a", "b"))
+    label = _cut(left.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("component", F.col("node")))
+    while not left.isEmpty():
+        ends = left.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))).alias("e")).select("e.*")
+        point = _cut(ends.groupBy("node").agg(F.min(F.least("node", "other")).alias("to")))
+        follow = lambda df, column: df.join(point.select(F.col("node").alias(column), "to"), column)
+        far = _cut(follow(follow(point.withColumnRenamed("to", "x"), "x").select("node", F.col("to").alias("y")), "y").select(F.col("node").alias("x"), "to"))
+        drawn = left.join(far.select(F.col("x").alias("a"), F.col("to").alias("to_a")), "a").join(far.select(F.col("x").alias("b"), F.col("to").alias("to_b")), "b")
+        left = one_way(drawn.select(F.col("to_a").alias("a"), F.col("to_b").alias("b")))
+        label = _cut(label.join(far.withColumnRenamed("x", "component"), "component", "left").select("node", F.coalesce("to", "component").alias("component")))
+    return label
 
 
 def _cut(df: DataFrame) -> DataFrame:
+    """Writes a table in the shared folder and reads it back, which cuts lineage and size estimates; a folder of this machine only where none is set and Spark runs on this machine alone."""
     spark = df.sparkSession
-    return df.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() else df.persist()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        folder = tempfile.gettempdir()
+    path = f"{folder.rstrip('/')}/graph/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def canonical(links: DataFrame, hops: int = 20) -> DataFrame:

@@ -20,10 +20,10 @@ def f11(spark, d):
     return vessels(spark, d).select("vessel_id", V.imo_valid(F.col("imo")).alias("valid"))
 
 
-@query("g25_one_digit_neighbours", sql("""SELECT a.vessel_id AS vessel_1, b.vessel_id AS vessel_2 FROM vessels a JOIN vessels b ON a.vessel_id < b.vessel_id AND a.flag = b.flag AND length(a.imo) = length(b.imo)
-  AND len(list_filter(range(1, 8), lambda i: substr(a.imo, i, 1) <> substr(b.imo, i, 1))) = 1""", "vessels"))
+@query("g25_one_digit_neighbours", sql("""SELECT a.vessel_id AS vessel_1, b.vessel_id AS vessel_2 FROM (SELECT *, lpad(CAST(vessel_id * 10 AS VARCHAR), 7, '0') AS hull FROM vessels) a JOIN (SELECT *, lpad(CAST(vessel_id * 10 AS VARCHAR), 7, '0') AS hull FROM vessels) b ON a.vessel_id < b.vessel_id AND a.flag = b.flag
+  AND len(list_filter(range(1, 8), lambda i: substr(a.hull, i, 1) <> substr(b.hull, i, 1))) = 1""", "vessels"))
 def g25(spark, d):
-    return E.one_digit_pairs(vessels(spark, d), "imo", "flag")
+    return E.one_digit_pairs(vessels(spark, d).withColumn("hull", F.lpad((F.col("vessel_id") * 10).cast("string"), 7, "0")), "hull", "flag")
 
 
 @query("f14_owner_key", "SELECT s_suppkey AS owner_id, trim(regexp_replace(regexp_replace(regexp_replace(upper(trim(s_name)), '[^A-Z0-9 ]', ' ', 'g'), '\\b(?:LTD|LIMITED|LLC|INC|CORP|CORPORATION|CO|COMPANY|SA|GMBH|PLC|PTE|BV|AS|SHIPPING)\\b', ' ', 'g'), ' +', ' ', 'g')) AS key FROM supplier")
@@ -139,10 +139,10 @@ def g2(spark, d):
     return E.dark_and_new(p, 7200, 27 * 86400)
 
 
-@query("j11_merge_candidates", sql("""SELECT a.vessel_id AS dark_id, b.vessel_id AS new_id, b.t0 - a.t1 AS wait_s FROM (SELECT vessel_id, max(t) AS t1 FROM pos GROUP BY 1) a JOIN (SELECT vessel_id, min(t) AS t0 FROM pos GROUP BY 1) b ON a.vessel_id <> b.vessel_id AND b.t0 > a.t1 - 25 * 86400 AND b.t0 - a.t1 <= -20 * 86400""", "pos"))
+@query("j11_merge_candidates", sql("""SELECT a.vessel_id AS dark_id, b.vessel_id AS new_id, b.t0 - a.t1 AS wait_s FROM (SELECT vessel_id, max(t) AS t1 FROM pos GROUP BY 1) a JOIN (SELECT vessel_id, min(t) AS t0 FROM pos GROUP BY 1) b ON a.vessel_id <> b.vessel_id AND b.t0 > a.t1 - 29 * 86400 AND b.t0 - a.t1 <= -22 * 86400""", "pos"))
 def j11(spark, d):
     p = positions(spark, d)
-    return E.succession(p, -25 * 86400, -20 * 86400)
+    return E.succession(p, -29 * 86400, -22 * 86400)
 
 
 @query("j12_overlap_test", sql("SELECT DISTINCT a.vessel_id AS one, b.vessel_id AS two FROM pos a JOIN pos b ON a.t // 3600 = b.t // 3600 AND a.vessel_id + 1 = b.vessel_id", "pos"))

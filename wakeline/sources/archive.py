@@ -9,13 +9,17 @@ FORMATS = ("csv", "json", "parquet")
 
 
 def archive(points: DataFrame, gaps: DataFrame, before: int, path: str, codec: str = "zstd") -> DataFrame:
-    """Writes the points older than `before` (epoch seconds) that no gap begins or ends with, in year and month folders; returns what stays."""
+    """Writes the points older than `before` (epoch seconds) that no gap begins or ends with; returns what stays.
+
+    Each call has a folder of its own, batch=<before>, in year and month folders, and overwrites it, so running it again stores nothing twice.
+    """
     held = gaps.select(F.col("gap_id").alias("point_id")).union(gaps.select("end_point_id")).distinct() if "end_point_id" in gaps.columns else gaps.select(F.col("gap_id").alias("point_id")).distinct()
     old = points.filter(F.col("t") < before).join(held, "point_id", "left_anti")
     day = F.timestamp_seconds("t")
     dated = old.withColumns({"year": F.year(day), "month": F.month(day)})
-    dated.repartition("year", "month", F.pmod(F.xxhash64("vessel_id"), F.lit(64))).write.mode("append").option("compression", codec).partitionBy("year", "month").parquet(path)
-    return points.join(points.sparkSession.read.parquet(path).select("point_id"), "point_id", "left_anti")
+    batch = f"{path.rstrip('/')}/batch={before}"
+    dated.repartition("year", "month", F.pmod(F.xxhash64("vessel_id"), F.lit(64))).write.mode("overwrite").option("compression", codec).partitionBy("year", "month").parquet(batch)
+    return points.filter(F.coalesce(F.col("t") >= before, F.lit(True))).unionByName(points.filter(F.col("t") < before).join(held, "point_id", "left_semi"))
 
 
 def restore(spark: SparkSession, path: str, points: DataFrame) -> DataFrame:
