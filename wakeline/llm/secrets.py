@@ -111,8 +111,8 @@ def candidates(keyed: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     queries = {i: q for i, r in enumerate(rules) if (q := trigram_query(r.pattern))}
     terms = [(t, i, g, a, len(alternative)) for i, q in queries.items() for g, group in enumerate(q) for a, alternative in enumerate(group) for t in sorted(alternative)]
     wanted = sorted({t for t, *_ in terms})
-    low = F.lower("text")
-    index = keyed.select("key", F.explode(F.filter(F.array(*map(F.lit, wanted)), lambda t: low.contains(t))).alias("trigram")).distinct()
+    low = keyed.select("key", F.lower("text").alias("low"))  # once a text, not once a trigram
+    index = low.select("key", F.explode(F.filter(F.array(*map(F.lit, wanted)), lambda t: F.col("low").contains(t))).alias("trigram")).distinct()
     spark = keyed.sparkSession
     terms = spark.createDataFrame(terms, "trigram string, rule int, grp int, alt int, size int")
     sizes = spark.createDataFrame([(i, len(q)) for i, q in queries.items()], "rule int, groups int")
