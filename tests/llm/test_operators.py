@@ -147,6 +147,30 @@ def test_packing_holds_every_id_once(docs, none, tokenizer):
     assert packing.pack(none, BYTE_BPE).count() == 0
 
 
+def test_equal_rows_spread_over_groups(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_PIECES", 50)
+    rows = packing.pack(spark.createDataFrame([(None, "")] * 700 + [(i, "some words") for i in range(50)], "doc_id long, text string"), BYTE_BPE).collect()
+    assert len(rows) == 750 and len({r.sequence_id for r in rows}) >= 10 and max(sum(r.length for r in rows if r.sequence_id == s) for s in {r.sequence_id for r in rows}) <= 1024
+
+
+def test_instruction_data_keeps_the_loss_limit(spark, tokenizer):
+    """Conversations: what comes before the first answer bears no loss."""
+    turns = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").orderBy("conv_id", "turn").collect()
+    talks: dict = {}
+    for r in turns:
+        talks.setdefault(r.conv_id, []).append(r.text or "")
+    given = {i: len(tokenizer.encode(t[0], add_special_tokens=False).ids) for i, t in talks.items()}
+    frame = spark.createDataFrame([(i, "\n".join(t), given[i]) for i, t in talks.items()], "doc_id long, text string, given long")
+    rows = packing.pack(frame, BYTE_BPE, 1024, 6, 500, prompt="given").collect()
+    by: dict = {}
+    for r in rows:
+        by.setdefault(r.sequence_id, []).append(r)
+        assert r.loss_tokens == max(0, r.start + r.length - max(r.start, given[r.doc_id]))
+    assert all(sum(r.length for r in x) <= 1024 and len(x) <= 6 and sum(r.loss_tokens for r in x) <= 500 for x in by.values())
+    assert any(sum(r.length for r in x) < 1000 and sum(r.loss_tokens for r in x) >= 490 for x in by.values())  # the third limit binds
+    assert sum(r.length for r in rows) == sum(len(tokenizer.encode("\n".join(t), add_special_tokens=False).ids) + 1 for t in talks.values())
+
+
 def test_packing_keeps_three_limits():
     rng = np.random.default_rng(3)
     length = rng.integers(1, 900, 400)

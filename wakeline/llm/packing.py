@@ -6,7 +6,8 @@ that fit, the one with the largest dot product of its demand with the bin's free
 shares of the limits) goes in next. When none fits, the largest piece is cut to fill the bin.
 
 A null text is empty (one end id), an empty table gives no rows, repeated rows are packed each for
-itself, a null prompt_tokens counts as 0. Only doc_id, text and, if named, the prompt column are read.
+itself (groups are dealt by the number of the written piece, so equal rows do not meet in one), a null
+prompt_tokens counts as 0. A very long text is cut like any other. Only doc_id, text and, if named, the prompt column are read.
 """
 
 from __future__ import annotations
@@ -27,29 +28,31 @@ MAX_SEGMENTS = 128
 MIN_CUT = 4  # a gap of fewer tokens is padded
 GROUP_PIECES = 4096
 BATCH = 4096  # documents a worker holds as ids
-PIECE = "doc_id long, start long, length int, doc_tokens long, prompt long, ids binary, ids_crc32 long, full_id long"
+PIECE = "row long, doc_id long, start long, length int, doc_tokens long, prompt long, ids binary, ids_crc32 long, full_id long"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long, ids binary"
 
 
 def pieces(docs: DataFrame, tokenizer: str, max_tokens: int, max_loss: int, end_id: int, prompt: str | None) -> DataFrame:
-    """Pieces of every example; full_id numbers those that make a sequence by themselves."""
+    """Pieces of every example; `row` numbers them, full_id those that make a sequence by themselves."""
 
     def run(batches):
         from pyspark import TaskContext
 
-        enc, full = encoder(tokenizer), TaskContext.get().partitionId() << 40
+        enc, row = encoder(tokenizer), TaskContext.get().partitionId() << 40
+        full = row
         for b in (b.slice(i, BATCH) for b in batches for i in range(0, b.num_rows, BATCH)):
             prompts = b.column("prompt").to_pylist()
-            rows = {k: [] for k in ("doc_id", "start", "length", "doc_tokens", "prompt", "ids", "ids_crc32", "full_id")}
+            rows = {k: [] for k in ("row", "doc_id", "start", "length", "doc_tokens", "prompt", "ids", "ids_crc32", "full_id")}
             for doc, raw, given in zip(b.column("doc_id").to_pylist(), enc.encode(b.column("text")).to_pylist(), prompts):
                 ids = np.append(np.frombuffer(raw, "<u2"), np.uint16(end_id))
                 for at in range(0, len(ids), max_tokens):
                     part = ids[at : at + max_tokens]
                     whole = len(part) == max_tokens and max(0, at + max_tokens - max(at, given)) <= max_loss
                     full += whole
-                    for k, v in zip(rows, (doc, at, len(part), len(ids), given, part.tobytes(), crc(part), full if whole else None)):
+                    row += 1
+                    for k, v in zip(rows, (row, doc, at, len(part), len(ids), given, part.tobytes(), crc(part), full if whole else None)):
                         rows[k].append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), kinds)], list(rows))
 
     given = F.coalesce(F.col(prompt).cast("long"), F.lit(0)) if prompt else F.lit(0).cast("long")
@@ -120,7 +123,7 @@ def pack(docs: DataFrame, tokenizer: str, max_tokens: int = MAX_TOKENS, max_segm
     groups = max(1, -(-cut.filter("full_id is null").count() // GROUP_PIECES))
 
     def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "start", "ids_crc32"]).reset_index(drop=True)
+        rows = rows.sort_values("row").reset_index(drop=True)
         length, start = rows["length"].to_numpy(), rows["start"].to_numpy()
         loss_from = np.clip(rows["prompt"].to_numpy() - start, 0, length)
         got = pd.DataFrame(place(length, loss_from, limits), columns=["i", "from", "length", "bin", "offset"])
@@ -133,7 +136,7 @@ def pack(docs: DataFrame, tokenizer: str, max_tokens: int = MAX_TOKENS, max_segm
             "sequence_id": 2 * (key[0] * GROUP_PIECES * 4096 + got["bin"]) + 1, "offset": got["offset"], "loss_tokens": bears, "ids": [p.tobytes() for p in parts],
         })
 
-    rest = cut.filter("full_id is null").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
+    rest = cut.filter("full_id is null").withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(groups)))
     packed = rest.groupBy("bucket").applyInPandas(run, PACKED)
     loss = F.greatest(F.lit(0), F.least(F.col("length"), F.col("start") + F.col("length") - F.col("prompt"))).cast("long")
     full = cut.filter("full_id is not null").select("doc_id", "start", F.col("length").cast("long"), "ids_crc32", "doc_tokens", (2 * F.col("full_id")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), loss.alias("loss_tokens"), "ids")

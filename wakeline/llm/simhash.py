@@ -221,9 +221,12 @@ def near_links(classes: DataFrame) -> DataFrame:
     order = {t: sorted((p << (64 - d), i) for i, (x, d, p) in enumerate(leaves) if x == t) for t in (0, 1)}
     bounds = {t: np.array([s for s, _ in order[t]], np.uint64) for t in (0, 1)}
     ids = {t: np.array([i for _, i in order[t]], np.int64) for t in (0, 1)}
-    dealt = [np.array(x, np.int64).reshape(-1, 2) for x in tasks]
+    sizes = np.array([len(x) for x in tasks], np.int64)
+    flat = np.array([y for x in tasks for y in x], np.int64).reshape(-1, 2)
+    shared = classes.sparkSession.sparkContext.broadcast((bounds, ids, np.append(0, np.cumsum(sizes)), flat))  # of the order of the surviving node pairs
 
     def deal(batches):
+        bounds, ids, ends, flat = shared.value
         for b in batches:
             trie, key = np.asarray(b.column("trie")), np.asarray(b.column("key")).view(np.uint64)
             for t in (0, 1):
@@ -233,7 +236,7 @@ def near_links(classes: DataFrame) -> DataFrame:
                 leaf = ids[t][np.searchsorted(bounds[t], own, "right") - 1]
                 cuts = np.flatnonzero(np.diff(leaf, prepend=-1, append=-1))
                 for a, z in zip(cuts[:-1], cuts[1:]):
-                    to = dealt[leaf[a]]
+                    to = flat[ends[leaf[a]] : ends[leaf[a] + 1]]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.repeat(to[:, 0], z - a)), pa.array(np.repeat(to[:, 1], z - a), pa.int32()), pa.array(np.full(len(to) * (z - a), t), pa.int32()), pa.array(np.tile(own[a:z], len(to)).view(np.int64))], ["pair", "side", "trie", "key"]
                     )

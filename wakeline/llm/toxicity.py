@@ -1,6 +1,6 @@
 """Toxicity: cumulative-link ordinal regression on sparse word features.
 
-Grades are ordered: 0 clean, 1 toxic, 2 toxic and of low quality. One weight vector is shared by all
+Grades are ordered: 0 clean, 1 toxic, 2 toxic and of low quality (the labels have no finer severity). One weight vector is shared by all
 thresholds: P(grade >= k) = sigmoid(x.w - cut_k) with cut_1 <= cut_2. Features are words and their
 prefixes, counted and divided by the square root of the number of words. The model is fitted on at
 most SAMPLE toxic and twice as many clean labelled rows, those with the smallest hashes of doc_id, weighted back to the
@@ -8,7 +8,7 @@ classes' true sizes, with an L1 penalty, so that few weights remain. Every docum
 
 Null and empty texts score as a text without words. Labels that are null, or of documents that do
 not exist, are left out; without both classes in the labels every document gets the grade 0 or the
-only class there is. Repeated documents are scored each for itself. Only doc_id, text, toxic and
+only class there is. Repeated documents are scored each for itself; a very long text costs its length. Only doc_id, text, toxic and
 quality are read.
 """
 
