@@ -54,12 +54,12 @@ def test_gaps_open_and_close(spark, landed, tmp_path):
     assert any(r.mmsi == "000000456" and r.open and r.gap_end is None for r in rows)
 
 
-def test_latest_versions(spark, landed, tmp_path):
-    query = positions.write_latest(positions.read_messages(spark, landed, 1), str(tmp_path / "latest"), str(tmp_path / "cp"))
-    query.awaitTermination(120)
-    newest = max(int(p.name.split("=")[1]) for p in (tmp_path / "latest").iterdir())
-    rows = {r.mmsi: r.ts.hour for r in spark.read.parquet(str(tmp_path / "latest" / f"version={newest}")).collect()}
-    assert rows == {"000000123": 6, "000000456": 0}
+@pytest.mark.parametrize("compact", [2, 3, 20])
+def test_latest_reports(spark, landed, tmp_path, compact):
+    folder = str(tmp_path / "latest")
+    positions.write_latest(positions.read_messages(spark, landed, 1), folder, str(tmp_path / "cp"), compact).awaitTermination(120)
+    assert {r.mmsi: r.ts.hour for r in positions.read_latest(spark, folder, compact).collect()} == {"000000123": 6, "000000456": 0}
+    assert (tmp_path / "latest" / "whole").exists() == (compact < 20)
 
 
 def test_archive_and_restore(spark, tmp_path):

@@ -74,17 +74,29 @@ def latest(reports: DataFrame) -> DataFrame:
     return reports.groupBy("mmsi").agg(newest.alias("r")).select("mmsi", "r.*")
 
 
-def write_latest(reports: DataFrame, folder: str, checkpoint: str):
-    """Keeps each vessel's newest report: a batch writes version n + 1 from version n and its own rows.
+COMPACT = 20  # batches between two whole tables
 
-    A batch that runs again reads the same version and overwrites its own, so a lost driver or executor
-    leaves the table whole.
+
+def write_latest(reports: DataFrame, folder: str, checkpoint: str, compact: int = COMPACT):
+    """Keeps each vessel's newest report: a batch writes its own newest rows, every `compact` batches the whole table is written.
+
+    A batch that runs again overwrites its own folders, so a lost driver or executor leaves the table whole; `read_latest`
+    reads the last whole table and the batches after it. What lies before that table may be removed at any time.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        own = latest(batch)
-        if number:
-            own = latest(own.unionByName(batch.sparkSession.read.schema(own.schema).parquet(f"{folder}/version={number - 1}")))
-        own.write.mode("overwrite").parquet(f"{folder}/version={number}")
+        latest(batch).write.mode("overwrite").parquet(f"{folder}/delta/batch={number}")
+        if number % compact == compact - 1:
+            read_latest(batch.sparkSession, folder, compact, number - compact).write.mode("overwrite").parquet(f"{folder}/whole/batch={number}")
 
     return reports.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_latest(spark: SparkSession, folder: str, compact: int = COMPACT, whole: int | None = None) -> DataFrame:
+    """Each vessel's newest report of what write_latest wrote; `whole` names the whole table to start from (negative: none)."""
+    delta = spark.read.parquet(f"{folder}/delta")
+    if whole is None:
+        last = delta.agg(F.max("batch")).first()[0]
+        whole = (last + 1) // compact * compact - 1
+    rows = delta.filter(F.col("batch") > whole).drop("batch")
+    return latest(rows if whole < 0 else rows.unionByName(spark.read.schema(rows.schema).parquet(f"{folder}/whole/batch={whole}")))
