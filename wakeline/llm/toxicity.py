@@ -70,25 +70,25 @@ class Ordinal:
 
 def fit(cols: np.ndarray, vals: np.ndarray, size: np.ndarray, grade: np.ndarray, share: np.ndarray, penalty: float = PENALTY, steps: int = STEPS) -> Ordinal:
     """cols, vals: feature ids and values of all documents in a row; size: how many each has; share: its weight."""
-    owner = np.repeat(np.arange(len(size)), size)
-    names, place = np.unique(cols, return_inverse=True)
-    index = np.cumsum(keep := np.bincount(place, minlength=len(names)) >= MIN_DOCS) - 1
-    used = keep[place]
-    cols, vals, owner, names = index[place[used]], vals[used], owner[used], names[keep]
+    keep = np.bincount(cols, minlength=1) >= MIN_DOCS
+    names, index = np.flatnonzero(keep), (np.cumsum(keep) - 1).astype(np.int32)
+    used = keep[cols]
+    cols, vals, owner = index[cols[used]], vals[used], np.repeat(np.arange(len(size), dtype=np.int32), size)[used]
+    del keep, index, used
     rows, share = np.arange(len(size)), share / share.sum()
     w, cuts = np.zeros(len(names)), np.array([np.log((share[grade < k].sum() + 1e-4) / (share[grade >= k].sum() + 1e-4)) for k in range(1, GRADES)])
     cuts = np.maximum.accumulate(cuts)
     g2, c2 = np.full(len(w), 1e-8), np.full(len(cuts), 1e-8)
     above = grade[:, None] >= np.arange(1, GRADES)
     for _ in range(steps):  # proximal AdaGrad
-        score = np.bincount(owner, vals * w[cols], len(rows))
+        score = np.bincount(owner, vals * w.astype(np.float32)[cols], len(rows))
         p = 1 / (1 + np.exp(np.clip(cuts - score[:, None], -50, 50)))
         edge = np.column_stack([np.ones(len(rows)), p, np.zeros(len(rows))])
         of = np.maximum(1e-9, edge[rows, grade] - edge[rows, grade + 1])
         slope = np.column_stack([np.zeros(len(rows)), p * (1 - p), np.zeros(len(rows))])
         lower, upper = slope[rows, grade], slope[rows, grade + 1]
         d = share * (upper - lower) / of  # derivative of the loss by the score
-        gw = np.bincount(cols, vals * d[owner], len(w)) if len(w) else w
+        gw = np.bincount(cols, vals * d.astype(np.float32)[owner], len(w)) if len(w) else w
         gc = np.zeros(len(cuts))
         for k in range(1, GRADES):
             s = slope[:, k] * share / of
@@ -134,13 +134,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
 
     # The chosen rows are 3 * sample at most, whatever the size of the tables.
     text = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen.dropDuplicates(["doc_id"])), "doc_id")
-    rows = text.mapInArrow(run, "doc_id long, grade int, names array<int>, counts array<float>").toArrow().sort_by("doc_id").combine_chunks()
+    rows = text.mapInArrow(run, "doc_id long, grade int, names array<int>, counts array<float>").toArrow()
     if not rows.num_rows:
         return Ordinal({}, [50.0] * (GRADES - 1))
+    rows = rows.take(pc.sort_indices(rows["doc_id"])).combine_chunks()
     names, counts, grade = (rows[c].combine_chunks() for c in ("names", "counts", "grade"))
-    grade = np.asarray(grade)
+    cols, vals, size, grade = np.array(names.flatten()), np.array(counts.flatten()), np.array(pc.list_value_length(names)), np.array(grade)
+    del rows, names, counts  # numbers of 4 bytes are all that the fit holds
+    pa.default_memory_pool().release_unused()
     share = np.array([sizes.get(bool(g), 0) / np.sum((grade > 0) == g) for g in grade > 0])
-    return fit(np.asarray(names.flatten()), np.asarray(counts.flatten(), float), np.asarray(pc.list_value_length(names)), grade, share)
+    return fit(cols, vals, size, grade, share)
 
 
 def score(docs: DataFrame, model: Ordinal) -> DataFrame:
