@@ -21,7 +21,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyspark.sql.functions as F
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 
 from wakeline.llm.common import table
 
@@ -32,12 +32,12 @@ LISTS = 8  # lists read between two looks at the bounds
 RESOLVE = 64  # candidates left at which reading on costs more than resolving
 
 
-def quantised(vectors: DataFrame) -> DataFrame:
-    """vec_id, v: floor(256 * x) of each component as a long; rows that can take part only."""
+def quantised(vectors: DataFrame, *more: Column) -> DataFrame:
+    """vec_id, v: floor(256 * x) of each component as a long, and `more` columns; rows that can take part only."""
     x = F.col("embedding").cast("array<double>")
     sound = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
     kept = vectors.filter(F.col("vec_id").isNotNull() & (F.size(x) > 0) & sound)
-    return kept.select(F.col("vec_id").cast("long"), F.transform(x, lambda c: F.floor(c * 256.0)).alias("v"))
+    return kept.select(F.col("vec_id").cast("long"), F.transform(x, lambda c: F.floor(c * 256.0)).alias("v"), *more)
 
 
 class Block:
