@@ -86,6 +86,34 @@ def test_a_hot_group_is_not_expanded(spark, monkeypatch):
     assert sum(sent) < 5 * 300
 
 
+def test_copies_just_not_similar_are_not_expanded(spark, monkeypatch):
+    """400 copies with three edits of their own lie under the bound from the original and far from each other."""
+    rng, sent = random.Random(4), []
+    base = [f"w{i}" for i in range(150)]
+
+    def three(k):
+        words = list(base)
+        for i in (10 + 40 * j + rng.randrange(30) for j in range(3)):
+            words[i] = f"x{k}-{i}"
+        return " ".join(words)
+
+    rows = [(0, " ".join(base))] + [(k, three(k)) for k in range(1, 400)]
+    verified = jaccard.verified
+    monkeypatch.setattr(jaccard, "verified", lambda pairs, texts: (sent.append(pairs.count()), verified(pairs, texts))[1])
+    got = sorted((tuple(r) for r in jaccard.joined(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    assert got == plain(rows) and len({r[2] for r in got}) == 400
+    assert sum(sent) < 5 * 400
+
+
+def test_words_as_bytes_split_them():
+    import pyarrow as pa
+
+    texts = ["a\tb\nc\vd\x0ce\rf  g", " ", None, "\u00a0x\u3000y É", "\x1cq \x85", "no", ""]
+    h, bounds = jaccard.hashed_words(pa.array(texts))
+    assert np.diff(bounds).tolist() == [len((t or "").encode().split()) for t in texts]
+    assert len(h) == bounds[-1] and len({*h.tolist()}) == len({w for t in texts for w in (t or "").encode().lower().split()})
+
+
 def test_every_similar_pair_shares_an_allocated_segment():
     """The pigeonhole on sets of all sizes: contents that differ in no or one shingle in more units than the budget leaves out."""
     rng = np.random.default_rng(1)

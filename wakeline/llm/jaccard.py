@@ -11,10 +11,11 @@ pigeonhole principle it meets every similar set. The allocation is by cost: list
 has are free, then the shortest lists come first, so lists that many unlike sets share (empty segments, common
 passages) are left out. All counts cover all documents.
 
-Lists are not expanded into pairs. First the members of a list are compared with its most central one, as many
-times as that halves what is left, then all members that a lookup must compare and that are not connected yet; so a
-large group of near copies costs its size, and no link between components is lost. Pairs are verified on the sets
-of the whole texts. Two different sets of shingles share a hash with probability n * n / 2^65.
+Lists are not expanded into pairs. While they are long, their members are compared with the most central one, as
+many times as that halves what is left. Then the nodes of lists that are not connected yet are compared where they
+share one of their rarest shingles (a prefix of each set, rare ones first), which all similar sets do. So a large group of
+copies with edits of their own costs its size, whether they are similar or just not, and no link between components
+is lost. Pairs are verified on the sets of the whole texts. Two different sets share a hash with probability n * n / 2^65.
 
 A text of fewer words than WORDS is one shingle; null, empty and blank texts have none and are linked with nothing.
 A null doc_id takes part and gets the smallest other id of its component (null if there is none). Repeated rows and
@@ -23,10 +24,11 @@ ids are rows of their own; an empty table gives none; a very long text costs its
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 
@@ -37,7 +39,7 @@ WORDS = 4
 PERCENT = 85
 WIDE = 8
 SEED = 42
-BLOCK = 1 << 16  # words hashed at once
+BLOCK = 1 << 20  # bytes of text hashed at once, or one text
 LARGEST = 1 << 29  # shingles; no text has more
 BROADCAST_NODES = 1_000_000
 ROUNDS_WHILE = 4  # lists are compared with a pivot while this many times their members is left to compare
@@ -50,37 +52,39 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
-def shingle_sets(texts: Iterable[str | None]) -> Iterator[np.ndarray]:
-    """Sorted hashes of the distinct shingles of each text."""
+def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts in a row, and the bounds of each text's words."""
     import xxhash
 
-    held: list[bytes] = []
-    sizes: list[int] = []
+    clean = pc.ascii_lower(pc.fill_null(texts, ""))
+    for c in "\t\n\v\f\r":  # with the space, just the six ASCII white space characters
+        clean = pc.replace_substring(clean, c, " ")
+    split = pc.split_pattern(clean, " ")
+    coded = split.flatten().dictionary_encode()
+    known = coded.dictionary.to_pylist()
+    of = np.array([xxhash.xxh64_intdigest(w, SEED) for w in known], np.uint64)
+    codes = np.asarray(coded.indices)
+    word = codes != (known.index("") if "" in known else -1)
+    return of[codes[word]], np.append(0, np.cumsum(word))[np.asarray(split.offsets) - split.offsets[0].as_py()]
+
 
-    def hashed() -> Iterator[np.ndarray]:
-        coded = pa.array(held, pa.binary()).dictionary_encode()
-        of = np.array([xxhash.xxh64_intdigest(w, SEED) for w in coded.dictionary.to_pylist()], np.uint64)
-        h = np.append(of[np.asarray(coded.indices)], np.zeros(WORDS - 1, np.uint64)) if held else np.zeros(WORDS, np.uint64)
-        last = len(h) - WORDS + 1
+def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
+    """Sorted hashes of the distinct shingles of each text."""
+    size = np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64)
+    block = np.cumsum(size) // BLOCK
+    cuts = np.flatnonzero(np.diff(block, prepend=-1, append=-1)) if len(texts) else np.zeros(1, int)
+    for begin, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        h, bounds = hashed_words(texts.slice(begin, end - begin))
+        last = max(0, len(h) - WORDS + 1)
         every = mixed(sum((h[k : last + k] * FACTORS[k] for k in range(WORDS)), np.zeros(last, np.uint64)))
-        at = 0
-        for n in sizes:
-            if n >= WORDS:
-                yield np.unique(every[at : at + n - WORDS + 1])
-            elif n:
-                yield mixed(np.array([(h[at : at + n] * FACTORS[:n]).sum(dtype=np.uint64) + np.uint64(n)], np.uint64))
+        for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            if z - a >= WORDS:
+                x = np.sort(every[a : z - WORDS + 1])
+                yield x[np.append(True, x[1:] != x[:-1])]
+            elif z > a:
+                yield mixed(np.array([(h[a:z] * FACTORS[: z - a]).sum(dtype=np.uint64) + np.uint64(z - a)], np.uint64))
             else:
                 yield np.empty(0, np.uint64)
-            at += n
-
-    for text in texts:
-        words = (text or "").encode().lower().split()  # bytes: A-Z only, and just the six ASCII white space characters
-        held += words
-        sizes.append(len(words))
-        if len(held) >= BLOCK:
-            yield from hashed()
-            held, sizes = [], []
-    yield from hashed()
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -150,7 +154,7 @@ def nodes(docs: DataFrame) -> DataFrame:
         import xxhash
 
         for b in batches:
-            sets = [(len(x), xxhash.xxh3_64_intdigest(x.tobytes())) for x in shingle_sets(b.column("text").to_pylist())]
+            sets = [(len(x), xxhash.xxh3_64_intdigest(x.tobytes())) for x in shingle_sets(b.column("text"))]
             node = np.array([h for _, h in sets], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("md5"), pa.array([n for n, _ in sets], pa.int64()), pa.array(node)], ["doc_id", "md5", "n", "node"])
 
@@ -166,17 +170,17 @@ def signed(docs: DataFrame) -> DataFrame:
         seen: set[int] = set()  # saves work on copies that lie near each other
         for b in batches:
             held, size = [], 0
-            for x in shingle_sets(b.column("text").to_pylist()):
+            for x in shingle_sets(b.column("text")):
                 node = xxhash.xxh3_64_intdigest(x.tobytes())
                 if node in seen:
                     continue
-                if len(seen) >= BLOCK:
+                if len(seen) >= 1 << 16:
                     seen.clear()
                 seen.add(node)
                 sig, place = signatures(x)
                 held.append((sig, np.full(len(sig), node, np.uint64), place))
                 size += len(sig)
-                if size >= 4 * BLOCK:
+                if size >= 1 << 18:
                     yield rows(held)
                     held, size = [], 0
             if held:
@@ -248,7 +252,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
         def of(side: int, text: str) -> np.ndarray:
             if side not in held or held[side][0] != text:
-                held[side] = text, next(shingle_sets([text]))
+                held[side] = text, next(shingle_sets(pa.array([text])))
             return held[side][1]
 
         for b in batches:
@@ -259,6 +263,31 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def rare_pairs(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes (node, n, root) with different roots that can be similar by the order of their rarest shingles.
+
+    With all shingles in one order, rare ones first, the first shingle that two similar sets share comes so early in
+    both that enough are left behind it. Copies with edits of their own begin with shingles that nobody else has.
+    """
+
+    def run(batches):
+        for b in batches:
+            for node, x in zip(b.column("node").to_pylist(), shingle_sets(b.column("text"))):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), node)), pa.array(x.view(np.int64))], ["node", "shingle"])
+
+    every = texts.join(nodes.select("node"), "node", "left_semi").select("node", "text").mapInArrow(run, "node long, shingle long")
+    ranked = every.withColumn("f", F.count("*").over(Window.partitionBy("shingle")))
+    ranked = ranked.withColumn("at", F.row_number().over(Window.partitionBy("node").orderBy("f", "shingle")) - 1).filter("f > 1").join(nodes, "node")
+    n, other = F.col("n"), F.ceil(F.col("n") * PERCENT / 100)
+    shared_by = lambda a, b: F.ceil(PERCENT * (a + b) / (100 + PERCENT))
+    looks = materialise(ranked.filter(F.col("at") <= n - shared_by(n, other)).select("shingle", "node", "n", "root", "at"), "prefixes")
+    index = looks.filter(F.col("at") <= n - shared_by(n, n)).select("shingle", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "root", "at")))
+    fits = (F.col("n") > F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("node") > F.col("node2")))
+    enough = 1 + F.least(F.col("n") - F.col("at") - 1, F.col("n2") - F.col("at2") - 1) >= shared_by(F.col("n"), F.col("n2"))
+    both = looks.join(index, (looks.shingle == index.shingle) & (F.col("root") != F.col("root2")) & fits & enough & (F.col("n2") * 100 >= F.col("n") * PERCENT))
+    return both.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
+
+
 def linked(members: DataFrame, texts: DataFrame) -> DataFrame:
     """Verified links (a, b) that connect all similar nodes which meet in a list; members: bucket, node, n, look, weight."""
     pair = F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")
@@ -289,8 +318,8 @@ def linked(members: DataFrame, texts: DataFrame) -> DataFrame:
         pivots = held.groupBy("bucket").agg(F.max_by(F.struct("node", "n", "root"), order).alias("p"))
         verify(held.join(pivots, "bucket").filter((F.col("root") != F.col("p.root")) & near).select(*pair).distinct())
         salt, before, rest = salt + 1, rest, left()
-    looks = held.filter("look = 1").select("bucket", F.struct("node", "n", "root").alias("p"))
-    verify(held.filter("look = 0").join(looks, "bucket").filter((F.col("root") != F.col("p.root")) & (F.col("n") <= F.col("p.n")) & near).select(*pair).distinct())
+    left_over = held.groupBy("node").agg(F.first("n").alias("n"), F.first("root").alias("root"))
+    verify(rare_pairs(left_over, texts))
     return links
 
 
