@@ -102,7 +102,7 @@ def test_copies_just_not_similar_are_not_expanded(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "verified", lambda pairs, texts: (sent.append(pairs.count()), verified(pairs, texts))[1])
     got = sorted((tuple(r) for r in jaccard.joined(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
     assert got == plain(rows) and len({r[2] for r in got}) == 400
-    assert sum(sent) < 5 * 400
+    assert sum(sent) < 10 * 400  # of 79,800
 
 
 def test_words_as_bytes_split_them():

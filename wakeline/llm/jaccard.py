@@ -43,7 +43,7 @@ BLOCK = 1 << 20  # bytes of text hashed at once, or one text
 LARGEST = 1 << 29  # shingles; no text has more
 BROADCAST_NODES = 1_000_000
 ROUNDS_WHILE = 4  # lists are compared with a pivot while this many times their members is left to compare
-FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)  # odd, of no meaning
+FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)  # odd, of no meaning
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -68,18 +68,18 @@ def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return of[codes[word]], np.append(0, np.cumsum(word))[np.asarray(split.offsets) - split.offsets[0].as_py()]
 
 
-def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
+def shingle_sets(texts: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
     """Sorted hashes of the distinct shingles of each text."""
     size = np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64)
     block = np.cumsum(size) // BLOCK
     cuts = np.flatnonzero(np.diff(block, prepend=-1, append=-1)) if len(texts) else np.zeros(1, int)
     for begin, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
         h, bounds = hashed_words(texts.slice(begin, end - begin))
-        last = max(0, len(h) - WORDS + 1)
-        every = mixed(sum((h[k : last + k] * FACTORS[k] for k in range(WORDS)), np.zeros(last, np.uint64)))
+        last = max(0, len(h) - words + 1)
+        every = mixed(sum((h[k : last + k] * FACTORS[k] for k in range(words)), np.zeros(last, np.uint64)))
         for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-            if z - a >= WORDS:
-                x = np.sort(every[a : z - WORDS + 1])
+            if z - a >= words:
+                x = np.sort(every[a : z - words + 1])
                 yield x[np.append(True, x[1:] != x[:-1])]
             elif z > a:
                 yield mixed(np.array([(h[a:z] * FACTORS[: z - a]).sum(dtype=np.uint64) + np.uint64(z - a)], np.uint64))
@@ -87,9 +87,9 @@ def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
                 yield np.empty(0, np.uint64)
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
+def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= PERCENT * (len(a) + len(b) - both)
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
 
 def budget(n: int, l: int) -> int:  # noqa: E741
@@ -244,26 +244,26 @@ def lists(live: DataFrame, chosen: DataFrame) -> DataFrame:
     return looks.withColumn("look", F.lit(1)).unionAll(index.withColumn("look", F.lit(0)))
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets are similar."""
+def verified(pairs: DataFrame, texts: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets are similar; texts: node, text."""
 
     def run(batches):
         held: dict[int, tuple[str, np.ndarray]] = {}  # the text seen last on either side, as pivots come often
 
         def of(side: int, text: str) -> np.ndarray:
             if side not in held or held[side][0] != text:
-                held[side] = text, next(shingle_sets(pa.array([text])))
+                held[side] = text, next(shingle_sets(pa.array([text]), words))
             return held[side][1]
 
         for b in batches:
-            keep = [similar(of(0, x), of(1, y)) for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist())]
+            keep = [similar(of(0, x), of(1, y), percent) for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist())]
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     x, y = (texts.select(F.col("node").alias(k), F.col("text").alias(t)) for k, t in (("a", "x"), ("b", "y")))
     return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def rare_pairs(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+def rare_pairs(nodes: DataFrame, texts: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Pairs (a, b) of nodes (node, n, root) with different roots that can be similar by the order of their rarest shingles.
 
     With all shingles in one order, rare ones first, the first shingle that two similar sets share comes so early in
@@ -272,19 +272,19 @@ def rare_pairs(nodes: DataFrame, texts: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for node, x in zip(b.column("node").to_pylist(), shingle_sets(b.column("text"))):
+            for node, x in zip(b.column("node").to_pylist(), shingle_sets(b.column("text"), words)):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), node)), pa.array(x.view(np.int64))], ["node", "shingle"])
 
     every = texts.join(nodes.select("node"), "node", "left_semi").select("node", "text").mapInArrow(run, "node long, shingle long")
     ranked = every.withColumn("f", F.count("*").over(Window.partitionBy("shingle")))
     ranked = ranked.withColumn("at", F.row_number().over(Window.partitionBy("node").orderBy("f", "shingle")) - 1).filter("f > 1").join(nodes, "node")
-    n, other = F.col("n"), F.ceil(F.col("n") * PERCENT / 100)
-    shared_by = lambda a, b: F.ceil(PERCENT * (a + b) / (100 + PERCENT))
+    n, other = F.col("n"), F.ceil(F.col("n") * percent / 100)
+    shared_by = lambda a, b: F.ceil(percent * (a + b) / (100 + percent))
     looks = materialise(ranked.filter(F.col("at") <= n - shared_by(n, other)).select("shingle", "node", "n", "root", "at"), "prefixes")
     index = looks.filter(F.col("at") <= n - shared_by(n, n)).select("shingle", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "root", "at")))
     fits = (F.col("n") > F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("node") > F.col("node2")))
     enough = 1 + F.least(F.col("n") - F.col("at") - 1, F.col("n2") - F.col("at2") - 1) >= shared_by(F.col("n"), F.col("n2"))
-    both = looks.join(index, (looks.shingle == index.shingle) & (F.col("root") != F.col("root2")) & fits & enough & (F.col("n2") * 100 >= F.col("n") * PERCENT))
+    both = looks.join(index, (looks.shingle == index.shingle) & (F.col("root") != F.col("root2")) & fits & enough & (F.col("n2") * 100 >= F.col("n") * percent))
     return both.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
 
 

@@ -1,14 +1,13 @@
 """Near copies by exact Jaccard similarity of five-word shingles: SimHash links first, MinHash bands for what they cannot see.
 
 Texts of equal words are one class. The fingerprints of the classes over five-word shingles are linked by the
-binary trie self-join of `simhash`, and what it links is verified by the Jaccard similarity of the shingles, LEAST or
-more. Two texts at 0.8 differ by some 10 of 64 bits, so the budget of 4 bits finds few of them (README has
+binary trie self-join of `simhash`, and what it links is verified by the Jaccard similarity of the shingles, LEAST
+percent or more. Two texts at 0.8 differ by some 10 of 64 bits, so the budget of 4 bits finds few of them (README has
 figures), and no wider budget prunes the trie. So each class also has BANDS hashes of ROWS minima; classes that
-share one lie in a bucket. A bucket's members are compared with one of them, and in later rounds, with PIVOTS
-others, those that are not connected yet, for ROUNDS rounds and as long as links come up. The groups are the
-connected components of the links. So a bucket costs its size times the rounds, not its square; a pair at 0.8
-shares a bucket with probability 0.9996. What may be lost is a link of two texts that lie only in buckets with
-many unlike texts and were no pivots there.
+share one lie in a bucket. While buckets are long, their members are compared with one of them, as many times as
+that halves what is left; then all classes of mixed buckets are compared where they share one of their rarest
+shingles, which all similar texts do (`jaccard.rare_pairs`). So a bucket costs its size, not its square, and no pair that shares a
+bucket is lost; a pair at 0.8 shares one with probability 0.9996. The groups are the connected components of the links.
 
 A text of five words or fewer is one shingle; null, empty and blank texts are equal. Repeated rows and ids are
 rows of their own; an empty table gives none. A very long text costs its length.
@@ -23,32 +22,15 @@ from pyspark.sql import DataFrame, Window
 
 from wakeline.llm.common import materialise
 from wakeline.llm.components import components
+from wakeline.llm.jaccard import ROUNDS_WHILE, rare_pairs, shingle_sets, verified
 from wakeline.llm.simhash import fingerprint, near_links
 
 WORDS = 5
-LEAST = 0.8
+LEAST = 80  # percent
 BANDS, ROWS = 20, 5
-ROUNDS = 3
-PIVOTS = 8  # of a bucket, from the second round on
 SEED = 42
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """Sorted hashes of the distinct shingles; words as in the fingerprints."""
-    import xxhash
-
-    tokens = (text or "").encode().lower().split()
-    if not tokens:
-        return np.empty(0, np.uint64)
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(b" ".join(tokens[i : i + WORDS]), SEED) for i in range(max(1, len(tokens) - WORDS + 1))], np.uint64))
-
-
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
-
-
 def bands(shingle: np.ndarray, factors: np.ndarray) -> np.ndarray:
     """BANDS hashes of ROWS minima each."""
     low = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
@@ -63,7 +45,7 @@ def bands(shingle: np.ndarray, factors: np.ndarray) -> np.ndarray:
 
 
 def sketches(rows: DataFrame) -> DataFrame:
-    """row, doc_id, key (of the text's words), fp (of its shingles), bands."""
+    """row, doc_id, key (of the text's words), n (shingles), fp (of the shingles), bands."""
 
     def run(batches):
         import xxhash
@@ -72,31 +54,12 @@ def sketches(rows: DataFrame) -> DataFrame:
         for b in batches:
             texts = b.column("text").to_pylist()
             keys = [xxhash.xxh3_128_digest(b" ".join((t or "").encode().lower().split())) for t in texts]
-            own = [bands(shingles(t), factors).view(np.int64) for t in texts]
+            sets = [(len(x), bands(x, factors).view(np.int64)) for x in shingle_sets(b.column("text"), WORDS)]
             fps = np.array([fingerprint(t, WORDS) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), pa.array(keys, pa.binary()), pa.array(fps), pa.array(own, pa.list_(pa.int64()))], ["row", "doc_id", "key", "fp", "bands"])
-
-    return rows.select("row", F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "row long, doc_id long, key binary, fp long, bands array<long>")
-
-
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts are similar."""
-
-    def run(batches):
-        held: dict[int, tuple[str | None, np.ndarray]] = {}  # the text seen last on either side, as pivots come often
-
-        def of(side: int, text: str | None) -> np.ndarray:
-            if side not in held or held[side][0] != text:
-                held[side] = text, shingles(text)
-            return held[side][1]
-
-        for b in batches:
-            keep = [similarity(of(0, x), of(1, y)) >= LEAST for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist())]
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            n, own = pa.array([x[0] for x in sets], pa.int64()), pa.array([x[1] for x in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), pa.array(keys, pa.binary()), n, pa.array(fps), own], ["row", "doc_id", "key", "n", "fp", "bands"])
 
-    x, y = (texts.select(F.col("row").alias(k), F.col("text").cast("string").alias(t)) for k, t in (("a", "x"), ("b", "y")))
-    both = pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").repartition("a", "b")  # a pivot's pairs go to many tasks
-    return both.mapInArrow(run, "a long, b long")
+    return rows.select("row", F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "row long, doc_id long, key binary, n long, fp long, bands array<long>")
 
 
 def fingerprint_pairs(classes: DataFrame) -> DataFrame:
@@ -113,33 +76,40 @@ def distinct_rows(docs: DataFrame) -> DataFrame:
     rows = materialise(docs.withColumn("row", F.monotonically_increasing_id()), "rows")  # written, so that a row keeps its number
     seen = materialise(sketches(rows), "sketches")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-    classes = seen.groupBy("key").agg(least.alias("first"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
-    classes = materialise(classes.select(F.col("first.row").alias("node"), F.col("first.doc_id").alias("doc_id"), "fp", "bands"), "classes")
-    every = classes.select("node", F.explode("bands").alias("bucket"))
+    classes = seen.groupBy("key").agg(least.alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    classes = materialise(classes.select(F.col("first.row").alias("node"), F.col("first.doc_id").alias("doc_id"), "n", "fp", "bands"), "classes")
+    every = classes.filter("n > 0").select("node", "n", F.explode("bands").alias("bucket"))
     shared = every.groupBy("bucket").count().filter("count > 1").select("bucket")
+    members = materialise(every.join(shared, "bucket"), "members")
     tried = materialise(fingerprint_pairs(classes), "pairs")
-    links = materialise(verified(tried, rows), "links")
-    found = components(links)
-    members = materialise(every.join(shared, "bucket"), "members").join(found, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-    texts = rows.join(members.select(F.col("node").alias("row")).distinct(), "row", "left_semi")
-    salt, progress = 0, True
-    while salt < ROUNDS or progress:
-        mixed = members.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
-        drawn = Window.partitionBy("bucket").orderBy(F.xxhash64("node", "bucket", F.lit(salt)), "node")
-        first = members.withColumn("_r", F.row_number().over(drawn)).filter(F.col("_r") <= (PIVOTS if salt else 1))
-        pivots = first.join(mixed, "bucket", "left_semi").select("bucket", F.struct("node", "root").alias("p"))
-        pairs = members.join(pivots, "bucket").filter("root <> p.root").select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
+    wanted = members.select(F.col("node").alias("row")).unionAll(tried.select("a")).unionAll(tried.select("b")).distinct()
+    texts = materialise(rows.join(wanted, "row", "left_semi").select(F.col("row").alias("node"), F.col("text").cast("string").alias("text")), "texts")
+    links = materialise(verified(tried, texts, WORDS, LEAST), "links")
+
+    def mixed() -> DataFrame:
+        """The members of buckets that are not one component yet, with their roots."""
+        rooted = members.join(components(links), "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
+        several = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
+        return materialise(rooted.join(several, "bucket", "left_semi"), "mixed")
+
+    def left(open_: DataFrame) -> float:
+        each = open_.groupBy("bucket", "root").count().groupBy("bucket").agg(F.sum("count").alias("s"), F.sum(F.col("count") * F.col("count")).alias("q"))
+        return each.agg(F.coalesce(F.sum((F.col("s") * F.col("s") - F.col("q")).cast("double")), F.lit(0.0))).first()[0] / 2
+
+    def compare(pairs: DataFrame) -> None:
+        nonlocal tried, links
         pairs = materialise(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            break
-        new = materialise(verified(pairs, texts), "links")
-        salt, progress = salt + 1, not new.isEmpty()
-        tried, links = tried.union(pairs), links.union(new)
-        found = components(links)
-        done = pivots.select("bucket", F.col("p.node").alias("node"))  # compared with all others of the bucket
-        members = members.join(done, ["bucket", "node"], "left_anti").drop("root").join(found, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-        members = materialise(members, "members")
+        tried, links = tried.unionAll(pairs), links.unionAll(materialise(verified(pairs, texts, WORDS, LEAST), "links"))
+
+    open_ = mixed()
+    salt, before, rest = 0, float("inf"), left(open_)
+    while rest > ROUNDS_WHILE * open_.count() and rest <= before / 2:
+        pivot = open_.groupBy("bucket").agg(F.min_by(F.struct("node", "root"), F.struct(F.xxhash64("node", F.lit(salt)), F.col("node"))).alias("p"))
+        compare(open_.join(pivot, "bucket").filter("root <> p.root").select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct())
+        open_ = mixed()
+        salt, before, rest = salt + 1, rest, left(open_)
+    compare(rare_pairs(open_.groupBy("node").agg(F.first("n").alias("n"), F.first("root").alias("root")), texts, WORDS, LEAST))
     named = classes.select("node", "doc_id", F.col("node").alias("row"))
-    named = named.join(found, "node", "left").select("doc_id", "row", F.coalesce("root", "node").alias("node"))
+    named = named.join(components(links), "node", "left").select("doc_id", "row", F.coalesce("root", "node").alias("node"))
     kept = named.groupBy("node").agg(least.alias("first")).select(F.col("first.row").alias("row"))
     return rows.join(kept, "row", "left_semi").select(*docs.columns)

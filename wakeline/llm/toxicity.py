@@ -7,7 +7,7 @@ most SAMPLE toxic and twice as many clean labelled rows, those with the smallest
 classes' true sizes, with an L1 penalty, so that few weights remain. Every document is scored whole.
 
 Null and empty texts score as a text without words. Labels that are null, or of documents that do
-not exist, are left out; without both classes in the labels every document gets the grade 0 or the
+not exist, are left out; of documents that share a labelled doc_id one is fitted on. Without both classes in the labels every document gets the grade 0 or the
 only class there is. Repeated documents are scored each for itself; a very long text costs its length. Only doc_id, text, toxic and
 quality are read.
 """
@@ -132,9 +132,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
                 got.append((list(counts), [k / max(1, total) ** LENGTH_POWER for k in counts.values()]))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("grade"), pa.array([x[0] for x in got], pa.list_(pa.int32())), pa.array([x[1] for x in got], pa.list_(pa.float32()))], ["doc_id", "grade", "names", "counts"])
 
-    # The chosen rows are 3 * sample at most, whatever the size of the tables.
-    text = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen.dropDuplicates(["doc_id"])), "doc_id")
-    rows = text.mapInArrow(run, "doc_id long, grade int, names array<int>, counts array<float>").toArrow()
+    # One row for each chosen id (of repeated ones that with the smallest hash of its text), so 3 * sample at most, whatever the size of the tables.
+    text = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen.groupBy("doc_id").agg(F.min("grade").alias("grade"))), "doc_id")
+    text = text.groupBy("doc_id", "grade").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    rows = text.select("doc_id", "text", "grade").mapInArrow(run, "doc_id long, grade int, names array<int>, counts array<float>").toArrow()
     if not rows.num_rows:
         return Ordinal({}, [50.0] * (GRADES - 1))
     rows = rows.take(pc.sort_indices(rows["doc_id"])).combine_chunks()
