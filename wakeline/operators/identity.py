@@ -110,12 +110,6 @@ def destination_anomalies(reports: DataFrame, zones: DataFrame, as_of: int, euro
     return empty.unionByName(often).unionByName(astray.select("vessel_id", F.lit("astray").alias("kind"), F.lit(30).alias("points")).distinct())
 
 
-# First and last prefix of identifiers, flag, risk of the flag.
-PREFIXES = (
-    (209, 212, "CY", "low"), (215, 215, "MT", "low"), (229, 229, "MT", "low"), (248, 249, "MT", "low"), (256, 256, "MT", "low"), (219, 220, "DK", "low"), (232, 235, "GB", "low"), (244, 246, "NL", "low"), (257, 259, "NO", "low"),
-    (273, 273, "RU", "medium"), (351, 357, "PA", "medium"), (370, 374, "PA", "medium"), (422, 422, "IR", "high"), (477, 477, "HK", "medium"), (511, 511, "PW", "high"), (518, 518, "CK", "high"), (538, 538, "MH", "medium"), (563, 566, "SG", "low"),
-    (572, 572, "TV", "high"), (576, 577, "VU", "medium"), (613, 613, "CM", "high"), (620, 620, "KM", "high"), (626, 626, "GA", "high"), (629, 629, "GM", "high"), (636, 637, "LR", "medium"), (667, 667, "SL", "high"), (671, 671, "TG", "high"), (677, 677, "TZ", "high"),
-)
 # First and last code of ship types.
 SHIP_TYPES = ((20, 29, "wing in ground"), (30, 30, "fishing"), (31, 32, "towing"), (33, 33, "dredging"), (34, 34, "diving"), (35, 35, "military"), (36, 36, "sailing"), (37, 37, "pleasure"), (40, 49, "high speed"), (50, 50, "pilot"), (51, 51, "rescue"), (52, 52, "tug"), (55, 55, "law enforcement"), (60, 69, "passenger"), (70, 79, "cargo"), (80, 89, "tanker"), (90, 99, "other"))
 HAZARDS = {1: "A", 2: "B", 3: "C", 4: "D"}  # last digit of cargo and tanker codes

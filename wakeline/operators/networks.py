@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 
 from wakeline.functions.geo import haversine_nm
 from wakeline.functions.polygons import contains, meets
+from wakeline.functions.prefixes import prefix_kind
 
 DAY = 86_400
 
@@ -143,13 +144,11 @@ def next_ports(calls: DataFrame, history: int = 2) -> DataFrame:
     return seen.filter("next is null").select("vessel_id", "seen").join(best, "seen").select("vessel_id", "port_id")
 
 
-def prefix_risks(vessels: DataFrame, mid: Column, allocated: DataFrame, landlocked: tuple[str, ...], tiny: tuple[str, ...]) -> DataFrame:
-    """vessel_id, kind, points: prefixes that nobody has, of landlocked states, of micro-territories; allocated: low, high, flag_code."""
-    v = vessels.select("vessel_id", mid.alias("mid"))
-    each = allocated.withColumn("mid", F.explode(F.sequence("low", "high"))).select(F.col("mid").cast("long").alias("mid"), "flag_code")  # a thousand prefixes at most
-    f = v.join(F.broadcast(each), "mid", "left")
-    kind = F.when(F.col("flag_code").isNull(), "unallocated").when(F.col("flag_code").isin(*landlocked), "landlocked").when(F.col("flag_code").isin(*tiny), "tiny")
-    return f.select("vessel_id", kind.alias("kind"), F.when(kind == "unallocated", 35).when(kind == "landlocked", 20).when(kind == "tiny", 10).alias("points")).filter("kind is not null")
+def prefix_risks(vessels: DataFrame, prefix: Column) -> DataFrame:
+    """vessel_id, kind, points: prefixes that nobody has, of landlocked states, of tiny territories."""
+    kind = prefix_kind(prefix)
+    points = F.when(kind == "unallocated", 35).when(kind == "landlocked", 20).when(kind == "tiny", 10)
+    return vessels.select("vessel_id", kind.alias("kind"), points.alias("points")).filter("kind is not null")
 
 
 def reused_hulls(vessels: DataFrame, scrapped: DataFrame, reports: DataFrame) -> DataFrame:

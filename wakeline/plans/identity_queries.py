@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pyspark.sql.functions as F
 
+from wakeline.functions import prefixes as P
 from wakeline.operators import identity as I
 from wakeline.operators import pairs
 from wakeline.plans.base import query
@@ -23,10 +24,14 @@ def ranges(column: str, table, k: int, other: str) -> str:
 MID = "200 + vessel_id * 37 % 500"
 
 
-@query("f13_flag_of_prefix", sql(f"SELECT vessel_id, {ranges(MID, I.PREFIXES, 0, 'NULL')} AS flag_code, {ranges(MID, I.PREFIXES, 1, chr(39) + 'unknown' + chr(39))} AS risk FROM vessels", "vessels"))
+FLAG_LIST = "(VALUES " + ", ".join(f"({k}, '{v}')" for k, v in P.FLAG_OF.items()) + ") g(prefix, flag_code)"
+
+
+@query("f13_flag_of_prefix", sql(f"""SELECT vessel_id, flag_code, CASE WHEN flag_code IS NULL THEN 'unknown' WHEN flag_code IN ('{"', '".join(P.HIGH_RISK.split())}') THEN 'high' WHEN flag_code IN ('{"', '".join(P.LOW_RISK.split())}') THEN 'low' ELSE 'medium' END AS risk
+  FROM vessels LEFT JOIN {FLAG_LIST} ON prefix = {MID}""", "vessels"))
 def f13(spark, d):
-    mid = F.lit(200) + F.col("vessel_id") * 37 % 500
-    return vessels(spark, d).select("vessel_id", I.ranged(mid, I.PREFIXES, 0).alias("flag_code"), I.ranged(mid, I.PREFIXES, 1, "unknown").alias("risk"))
+    flag = P.flag_of(F.lit(200) + F.col("vessel_id") * 37 % 500)
+    return vessels(spark, d).select("vessel_id", flag.alias("flag_code"), P.flag_risk(flag).alias("risk"))
 
 
 @query("f19_ship_type", sql(f"SELECT vessel_id, CASE WHEN c BETWEEN 70 AND 89 AND c % 10 BETWEEN 1 AND 4 THEN kind || ' hazard ' || substr('ABCD', CAST(c % 10 AS INT), 1) ELSE kind END AS ship_type FROM (SELECT vessel_id, c, {ranges('c', I.SHIP_TYPES, 0, chr(39) + 'unknown' + chr(39))} AS kind FROM (SELECT vessel_id, vessel_id * 7 % 100 AS c FROM vessels))", "vessels"))

@@ -5,10 +5,10 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 
 from wakeline.functions import polygons as P
+from wakeline.functions import prefixes
 from wakeline.operators import graph
 from wakeline.operators import networks as N
 from wakeline.operators.alerts import notify
-from wakeline.operators.identity import PREFIXES
 from wakeline.operators.pairs import meetings, near_port
 from wakeline.plans.base import alert_frame, gap_frame, query, zoned_frame
 from wakeline.plans.detector_queries import met
@@ -106,14 +106,10 @@ def g23(spark, d):
     return N.similarity(f, v.select(F.col("vessel_id").alias("one"), (F.col("vessel_id") + 1).alias("two")), {"flag": 0.5, "kind": 0.5})
 
 
-LAND, TINY = ("MT", "HK"), ("TV", "PW")
-CODE = "CASE " + " ".join(f"WHEN {MID} BETWEEN {a} AND {b} THEN '{f}'" for a, b, f, _ in PREFIXES) + " END"
-
-
-@query("g26_prefix_risks", sql(f"SELECT vessel_id, kind, CASE kind WHEN 'unallocated' THEN 35 WHEN 'landlocked' THEN 20 ELSE 10 END AS points FROM (SELECT vessel_id, CASE WHEN f IS NULL THEN 'unallocated' WHEN f IN {LAND} THEN 'landlocked' WHEN f IN {TINY} THEN 'tiny' END AS kind FROM (SELECT vessel_id, {CODE} AS f FROM vessels)) WHERE kind IS NOT NULL", "vessels"))
+@query("g26_prefix_risks", sql(f"""SELECT vessel_id, kind, CASE kind WHEN 'unallocated' THEN 35 WHEN 'landlocked' THEN 20 ELSE 10 END AS points FROM (SELECT vessel_id, CASE WHEN {MID} NOT IN ({', '.join(map(str, sorted(prefixes.numbers(prefixes.ALLOCATED))))}) THEN 'unallocated'
+  WHEN {MID} IN ({prefixes.LANDLOCKED.replace(' ', ', ')}) THEN 'landlocked' WHEN {MID} IN ({prefixes.TINY.replace(' ', ', ')}) THEN 'tiny' END AS kind FROM vessels) WHERE kind IS NOT NULL""", "vessels"))
 def g26(spark, d):
-    table = spark.createDataFrame([(a, b, f) for a, b, f, _ in PREFIXES], "low int, high int, flag_code string")
-    return N.prefix_risks(vessels(spark, d), F.lit(200) + F.col("vessel_id") * 37 % 500, table, LAND, TINY)
+    return N.prefix_risks(vessels(spark, d), F.lit(200) + F.col("vessel_id") * 37 % 500)
 
 
 @query("g26_reused_hulls", sql(f"SELECT v.vessel_id, v.imo FROM vessels v JOIN vessels s ON s.imo = v.imo AND s.vessel_id % 9 = 0 JOIN (SELECT vessel_id, max(t) AS last_t FROM pos GROUP BY 1) p ON p.vessel_id = v.vessel_id WHERE last_t > {EPOCH} + s.vessel_id % 40 * 86400", "vessels", "pos"))
