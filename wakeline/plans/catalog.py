@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from wakeline.plans import alert_queries, cluster_queries, detector_queries, entity_queries, identity_queries, network_queries, operations_queries, satellite_queries, signal_queries, spatial_queries, spread_queries, track_queries
 from wakeline.plans.base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "alert_queries", "cluster_queries", "detector_queries", "entity_queries", "flagship", "identity_queries", "network_queries", "operations_queries", "satellite_queries", "signal_queries", "spatial_queries", "spread_queries", "track_queries"]
+from wakeline.plans import score_queries  # isort: skip  (gathers the queries above)
+
+__all__ = ["ORACLES", "QUERIES", "alert_queries", "cluster_queries", "detector_queries", "entity_queries", "flagship", "identity_queries", "network_queries", "operations_queries", "satellite_queries", "score_queries", "signal_queries", "spatial_queries", "spread_queries", "track_queries"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
