@@ -1,17 +1,18 @@
 """Exact top-k inner product search by no-random-access aggregation over sorted lists.
 
-Candidates stay where the table has them: each task takes its rows in blocks of BLOCK, and the queries go
-to the tasks in groups of QUERIES, a pass over the table for each group. In a block every component has a
-list of its values in order. A query reads the lists by falling weight |q_j|, each from its good end down.
-What has been read of a candidate and Cauchy-Schwarz over what has not (the norm of the rest of either
-vector) bound its score below and above; the bar is the k-th lower bound, or the k-th best score of the
-task's earlier blocks. Reading a list ends where nothing further down can reach the bar; candidates not
-reached, and those whose upper bound falls below the bar, are out and no later list is read for them.
-When RESOLVE or fewer are left, or the lists end, the final scores are resolved. Each query stops by itself.
+Candidates are dealt once into groups of some GROUP rows by a hash, every query goes to every group, and a task holds a
+group in blocks of BLOCK rows and lets the queries stream by. In a block every component has a list of its entries in order
+of value. A query reads all lists from their good ends at once, a chunk of equal depth at a time, and takes nothing but
+what it reads in this order. What has been read of a candidate is summed; what has not is at most the last value
+read of that list and at least the value at its far end, so every candidate has a lower and an upper bound, and one
+that no list has shown yet has the sum of all last values as its upper bound. The bar is the k-th lower bound, or
+the k-th best score of the group's earlier blocks. Reading stops when no candidate outside the k best, seen or not, can
+reach the bar, when RESOLVE or fewer still can, or when the lists end; then the final scores of these are resolved.
+Only the k best of a group leave it, and are ranked over all groups.
 
 Vectors that are null, empty, or hold null or non-finite components take no part, nor do rows without a
 vec_id; vectors of another length than the query's are not its candidates. A query's own row is told
-by its vec_id. Repeated rows are candidates each for itself, repeated queries are asked once. Where
+by its vec_id. Repeated rows are candidates each for itself, repeated queries are asked once (the smallest vector). Where
 values are so large that a double does not hold the scores, and in blocks of RESOLVE rows or fewer, all
 candidates are resolved at once. Only vec_id and embedding are read.
 """
@@ -27,8 +28,8 @@ from wakeline.llm.common import table
 
 K = 5
 BLOCK = 8192
-QUERIES = 8192
-LISTS = 8  # lists read between two looks at the bounds
+GROUP = 1 << 16
+CHUNKS = 32  # parts in which a list is read, with a look at the bounds after each
 RESOLVE = 64  # candidates left at which reading on costs more than resolving
 
 
@@ -46,97 +47,94 @@ class Block:
     def __init__(self, rows: np.ndarray, ids: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.rows, self.ids = rows[order], ids[order]
-        self.by_list = np.ascontiguousarray(self.rows.T).astype(float)  # component, candidate
-        self.sorted = np.sort(self.by_list, axis=1)
-        self.norm2 = (self.by_list**2).sum(0)
-        self.peak = float(np.abs(self.rows).max()) + 1
+        real = self.rows.astype(float)
+        self.lists = np.ascontiguousarray(np.argsort(real, axis=0, kind="stable").T)  # component: candidates by rising value
+        self.values = np.take_along_axis(np.ascontiguousarray(real.T), self.lists, axis=1)
+        self.peak = float(np.abs(real).max(initial=0)) + 1
 
     def search(self, query: np.ndarray, own: int, k: int, bar: float = -np.inf) -> tuple[np.ndarray, np.ndarray, int]:
         """vec_ids and scores of the k best, ties to smaller ids, and how many list entries were read; scores under `bar` may be left out."""
         n, dim = self.rows.shape
-        exact = (float(np.abs(query).max()) + 1) * self.peak * dim < 2**52
-        alive, read = np.flatnonzero(self.ids != own), 0
-        if exact and n > RESOLVE:
-            q = query.astype(float)
-            order = np.argsort(-np.abs(q), kind="stable")
-            partial, rest = np.zeros(len(alive)), self.norm2[alive]
-            unread = np.append(np.cumsum((q[order] ** 2)[::-1])[::-1], 0.0)  # squared norm of the query's unread part
-            for at in range(0, dim, LISTS):
-                for t in range(at, min(at + LISTS, dim)):
-                    j = int(order[t])
-                    if not q[j]:
-                        continue
-                    # What is further down the list than `least` cannot reach the bar.
-                    least = (bar - partial.max() - np.sqrt(unread[t + 1] * max(0.0, rest.max())) - 1) / abs(q[j]) if len(alive) else 0.0
-                    value = self.by_list[j, alive]
-                    end = self.sorted[j, 0] if q[j] > 0 else -self.sorted[j, -1]
-                    if least > end:
-                        seen = value * np.sign(q[j]) >= least
-                        alive, partial, rest, value = alive[seen], partial[seen], rest[seen], value[seen]
-                    read += len(alive)
-                    partial += q[j] * value
-                    rest = rest - value * value
-                if len(alive) <= RESOLVE:
-                    break
-                slack = np.sqrt(np.maximum(rest, 0.0) * unread[min(at + LISTS, dim)]) + 1  # more than the rounding of the root
-                lower = partial - slack
-                if len(alive) > k:
-                    bar = max(bar, np.partition(lower, len(alive) - k)[len(alive) - k])
-                keep = partial + slack >= bar
-                alive, partial, rest = alive[keep], partial[keep], rest[keep]
-        score = (query.astype(float) @ self.by_list[:, alive]).astype(np.int64) if exact else self.rows[alive] @ query
+        exact = (float(np.abs(query).max(initial=0)) + 1) * self.peak * dim < 2**52
+        other = self.ids != own
+        alive, depth = np.flatnonzero(other), 0
+        used = np.flatnonzero(query)
+        if exact and n > RESOLVE and len(used):
+            q = query[used].astype(float)
+            up = q > 0  # read from the far end down
+            far = q * np.where(up, self.values[used, 0], self.values[used, -1])  # the least that a list can give
+            known, seen, step = np.zeros(n), np.zeros((len(used), n)), -(-n // CHUNKS)
+            while depth < n and len(alive) > RESOLVE:
+                until = min(n, depth + step)
+                for i, j in enumerate(used.tolist()):
+                    part = slice(n - until, n - depth) if up[i] else slice(depth, until)
+                    at = self.lists[j, part]
+                    known[at] += q[i] * self.values[j, part]
+                    seen[i, at] = 1.0
+                depth = until
+                last = q * np.where(up, self.values[used, n - depth], self.values[used, depth - 1])
+                upper, lower = known + last.sum() - last @ seen, known + far.sum() - far @ seen
+                slack = 1e-9 * (np.abs(last).sum() + np.abs(far).sum()) + 0.5  # more than the rounding of the sums; scores are whole numbers
+                if len(alive) >= k:
+                    held = lower[alive]
+                    bar = max(bar, np.partition(held, len(held) - k)[len(held) - k] - slack)
+                alive = alive[upper[alive] + slack >= bar]
+        score = self.rows[alive].astype(float) @ query.astype(float) if exact else self.rows[alive] @ query
+        score = score.astype(np.int64)
         best = np.lexsort((self.ids[alive], -score))[:k]
-        return self.ids[alive[best]], score[best], read
+        return self.ids[alive[best]], score[best], depth * len(used)
 
 
-def best_of(batches, groups: dict[int, tuple[np.ndarray, np.ndarray]], k: int):
-    """(query_id, vec_id, score) of the k best candidates of a task for each query; groups: by length, the queries' ids and vectors."""
-    found = {dim: [(np.empty(0, np.int64), np.empty(0, np.int64)) for _ in ids] for dim, (ids, _) in groups.items()}
-    held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+def stream(batches, k: int):
+    """(query_id, vec_id, score) of rows (group, kind, vec_id, v) by group, candidates (kind 0) before queries: the k best of the group for each query."""
+    group, held, blocks = None, {}, {}
 
-    def ask(dim: int) -> None:
-        parts = held.pop(dim)
-        block = Block(np.concatenate([p[1] for p in parts]), np.concatenate([p[0] for p in parts]))
-        for i, (own, query) in enumerate(zip(*groups[dim])):
-            ids, scores = found[dim][i]
-            bar = float(scores[-1]) if len(scores) == k else -np.inf
-            new_ids, new, _ = block.search(query, int(own), k, bar)
-            ids, scores = np.concatenate([ids, new_ids]), np.concatenate([scores, new])
-            top = np.lexsort((ids, -scores))[:k]
-            found[dim][i] = ids[top], scores[top]
+    def blocks_of(dim: int) -> list[Block]:
+        if dim in held:
+            ids, rows = (np.concatenate(x) for x in zip(*held.pop(dim)))
+            blocks[dim] = blocks.get(dim, []) + [Block(rows[at : at + BLOCK], ids[at : at + BLOCK]) for at in range(0, len(ids), BLOCK)]
+        return blocks.get(dim, [])
 
     for b in batches:
-        size = np.asarray(b.column("v").value_lengths())
-        flat, ids = np.asarray(b.column("v").flatten()), np.asarray(b.column("vec_id"))
-        starts = np.cumsum(size) - size
-        for dim in np.unique(size).tolist():
-            if dim not in groups:
-                continue
-            of = np.flatnonzero(size == dim)
-            rows = flat[starts[of, None] + np.arange(dim)]
-            for at in range(0, len(of), BLOCK):
-                held.setdefault(dim, []).append((ids[of[at : at + BLOCK]], rows[at : at + BLOCK]))
-                if sum(len(p[0]) for p in held[dim]) >= BLOCK:
-                    ask(dim)
-    for dim in list(held):
-        ask(dim)
-    for dim, (ids, _) in groups.items():
-        n = [len(x[0]) for x in found[dim]]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), *(pa.array(np.concatenate([x[c] for x in found[dim]])) for c in (0, 1))], ["query_id", "vec_id", "score"])
+        groups, kind = np.asarray(b.column("group")), np.asarray(b.column("kind"))
+        cuts = np.flatnonzero((np.diff(groups, prepend=groups[:1] - 1) != 0) | (np.diff(kind, prepend=-1) != 0))
+        for a, z in zip(cuts, np.append(cuts[1:], len(groups))):
+            if groups[a] != group:
+                group, held, blocks = int(groups[a]), {}, {}
+            part = b.slice(a, z - a)
+            size, ids = np.asarray(part.column("v").value_lengths()), np.asarray(part.column("vec_id"))
+            flat, starts = np.asarray(part.column("v").flatten()), np.cumsum(size) - size
+            found = []
+            for dim in np.unique(size).tolist():
+                of = np.flatnonzero(size == dim)
+                rows = flat[starts[of, None] + np.arange(dim)]
+                if not kind[a]:
+                    held.setdefault(dim, []).append((ids[of], rows))
+                    if sum(len(x[0]) for x in held[dim]) >= BLOCK:
+                        blocks_of(dim)
+                    continue
+                for own, query in zip(ids[of].tolist(), rows):
+                    best_ids, best = np.empty(0, np.int64), np.empty(0, np.int64)
+                    for block in blocks_of(dim):
+                        new_ids, new, _ = block.search(query, own, k, float(best[-1]) if len(best) == k else -np.inf)
+                        best_ids, best = np.concatenate([best_ids, new_ids]), np.concatenate([best, new])
+                        top = np.lexsort((best_ids, -best))[:k]
+                        best_ids, best = best_ids[top], best[top]
+                    found.append((own, best_ids, best))
+            if found:
+                n = [len(x[1]) for x in found]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat([x[0] for x in found], n)), pa.array(np.concatenate([x[1] for x in found])), pa.array(np.concatenate([x[2] for x in found]))], ["query_id", "vec_id", "score"])
 
 
 def top_k(vectors: DataFrame, every: int = 50, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score for the rows whose vec_id is divisible by `every`."""
-    spark, rows = vectors.sparkSession, quantised(vectors)
-    asked = rows.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
-    parts = max(1, -(-asked.count() // QUERIES))
-    best = None
-    for part in range(parts):
-        own = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == part).toPandas()  # QUERIES or so, a bounded part of the query set
-        groups = {dim: (g["vec_id"].to_numpy(), np.stack(g["v"].to_list())) for dim, g in own.groupby(own["v"].map(len))} if len(own) else {}
-        shared = spark.sparkContext.broadcast(groups)
-        got = rows.mapInArrow(lambda batches, shared=shared: best_of(batches, shared.value, k), "query_id long, vec_id long, score long")
-        best = got if best is None else best.unionAll(got)
+    rows = quantised(vectors)
+    asked = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
+    groups = max(4 * vectors.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // GROUP))
+    left = rows.select(F.pmod(F.xxhash64("vec_id", "v"), F.lit(groups)).alias("group"), F.lit(0).alias("kind"), "vec_id", "v")
+    right = asked.select(F.explode(F.expr(f"sequence(0L, {groups - 1}L)")).alias("group"), F.lit(1).alias("kind"), "vec_id", "v")
+    dealt = left.unionAll(right).repartition(groups, "group").sortWithinPartitions("group", "kind")
+    best = dealt.mapInArrow(lambda batches: stream(batches, k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
