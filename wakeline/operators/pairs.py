@@ -6,6 +6,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, Window
 
 from wakeline.functions.geo import haversine_nm, in_box
+from wakeline.operators.graph import _cut
 
 BROADCAST_ROWS = 100_000
 
@@ -75,7 +76,7 @@ def transfers_by_run(points: DataFrame, zones: DataFrame, ports: DataFrame, seco
     angle = turned("cog_1", "cog_2")
     met = meetings(points, seconds, nm, apart).filter((F.col("sog_1") < knots) & (F.col("sog_2") < knots) & F.coalesce((angle <= 30) | (angle >= 150), F.lit(True)))
     keys = ["vessel_id_1", "vessel_id_2", "_i"]
-    place = runs_of_meetings(met, least).withColumn("point_id", F.struct(*keys, "bucket"))
+    place = _cut(runs_of_meetings(met, least).withColumn("point_id", F.struct(*keys, "bucket")))  # read four times below
     spots = place.groupBy(*keys).agg(F.min("bucket").alias("first_bucket"), F.max("bucket").alias("last_bucket"), F.first("n").alias("n"))
     ported = near_port(place, ports, port_nm).select("point_id.vessel_id_1", "point_id.vessel_id_2", "point_id._i").distinct()
     zoned = in_zone(place, zones, "point_id").groupBy(*keys).agg(F.max(F.col("corridor_id").isNotNull()).alias("in_zone"))

@@ -8,7 +8,9 @@ from wakeline.functions import polygons as P
 from wakeline.functions import prefixes
 from wakeline.operators import graph
 from wakeline.operators import networks as N
+from wakeline.operators import routes as R
 from wakeline.operators.alerts import notify
+from wakeline.operators.graph import _cut
 from wakeline.operators.pairs import meetings, near_port
 from wakeline.plans.base import alert_frame, gap_frame, query, zoned_frame
 from wakeline.plans.detector_queries import met
@@ -99,6 +101,21 @@ def g24_next(spark, d):
     return N.next_ports(calls(spark, d))
 
 
+@query("g24_route_groups")
+def g24_groups(spark, d):
+    """Templates from all runs of calls, grouped greedily in order."""
+    t = R.templates(R.call_runs(calls(spark, d)), vessels(spark, d))
+    return t.select("template.*", F.array_join(F.col("route").cast("array<string>"), ">").alias("route"), "frequency", "kind")
+
+
+@query("g24_foretold_ports")
+def g24_foretold(spark, d):
+    c = calls(spark, d)
+    known = _cut(R.templates(R.call_runs(c), vessels(spark, d)))
+    out = R.foretold(c, known, positions(spark, d), corridors(spark))
+    return out.select("vessel_id", F.col("template.vessel_id").alias("template_vessel"), "port_id", F.floor(F.col("likeness") * 100).cast("int").alias("percent"), "deviation")
+
+
 @query("g23_similarity", sql("""SELECT a.vessel_id AS one, b.vessel_id AS two, CAST(floor(100 * (0.5::DOUBLE / (1 + sqrt(pow((a.dwt - b.dwt) / 10000, 2) + pow(CAST(a.year_built - b.year_built AS DOUBLE), 2)) / 10) + 0.5::DOUBLE * (CASE WHEN a.flag = b.flag THEN 0.5::DOUBLE ELSE 0 END + CASE WHEN a.kind = b.kind THEN 0.5::DOUBLE ELSE 0 END)) + 1e-9) AS BIGINT) AS percent FROM vessels a JOIN vessels b ON b.vessel_id = a.vessel_id + 1""", "vessels"))
 def g23(spark, d):
     v = vessels(spark, d)
