@@ -1,8 +1,11 @@
 """What reaches the driver or one task stays bounded when one id or one group holds most rows."""
 
 import random
+import time
 
-from wakeline.llm import near_copies, toxicity
+import numpy as np
+
+from wakeline.llm import near_copies, topk, toxicity
 
 
 def test_the_fit_takes_one_row_of_a_labelled_id(spark, monkeypatch):
@@ -36,3 +39,20 @@ def test_template_pages_are_compared_exactly(spark, monkeypatch):
     kept = {r.doc_id for r in near_copies.distinct_rows(docs).collect()}
     assert kept == set(range(500))
     assert sum(sent) < 20 * len(texts)
+
+
+def test_lists_read_by_many_queries_at_once():
+    """Bounds of all queries come from one product: the same answers, most candidates never resolved, no time a candidate."""
+    rng = np.random.default_rng(5)
+    rows = rng.normal(size=(8192, 64))
+    rows = np.floor(256 * rows / np.linalg.norm(rows, axis=1)[:, None]).astype(np.int64)
+    rows[3000:3500] = rows[7]  # copies: more equals than places
+    rows[40] = 0
+    block, queries, own = topk.Block(rows, np.arange(8192) // 2 * 2), rows[:400], np.arange(400) // 2 * 2  # repeated ids
+    start = time.process_time()
+    q, ids, scores, read = block.search_all(queries, own, 5, np.full(400, -np.inf))
+    assert time.process_time() - start < 8  # some 40 s one by one
+    for i in (0, 1, 7, 40, 99, 399):
+        want = sorted((-int(s), int(j)) for s, j in zip(rows @ queries[i], block.ids) if j != own[i])[:5]
+        assert list(zip((-scores[q == i]).tolist(), ids[q == i].tolist())) == want
+    assert np.median(read) < 0.9 * rows.size

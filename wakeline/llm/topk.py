@@ -1,9 +1,10 @@
 """Exact top-k inner product search by no-random-access aggregation over sorted lists.
 
 Candidates are dealt once into groups of some GROUP rows by a hash, every query goes to every group, and a task holds a
-group in blocks of BLOCK rows and lets the queries stream by. In a block every component has a list of its entries in order
-of value. A query reads all lists from their good ends at once, a chunk of equal depth at a time, and takes nothing but
-what it reads in this order. What has been read of a candidate is summed; what has not is at most the last value
+group in blocks of BLOCK rows and lets the queries stream by, ASKED at a time. In a block every component has a list of its entries in order
+of value. A query reads all lists from their good ends at once, to equal depths (LOOKS), and takes nothing but
+what it reads in this order. As all queries read to the same depths, what they have read is two tables (read from the one end and from the
+other), and the bounds of ASKED queries on a block's candidates are one product of matrices. What has been read of a candidate is summed; what has not is at most the last value
 read of that list and at least the value at its far end, so every candidate has a lower and an upper bound, and one
 that no list has shown yet has the sum of all last values as its upper bound. The bar is the k-th lower bound, or
 the k-th best score of the group's earlier blocks. Reading stops when no candidate outside the k best, seen or not, can
@@ -29,7 +30,9 @@ from wakeline.llm.common import table
 K = 5
 BLOCK = 8192
 GROUP = 1 << 16
-CHUNKS = 32  # parts in which a list is read, with a look at the bounds after each
+ASKED = 512  # queries that read a block's lists together
+LOOKS = (0.75, 0.875)  # shares of the lists after which queries that read together look at the bounds
+CHUNKS = 32  # parts in which a list is read by one query, with a look at the bounds after each
 RESOLVE = 64  # candidates left at which reading on costs more than resolving
 
 
@@ -47,42 +50,92 @@ class Block:
     def __init__(self, rows: np.ndarray, ids: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.rows, self.ids = rows[order], ids[order]
-        real = self.rows.astype(float)
-        self.lists = np.ascontiguousarray(np.argsort(real, axis=0, kind="stable").T)  # component: candidates by rising value
-        self.values = np.take_along_axis(np.ascontiguousarray(real.T), self.lists, axis=1)
-        self.peak = float(np.abs(real).max(initial=0)) + 1
+        self.real = self.rows.astype(float)
+        self.values = np.sort(self.real, axis=0)  # of each component's list, rising
+        self.peak = float(np.abs(self.real).max(initial=0)) + 1
+
+    def bounds(self, depth: int, upper: bool) -> np.ndarray:
+        """Each candidate's components as lists read to `depth` show them to a query, from the far end down (for positive components) and from the near end up: what is not read yet counts as the last value read, or (lower bound) as the far end."""
+        top, bottom = self.values[len(self.values) - depth], self.values[depth - 1]
+        if upper:
+            seen = np.maximum(self.real, top), np.minimum(self.real, bottom)
+        else:
+            seen = np.where(self.real >= top, self.real, self.values[0]), np.where(self.real <= bottom, self.real, self.values[-1])
+        return np.hstack(seen).astype(np.float32)
 
     def search(self, query: np.ndarray, own: int, k: int, bar: float = -np.inf) -> tuple[np.ndarray, np.ndarray, int]:
         """vec_ids and scores of the k best, ties to smaller ids, and how many list entries were read; scores under `bar` may be left out."""
+        looks = [(i + 1) / CHUNKS for i in range(CHUNKS - 1)]
+        _, ids, scores, read = self.search_all(query[None], np.array([own]), k, np.array([bar]), looks)
+        return ids, scores, int(read[0])
+
+    def search_all(self, queries: np.ndarray, own: np.ndarray, k: int, bars: np.ndarray, looks=LOOKS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The k best of each query by falling score: number of the query, vec_id, score; and how many list entries each query read."""
         n, dim = self.rows.shape
-        exact = (float(np.abs(query).max(initial=0)) + 1) * self.peak * dim < 2**52
-        other = self.ids != own
-        alive, depth = np.flatnonzero(other), 0
-        used = np.flatnonzero(query)
-        if exact and n > RESOLVE and len(used):
-            q = query[used].astype(float)
-            up = q > 0  # read from the far end down
-            far = q * np.where(up, self.values[used, 0], self.values[used, -1])  # the least that a list can give
-            known, seen, step = np.zeros(n), np.zeros((len(used), n)), -(-n // CHUNKS)
-            while depth < n and len(alive) > RESOLVE:
-                until = min(n, depth + step)
-                for i, j in enumerate(used.tolist()):
-                    part = slice(n - until, n - depth) if up[i] else slice(depth, until)
-                    at = self.lists[j, part]
-                    known[at] += q[i] * self.values[j, part]
-                    seen[i, at] = 1.0
-                depth = until
-                last = q * np.where(up, self.values[used, n - depth], self.values[used, depth - 1])
-                upper, lower = known + last.sum() - last @ seen, known + far.sum() - far @ seen
-                slack = 1e-9 * (np.abs(last).sum() + np.abs(far).sum()) + 0.5  # more than the rounding of the sums; scores are whole numbers
-                if len(alive) >= k:
-                    held = lower[alive]
-                    bar = max(bar, np.partition(held, len(held) - k)[len(held) - k] - slack)
-                alive = alive[upper[alive] + slack >= bar]
-        score = self.rows[alive].astype(float) @ query.astype(float) if exact else self.rows[alive] @ query
-        score = score.astype(np.int64)
-        best = np.lexsort((self.ids[alive], -score))[:k]
-        return self.ids[alive[best]], score[best], depth * len(used)
+        low, high = np.searchsorted(self.ids, own, "left"), np.searchsorted(self.ids, own, "right")
+        at, scores = [], []
+        exact = (np.abs(queries).max(axis=1, initial=0) + 1.0) * self.peak * dim < 2**52
+        read = np.zeros(len(queries), np.int64)
+        left = np.flatnonzero(exact & (queries != 0).any(axis=1)) if n > RESOLVE else np.empty(0, np.int64)
+        whole = np.setdiff1d(np.arange(len(queries)), left)
+        used, bar = (queries != 0).sum(axis=1), bars.astype(float)
+        signed = np.hstack([np.maximum(queries, 0), np.minimum(queries, 0)]).astype(np.float32)
+        # more than the rounding of the sums in single precision; scores are whole numbers
+        slack = 2.0**-22 * (dim + 2) * np.abs(queries).astype(float) @ np.abs(self.real).max(axis=0, initial=0) + 0.5
+        unset = np.isneginf(bar)
+        for look in looks:
+            depth = max(1, int(np.ceil(n * look)))
+            if not len(left) or depth >= n:
+                break
+            first = left[unset[left] & (n - (high - low)[left] >= k)]
+            if len(first):
+                least = signed[first] @ self.bounds(depth, False).T
+                for i, q in enumerate(first.tolist()):
+                    least[i, low[q] : high[q]] = -np.inf
+                bar[first] = np.maximum(bar[first], np.partition(least, n - k, axis=1)[:, n - k] - slack[first])
+            needed = np.nextafter((bar - slack)[left].astype(np.float32), np.float32(-np.inf))
+            alive = signed[left] @ self.bounds(depth, True).T >= needed[:, None]
+            for i in np.flatnonzero(high[left] > low[left]).tolist():
+                alive[i, low[left[i]] : high[left[i]]] = False
+            read[left] = depth * used[left]
+            done = alive.sum(axis=1) <= RESOLVE
+            q, c = np.nonzero(alive[done])
+            q = left[done][q]
+            at.append((q, c))
+            scores.append(np.einsum("ij,ij->i", self.rows[c], queries[q]))
+            left = left[~done]
+        read[left] = n * used[left]
+        for some in (left[i : i + 128] for i in range(0, len(left), 128)):  # lists that end before few are left
+            self._resolve(some, queries[some].astype(float) @ self.real.T, low, high, k, at, scores)
+        for q in whole.tolist():
+            self._resolve(np.array([q]), (self.rows @ queries[q])[None], low, high, k, at, scores)
+        q, c = (np.concatenate([x[i] for x in at]) if at else np.empty(0, np.int64) for i in (0, 1))
+        return *best(q, self.ids[c], np.concatenate(scores).astype(np.int64) if scores else np.empty(0, np.int64), k), read
+
+    def _resolve(self, q: np.ndarray, every: np.ndarray, low: np.ndarray, high: np.ndarray, k: int, at: list, scores: list) -> None:
+        """Adds the k best by all scores (a row a query), of equals those of the smallest ids, which come first."""
+        allowed = np.ones(every.shape, bool)
+        for i, x in enumerate(q.tolist()):
+            allowed[i, low[x] : high[x]] = False
+        for i, x in enumerate(q.tolist()):
+            c = np.flatnonzero(allowed[i])
+            c = c[np.argsort(-every[i, c], kind="stable")[:k]] if len(c) <= 4 * k else c[self._top(every[i, c], k)]
+            at.append((np.full(len(c), x), c))
+            scores.append(every[i, c].astype(np.int64))
+
+    @staticmethod
+    def _top(scores: np.ndarray, k: int) -> np.ndarray:
+        bar = np.partition(scores, len(scores) - k)[len(scores) - k]
+        over, equal = np.flatnonzero(scores > bar), np.flatnonzero(scores == bar)
+        return np.concatenate([over, equal[: k - len(over)]])
+
+
+def best(q: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best rows of each q, by q and falling score, ties to smaller ids."""
+    order = np.lexsort((ids, -scores, q))
+    q, ids, scores = q[order], ids[order], scores[order]
+    kept = np.arange(len(q)) - np.searchsorted(q, q, "left") < k
+    return q[kept], ids[kept], scores[kept]
 
 
 def stream(batches, k: int):
@@ -104,26 +157,24 @@ def stream(batches, k: int):
             part = b.slice(a, z - a)
             size, ids = np.asarray(part.column("v").value_lengths()), np.asarray(part.column("vec_id"))
             flat, starts = np.asarray(part.column("v").flatten()), np.cumsum(size) - size
-            found = []
             for dim in np.unique(size).tolist():
                 of = np.flatnonzero(size == dim)
-                rows = flat[starts[of, None] + np.arange(dim)]
                 if not kind[a]:
-                    held.setdefault(dim, []).append((ids[of], rows))
+                    held.setdefault(dim, []).append((ids[of], flat[starts[of, None] + np.arange(dim)]))
                     if sum(len(x[0]) for x in held[dim]) >= BLOCK:
                         blocks_of(dim)
                     continue
-                for own, query in zip(ids[of].tolist(), rows):
-                    best_ids, best = np.empty(0, np.int64), np.empty(0, np.int64)
+                for some in (of[i : i + ASKED] for i in range(0, len(of), ASKED)):
+                    queries, own = flat[starts[some, None] + np.arange(dim)], ids[some]
+                    q, found, scores = (np.empty(0, np.int64) for _ in range(3))
                     for block in blocks_of(dim):
-                        new_ids, new, _ = block.search(query, own, k, float(best[-1]) if len(best) == k else -np.inf)
-                        best_ids, best = np.concatenate([best_ids, new_ids]), np.concatenate([best, new])
-                        top = np.lexsort((best_ids, -best))[:k]
-                        best_ids, best = best_ids[top], best[top]
-                    found.append((own, best_ids, best))
-            if found:
-                n = [len(x[1]) for x in found]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat([x[0] for x in found], n)), pa.array(np.concatenate([x[1] for x in found])), pa.array(np.concatenate([x[2] for x in found]))], ["query_id", "vec_id", "score"])
+                        n = np.bincount(q, minlength=len(some))
+                        bars = np.full(len(some), -np.inf)
+                        bars[n == k] = scores[np.cumsum(n)[n == k] - 1]
+                        new_q, new_ids, new, _ = block.search_all(queries, own, k, bars)
+                        q, found, scores = best(np.concatenate([q, new_q]), np.concatenate([found, new_ids]), np.concatenate([scores, new]), k)
+                    if len(q):
+                        yield pa.RecordBatch.from_arrays([pa.array(own[q]), pa.array(found), pa.array(scores)], ["query_id", "vec_id", "score"])
 
 
 def top_k(vectors: DataFrame, every: int = 50, k: int = K) -> DataFrame:
