@@ -5,7 +5,7 @@ import random
 import pyspark.sql.functions as F
 import pytest
 
-from wakeline.operators import entities, pairs
+from wakeline.operators import entities, networks, pairs, signals
 
 
 @pytest.fixture
@@ -35,3 +35,33 @@ def test_successions_of_one_bucket_are_dealt_over_tasks(spark, fixed_plans):
     want = sorted((a, b, t0[b] - t1[a]) for a in t1 for b in t0 if a != b and -1_010 < t0[b] - t1[a] <= -970)
     assert sorted(map(tuple, found.collect())) == want
     assert found.select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_fleets_in_one_place_without_a_window_of_all(spark, fixed_plans):
+    rng = random.Random(8)
+    gaps = [(v, rng.choice([None, 1, 2]), rng.randrange(0, 60) * 86_400, 1.0 + v % 2 * 20, 1.0, "A") for v in range(40) for _ in range(rng.randrange(1, 4))]
+    fleets = [(v, v % 12) for v in range(40)]
+    found = networks.fleet_patterns(spark.createDataFrame(gaps, "vessel_id long, corridor_id int, gap_start long, lat double, lon double, flag string"), spark.createDataFrame(fleets, "vessel_id long, fleet long"), days=4, hours=72)
+    near = lambda a, same, s: len({b[0] for b in gaps if b[0] % 12 == a[0] % 12 and same(b) == same(a) and 0 <= a[2] - b[2] <= s}) >= 3
+    want = {(a[0] % 12, "same_corridor") for a in gaps if near(a, lambda g: g[1], 4 * 86_400)} | {(a[0] % 12, "same_place") for a in gaps if near(a, lambda g: int(g[3] / 5), 72 * 3_600)}
+    assert {tuple(r) for r in found.collect()} == want and 0 < len(want) < 24
+    assert "Window" not in plan(found)
+
+
+@pytest.mark.parametrize("hours", [1, 3])
+def test_related_alerts_without_all_pairs_of_a_corridor(spark, hours):
+    rng = random.Random(hours)
+    rows = [(i, rng.randrange(60), rng.choice([None, 1, 2]), rng.randrange(0, 60_000) + i % 3 * 700_000) for i in rng.sample(range(5_000), 900)]
+    rows += [(6_000 + i, 100 + i, 1, 30_000) for i in range(60)] + [(5_500 - i, 200 + i, 2, 30_000 + i) for i in range(80)]
+    got = signals.related(spark.createDataFrame(rows, "gap_id long, vessel_id long, corridor_id int, gap_start long"), hours=hours, most=8)
+    want = []
+    for a in rows:
+        pairs_of = []
+        for b in rows:
+            ship = a[1] == b[1] and abs(a[3] - b[3]) <= 7 * 86_400
+            lane = a[2] is not None and a[2] == b[2] and abs(a[3] - b[3]) <= hours * 3_600
+            if a[0] != b[0] and (ship or lane):
+                pairs_of.append((-(100 if ship and lane else 80 if ship else 60), b[0]))
+        want += [(a[0], o, -w) for w, o in sorted(pairs_of)[:8]]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert signals.first_of_slots(spark.createDataFrame(rows, "gap_id long, vessel_id long, corridor_id int, gap_start long").filter("corridor_id = 1 and gap_id >= 6000"), hours * 3_600, hours * 600, 16).agg(F.max(F.size("first"))).first()[0] == 16
