@@ -65,3 +65,16 @@ def test_related_alerts_without_all_pairs_of_a_corridor(spark, hours):
         want += [(a[0], o, -w) for w, o in sorted(pairs_of)[:8]]
     assert sorted(map(tuple, got.collect())) == sorted(want)
     assert signals.first_of_slots(spark.createDataFrame(rows, "gap_id long, vessel_id long, corridor_id int, gap_start long").filter("corridor_id = 1 and gap_id >= 6000"), hours * 3_600, hours * 600, 16).agg(F.max(F.size("first"))).first()[0] == 16
+
+
+@pytest.mark.parametrize("most", [2, 300])
+def test_pairs_of_a_block_are_dealt_and_names_compared_once(spark, fixed_plans, most):
+    rng = random.Random(most)
+    rows = [(i, i % 2, rng.choice(["red ring", "red bolt", "blue ring", "ring red"])) for i in range(60)]
+    p = spark.createDataFrame(rows, "id long, block long, name string")
+    both = entities.dealt_pairs(p, ["block"], "id", "name")
+    got = entities.word_similarity(both, p, "name", most)
+    share = lambda a, b: len(set(a.split()) & set(b.split())) / len(set(a.split()) | set(b.split()))
+    want = sorted((a, b, share(m, n)) for a, k, m in rows for b, q, n in rows if k == q and a < b)
+    assert sorted((r.one, r.two, r.share) for r in got.collect()) == want
+    assert both.select(F.spark_partition_id()).distinct().count() > 2
