@@ -2,10 +2,13 @@
 
 import random
 
+import duckdb
 import pyspark.sql.functions as F
 import pytest
 
 from wakeline.operators import entities, networks, pairs, signals
+from wakeline.plans import network_queries
+from wakeline.plans.catalog import ORACLES
 
 
 @pytest.fixture
@@ -78,3 +81,14 @@ def test_pairs_of_a_block_are_dealt_and_names_compared_once(spark, fixed_plans,
     want = sorted((a, b, share(m, n)) for a, k, m in rows for b, q, n in rows if k == q and a < b)
     assert sorted((r.one, r.two, r.share) for r in got.collect()) == want
     assert both.select(F.spark_partition_id()).distinct().count() > 2
+
+
+def test_points_on_edges_of_polygons_are_told_as_by_the_sql(spark):
+    """Every hundredth of a degree, many of them on edges."""
+    grid = spark.range(401 * 401).selectExpr("id as gap_id", "(id % 401)::double / 100 as lat", "floor(id / 401)::double / 100 as lon", "(id * 7 % 401)::double / 100 as lat2", "(id * 13 % 401)::double / 100 as lon2")
+    got = networks.in_polygons(grid, network_queries.shapes(spark), "gap_id").toPandas()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE gaps AS SELECT i AS gap_id, (i % 401)::DOUBLE / 100 AS lat, (i // 401)::DOUBLE / 100 AS lon, (i * 7 % 401)::DOUBLE / 100 AS lat2, (i * 13 % 401)::DOUBLE / 100 AS lon2 FROM range(401 * 401) r(i)")
+    body = ORACLES["j8_gap_in_polygon"]
+    want = con.execute(body[body.rindex("SELECT gap_id, arg_min") :]).fetchall()
+    assert sorted(zip(got.gap_id, got.zone_id)) == sorted(want)

@@ -16,7 +16,12 @@ def ring(wkt: Column) -> Column:
 
 
 def _edges(r: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.size(r) - 1), lambda i: F.struct(F.get(r, i - 1).alias("a"), F.get(r, i).alias("b")))
+    return F.transform(F.sequence(F.lit(1), F.size(r) - 1), lambda i: F.struct(F.get(r, i - 1).alias("a"), F.get(r, i).alias("b"), _way(F.get(r, i - 1), F.get(r, i)).alias("way")))
+
+
+def _way(a, b) -> Column:
+    """From corner to corner, as the difference of the numbers written (nine decimals): that of doubles is off by a bit, and so would be what lies on an edge."""
+    return F.struct(F.round(b["lon"] - a["lon"], 9).alias("lon"), F.round(b["lat"] - a["lat"], 9).alias("lat"))
 
 
 def contains(r: Column, lat: Column, lon: Column) -> Column:
@@ -24,20 +29,21 @@ def contains(r: Column, lat: Column, lon: Column) -> Column:
 
     def crosses(e):
         a, b = e["a"], e["b"]
-        at = a["lon"] + (lat - a["lat"]) / F.nullif(b["lat"] - a["lat"], F.lit(0.0)) * (b["lon"] - a["lon"])
+        at = a["lon"] + (lat - a["lat"]) / F.nullif(e["way"]["lat"], F.lit(0.0)) * e["way"]["lon"]
         return ((a["lat"] > lat) != (b["lat"] > lat)) & F.coalesce(lon < at, F.lit(False))
 
     return F.size(F.filter(_edges(r), crosses)) % 2 == 1
 
 
-def _side(a, b, c) -> Column:
-    return F.signum((b["lon"] - a["lon"]) * (c["lat"] - a["lat"]) - (b["lat"] - a["lat"]) * (c["lon"] - a["lon"]))
+def _side(a, way, c) -> Column:
+    return F.signum(way["lon"] * (c["lat"] - a["lat"]) - way["lat"] * (c["lon"] - a["lon"]))
 
 
 def meets(r: Column, lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Whether a straight segment meets a ring's inside or edge."""
     p, q = F.struct(lon1.alias("lon"), lat1.alias("lat")), F.struct(lon2.alias("lon"), lat2.alias("lat"))
-    crossing = F.exists(_edges(r), lambda e: (_side(e["a"], e["b"], p) * _side(e["a"], e["b"], q) <= 0) & (_side(p, q, e["a"]) * _side(p, q, e["b"]) <= 0) & _boxes(e, p, q))
+    on = F.struct((lon2 - lon1).alias("lon"), (lat2 - lat1).alias("lat"))
+    crossing = F.exists(_edges(r), lambda e: (_side(e["a"], e["way"], p) * _side(e["a"], e["way"], q) <= 0) & (_side(p, on, e["a"]) * _side(p, on, e["b"]) <= 0) & _boxes(e, p, q))
     return contains(r, lat1, lon1) | contains(r, lat2, lon2) | crossing
 
 
