@@ -1,12 +1,13 @@
 """What keeps memory, shuffles and time in bounds as tables grow, each against plain loops."""
 
+import math
 import random
 
 import duckdb
 import pyspark.sql.functions as F
 import pytest
 
-from wakeline.operators import entities, networks, pairs, signals
+from wakeline.operators import entities, networks, pairs, satellite, signals
 from wakeline.plans import network_queries
 from wakeline.plans.catalog import ORACLES
 
@@ -18,6 +19,12 @@ def fixed_plans(spark):
     spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
+def miles(p, q):
+    (a, b), (c, d) = (map(math.radians, x) for x in (p, q))
+    x = math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2
+    return 2 * 3440.065 * math.atan2(math.sqrt(x), math.sqrt(1 - x))
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
@@ -92,3 +99,24 @@ def test_points_on_edges_of_polygons_are_told_as_by_the_sql(spark):
     body = ORACLES["j8_gap_in_polygon"]
     want = con.execute(body[body.rindex("SELECT gap_id, arg_min") :]).fetchall()
     assert sorted(zip(got.gap_id, got.zone_id)) == sorted(want)
+
+
+def test_pairs_are_not_shuffled_again(spark, fixed_plans):
+    """Circles are counted where they met, lights need no distinct; each as by plain loops."""
+    rng = random.Random(6)
+    at = lambda: (rng.randrange(0, 20_000), rng.uniform(0, 1), rng.uniform(0, 1))
+    near = lambda p, q, nm, s: abs(p[0] - q[0]) <= s and miles(p[1:], q[1:]) <= nm
+    circles = [(i, i % 9, *at()) for i in range(120)]
+    met = satellite.coherent_circles(spark.createDataFrame(circles, "point_id long, vessel_id long, t long, lat double, lon double"), 12.0, 3_600)
+    want = [(a[0], len({b[1] for b in circles if a[1] != b[1] and near(a[2:], b[2:], 12.0, 3_600)})) for a in circles]
+    assert sorted(map(tuple, met.collect())) == sorted(x for x in want if x[1] >= 2)
+    assert plan(met).count("Exchange hashpartitioning") == 2  # the two sides of the join
+    gaps = [(i, *a, *b) for i in range(80) for a, b in [(at(), at())]]
+    lights = [(i, *at(), 1) for i in range(200)]
+    flares = spark.createDataFrame([(50.0, 50.0)], "lat double, lon double")
+    g = spark.createDataFrame(gaps, "gap_id long, gap_start long, lat double, lon double, gap_end long, lat2 double, lon2 double")
+    found = satellite.lights_of_gaps(g, spark.createDataFrame(lights, "light_id long, t long, lat double, lon double, quality int"), flares, 20.0, 2)
+    want = {(a[0], b[0]) for a in gaps for b in lights if near(a[1:4], b[1:4], 20.0, 7_200) or near(a[4:], b[1:4], 20.0, 7_200)}
+    both = [(a[0], b[0]) for a in gaps for b in lights if near(a[1:4], b[1:4], 20.0, 7_200) and near(a[4:], b[1:4], 20.0, 7_200)]
+    assert sorted(map(tuple, found.collect())) == sorted(want) and both
+    assert "HashAggregate(keys=[gap_id" not in plan(found)

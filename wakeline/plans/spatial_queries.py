@@ -88,10 +88,9 @@ def j1(spark, d):
   WHERE a.nav_status = 15 AND {distance('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 20 GROUP BY 1""", "pos"))
 def j6(spark, d):
     p = positions(spark, d)
-    a = p.filter("nav_status = 15").select("point_id", "vessel_id", "t", "lat", "lon").withColumn("la", F.explode(F.sequence(F.floor(F.col("lat") - 0.34), F.floor(F.col("lat") + 0.34))))
-    b = p.select(F.col("vessel_id").alias("other"), F.col("t").alias("t2"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), F.floor("lat").alias("la"))
-    near = sequence.near_times(a, b, "t", "t2", 10_800, 10_800, key="la").filter("other <> vessel_id")
-    return near.filter(geo.haversine_nm("lat", "lon", "lat2", "lon2") <= 20).groupBy("point_id").agg(F.count("*").alias("near"))
+    side = lambda df, k, *more: df.select(*more, F.col("vessel_id").alias(f"vessel_{k}"), *(F.col(c).alias(f"{c}_{k}") for c in ("t", "lat", "lon")))
+    near = pairs.near_in_space_and_time(side(p, 1), side(p.filter("nav_status = 15"), 2, "point_id"), 20.0, 10_800).filter("vessel_1 <> vessel_2")
+    return near.groupBy("point_id").agg(F.count("*").alias("near"))
 
 
 @query("m9_condition_sessions", sql("""SELECT vessel_id, min(t) AS session_start, max(t) AS session_end, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY vessel_id ORDER BY t, point_id ROWS UNBOUNDED PRECEDING) AS s FROM
