@@ -7,7 +7,7 @@ import duckdb
 import pyspark.sql.functions as F
 import pytest
 
-from wakeline.operators import entities, networks, pairs, satellite, signals
+from wakeline.operators import clusters, entities, fitted, networks, pairs, satellite, signals
 from wakeline.plans import network_queries
 from wakeline.plans.catalog import ORACLES
 
@@ -29,6 +29,20 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.fixture
+def written(monkeypatch):
+    """How many rows each table has that clusters writes on its way."""
+    sizes, cut = [], clusters._cut
+
+    def counted(df):
+        out = cut(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(clusters, "_cut", counted)
+    return sizes
+
+
 def test_exploded_rows_are_not_sent_through_the_driver(spark, fixed_plans):
     p = spark.range(3).selectExpr("id as vessel_id", "id as point_id", "id as t", "0.0d as lat", "0.0d as lon", "1.0d as sog", "2.0d as cog")  # of a known size
     side = lambda k: p.select(F.col("vessel_id").alias(f"v_{k}"), *(F.col(c).alias(f"{c}_{k}") for c in ("t", "lat", "lon")))
@@ -134,3 +148,21 @@ def test_crowded_hours_spare_pairs_of_gaps(spark):
     found = signals.selective_darkness(z)
     assert sorted(r.gap_id for r in found.collect()) == want and 0 < len(want) < 300
     assert "/graph/" in plan(found)  # only the gaps left over are compared
+
+
+@pytest.mark.parametrize("copies", [1, 20])
+def test_points_in_one_place_are_paired_once(spark, written, copies):
+    """Copies of a point are cores by their number; the pairs written do not grow with them."""
+    rng = random.Random(9)
+    places = [(rng.uniform(0, 1), rng.uniform(0, 1)) for _ in range(60)]
+    rows = {i + 60 * k: (*p, 0.0, 1.0) for i, p in enumerate(places) for k in range(copies)}
+    near = lambda a, b: miles(a[:2], b[:2]) <= 4.0
+    frame = spark.createDataFrame([(i, *r) for i, r in rows.items()], "id long, lat double, lon double, bearing double, straightness double")
+    weight = {i: copies * sum(near(p, q) for q in places) for i, p in enumerate(places)}
+    for got in (fitted.dbscan(frame, 4.0, 3), clusters.segment_clusters(frame, 4.0)):
+        label = {i: i for i, n in weight.items() if n >= 3}
+        for _ in places:
+            label = {i: min(label[j] for j in label if near(places[i], places[j])) for i in label}
+        want = {i: label.get(i, min((label[j] for j in label if near(places[i], places[j])), default=None)) for i in weight}
+        assert {r.id: r.cluster for r in got.collect()} == {i: want[i % 60] for i in rows}
+    assert max(written) <= 600

@@ -5,11 +5,9 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyspark.sql.functions as F
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 
-from wakeline.functions.geo import haversine_nm
-from wakeline.operators.graph import components
-from wakeline.operators.pairs import around, gridded
+from wakeline.operators.clusters import place_clusters
 
 FEATURES = ("n", "mean_sog", "sd_sog", "max_sog", "sd_lat", "sd_lon", "statuses")
 
@@ -83,16 +81,6 @@ def isolation_scores(rows: DataFrame, trees: int = 100, sample: int = 256, seed:
 def dbscan(points: DataFrame, nm: float, least: int) -> DataFrame:
     """id, cluster: the smallest core id of the cluster, or null for noise; a border point joins its smallest cluster.
 
-    Neighbours come from an equi-join on cells a radius wide, not from all pairs.
+    Points in one place are compared once, full cells not at all.
     """
-    a = gridded(points.select(F.col("id").alias("a"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1")), nm, "lat1", "lon1")
-    b = around(points.select(F.col("id").alias("b"), "lat", "lon"), nm)
-    near = a.join(b, ["_row", "_cell"]).filter(haversine_nm("lat1", "lon1", "lat", "lon") <= nm).select("a", "b")
-    counted = near.withColumn("n", F.count("*").over(Window.partitionBy("a")))
-    core = counted.filter(F.col("n") >= least).select("a").distinct()
-    links = near.join(core, "a").join(core.withColumnRenamed("a", "b"), "b").select("a", "b")
-    label = components(links.filter("a <> b")).select(F.col("node").alias("a"), F.col("component").alias("label"))
-    label = core.join(label, "a", "left").select(F.col("a").alias("core"), F.coalesce("label", "a").alias("label"))
-    best = near.select(F.col("a").alias("id"), F.col("b").alias("core")).join(label, "core").groupBy("id").agg(F.min("label").alias("border"))
-    named = points.select("id").join(label.withColumnRenamed("core", "id"), "id", "left").join(best, "id", "left")
-    return named.select("id", F.coalesce("label", "border").alias("cluster"))
+    return place_clusters(points, nm, least)
