@@ -7,7 +7,7 @@ import duckdb
 import pyspark.sql.functions as F
 import pytest
 
-from wakeline.operators import clusters, entities, fitted, networks, pairs, satellite, signals
+from wakeline.operators import clusters, encounters, entities, fitted, networks, pairs, satellite, signals, spread
 from wakeline.plans import network_queries
 from wakeline.plans.catalog import ORACLES
 
@@ -31,7 +31,7 @@ def plan(df):
 
 @pytest.fixture
 def written(monkeypatch):
-    """How many rows each table has that clusters writes on its way."""
+    """How many rows each table has that clusters and spread write on their way."""
     sizes, cut = [], clusters._cut
 
     def counted(df):
@@ -40,6 +40,7 @@ def written(monkeypatch):
         return out
 
     monkeypatch.setattr(clusters, "_cut", counted)
+    monkeypatch.setattr(spread, "_cut", counted)
     return sizes
 
 
@@ -166,3 +167,52 @@ def test_points_in_one_place_are_paired_once(spark, written, copies):
         want = {i: label.get(i, min((label[j] for j in label if near(places[i], places[j])), default=None)) for i in weight}
         assert {r.id: r.cluster for r in got.collect()} == {i: want[i % 60] for i in rows}
     assert max(written) <= 600
+
+
+def test_greedy_clusters_pair_points_of_one_place_once(spark, written):
+    rng = random.Random(12)
+    spots = [(rng.randrange(0, 9_000), rng.uniform(0, 1), rng.uniform(0, 1)) for _ in range(40)]
+    points = {i: s for i, s in enumerate(rng.sample([s for k, s in enumerate(spots) for _ in range(1 + 15 * (k % 4))], 940))}
+    left, want = {i: {j for j in points if j != i and abs(points[i][0] - points[j][0]) <= 3_600 and miles(points[i][1:], points[j][1:]) <= 9.0} for i in points}, {}
+    while left:
+        n, i = max((len(v), -k) for k, v in left.items())
+        if n < 2:
+            break
+        gone = left[-i] | {-i}
+        want |= dict.fromkeys(gone, -i)
+        left = {k: v - gone for k, v in left.items() if k not in gone}
+    got = spread.greedy_groups(spark.createDataFrame([(i, *p) for i, p in points.items()], "id long, t long, lat double, lon double"), 9.0, 3_600)
+    assert {r.id: r.cluster for r in got.collect()} == want and len(set(want.values())) > 3
+    assert max(n for n in written) <= 940  # not the square of what lies in one place
+
+
+def test_dark_pairs_are_told_where_they_meet(spark, fixed_plans):
+    rng = random.Random(4)
+    ends = lambda: (rng.uniform(0, 3), rng.uniform(0, 3), rng.uniform(0, 3), rng.uniform(0, 3))
+    kinds = [(s, s + rng.randrange(10_000, 300_000), *ends()) for s in (rng.randrange(0, 200_000) for _ in range(40))]
+    gaps = [(i, i * 7 % 23, *kinds[i % 40]) for i in range(120)]
+    zones = [(1, 0.0, 1.5, 0.0, 3.0), (2, 1.0, 2.0, 1.0, 2.5)]
+    frame = spark.createDataFrame(gaps, "gap_id long, vessel_id long, gap_start long, gap_end long, lat double, lon double, lat2 double, lon2 double")
+    found = encounters.dark_pairs(frame, spark.createDataFrame(zones, "corridor_id int, min_lat double, max_lat double, min_lon double, max_lon double"), spark.createDataFrame([(v,) for v in range(0, 23, 2)], "vessel_id long"))
+    of = lambda g: {z[0] for z in zones for la, lo in (g[4:6], g[6:8]) if z[1] <= la <= z[2] and z[3] <= lo <= z[4]}
+    want = {}
+    for a in gaps:
+        for b in gaps:
+            both, nm = of(a) & of(b), min(miles(p, q) for p in (a[4:6], a[6:8]) for q in (b[4:6], b[6:8]))
+            safe = (a[1] % 2) + (b[1] % 2)
+            if a[1] < b[1] and both and min(a[3], b[3]) - max(a[2], b[2]) >= 14_400 and nm <= 50 and (safe == 0 or (safe == 1 and nm < 15)):
+                want[a[0], b[0]] = (min(both), "high" if nm < 5 else "medium" if nm < 15 else "low")
+    rows = found.collect()
+    assert {(r.gap_1, r.gap_2): (r.corridor_id, r.confidence) for r in rows} == want and len(rows) == len(want) > 50
+    assert "Exchange" not in plan(found).split("SortMergeJoin")[0]
+
+
+def test_detections_are_counted_where_they_meet(spark, fixed_plans):
+    rng = random.Random(2)
+    at = lambda: (rng.randrange(0, 60_000), rng.uniform(0, 1), rng.uniform(0, 1))
+    spots = [at() for _ in range(30)]
+    gaps, seen = [(i, *spots[i % 30]) for i in range(60)], [(i, *(spots[i % 7] if i % 3 else at())) for i in range(90)]
+    found = satellite.uncovered(spark.createDataFrame(seen, "detection_id long, t long, lat double, lon double"), spark.createDataFrame(gaps, "gap_id long, gap_start long, lat double, lon double"), 12.0, 2)
+    n = {g[0]: sum(abs(g[1] - d[1]) <= 7_200 and miles(g[2:], d[2:]) <= 12.0 for d in seen) for g in gaps}
+    assert {r.gap_id: r.detections for r in found.collect()} == {g: k for g, k in n.items() if k}
+    assert "keys=[gap_id" not in plan(found)
