@@ -216,3 +216,15 @@ def test_detections_are_counted_where_they_meet(spark, fixed_plans):
     n = {g[0]: sum(abs(g[1] - d[1]) <= 7_200 and miles(g[2:], d[2:]) <= 12.0 for d in seen) for g in gaps}
     assert {r.gap_id: r.detections for r in found.collect()} == {g: k for g, k in n.items() if k}
     assert "keys=[gap_id" not in plan(found)
+
+
+def test_networks_take_no_more_members_than_are_shown(spark, written):
+    rng = random.Random(3)
+    rows = [(i, 1_000 + i, None if i % 3 == 0 else rng.randrange(0, 400), rng.choice([None, 1, 1, 2]), i % 37 == 0) for i in range(400)]
+    owners = spark.createDataFrame(rows, "owner_id long, vessel_id long, parent_id long, cluster_id long, sanctioned boolean")
+    starts = owners.filter("owner_id % 20 = 7").select("vessel_id")
+    got = sorted(spread.network_nodes(owners, starts, limit=10).collect(), key=str)
+    assert max(written) <= 2_500
+    whole = spread.network_nodes(owners, starts, limit=100_000).filter("place <= 10")
+    assert got == sorted(whole.collect(), key=str) and {r.layer for r in got} == {None, 0, 1, 2}
+    assert max(written) > 4_000
