@@ -18,6 +18,7 @@ from wakeline.llm.packing import pack
 from wakeline.llm.pii import find, redacted
 from wakeline.llm.toxicity import clean, train
 
+PACKING_BYTES = 1 << 21  # of text at once: the stages before leave an executor little memory
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 ORACLE_SQL = None
 
@@ -48,7 +49,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the documents into sequences of at most 1024 tokens."""
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), group_bytes=PACKING_BYTES)
 
 
 STAGES = [

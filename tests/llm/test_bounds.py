@@ -4,7 +4,10 @@ import random
 import time
 
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 
+import corpus_pipeline
 from wakeline.llm import near_copies, topk, toxicity
 
 
@@ -56,3 +59,15 @@ def test_lists_read_by_many_queries_at_once():
         want = sorted((-int(s), int(j)) for s, j in zip(rows @ queries[i], block.ids) if j != own[i])[:5]
         assert list(zip((-scores[q == i]).tolist(), ids[q == i].tolist())) == want
     assert np.median(read) < 0.9 * rows.size
+
+
+def test_packing_of_the_pipeline_encodes_small_groups(monkeypatch):
+    """Ids are those of large groups; no group holds more than the bytes asked for and one text."""
+    from wakeline.llm import encode
+
+    enc, seen = encode.encoder(public_tokenizers.path("byte_bpe_50k.json")), []
+    own = enc._encode
+    monkeypatch.setattr(enc, "_encode", lambda texts: seen.append(sum(len(x) for x in texts.to_pylist())) or own(texts))
+    texts = pa.array([f"a small text, number {i}, of words" * (i % 7) for i in range(3_000)])
+    assert enc.encode(texts, 1 << 16).equals(enc.encode(texts)) and max(seen[:-1]) < 1 << 17 < seen[-1]
+    assert corpus_pipeline.PACKING_BYTES < encode.GROUP_BYTES

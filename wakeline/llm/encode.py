@@ -107,15 +107,15 @@ class Encoder:
         ids, ends = gather(np.concatenate([ids, heads]), np.concatenate([n, heads_n]), codes)
         return ids, ends[offsets]
 
-    def encode(self, texts: pa.Array) -> pa.Array:
-        """Large binary ids of each text (null: none)."""
+    def encode(self, texts: pa.Array, group_bytes: int = GROUP_BYTES) -> pa.Array:
+        """Large binary ids of each text (null: none); `group_bytes` of text at once, fewer take less memory and more time."""
         texts = pc.fill_null(texts, "")
         whole = pc.match_substring_regex(texts, UNSAFE)
         for s in self.specials:
             whole = pc.or_(whole, pc.match_substring(texts, s))
         fast = texts.filter(pc.invert(whole))
         ends = np.cumsum(np.asarray(pc.binary_length(fast), np.int64))
-        cuts = np.unique(np.searchsorted(ends, np.arange(GROUP_BYTES, ends[-1] if len(ends) else 0, GROUP_BYTES)) + 1).tolist()
+        cuts = np.unique(np.searchsorted(ends, np.arange(group_bytes, ends[-1] if len(ends) else 0, group_bytes)) + 1).tolist()
         got = []
         for a, b in zip([0, *cuts], [*cuts, len(fast)]):
             if b > a:

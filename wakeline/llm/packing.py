@@ -20,7 +20,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from wakeline.llm.common import materialise, table
-from wakeline.llm.encode import encoder, id_arrays
+from wakeline.llm.encode import GROUP_BYTES, encoder, id_arrays
 from wakeline.llm.huffman import crc
 
 MAX_TOKENS = 1024
@@ -32,7 +32,7 @@ PIECE = "row long, doc_id long, start long, length int, doc_tokens long, prompt
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long, ids binary"
 
 
-def pieces(docs: DataFrame, tokenizer: str, max_tokens: int, max_loss: int, end_id: int, prompt: str | None) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, max_tokens: int, max_loss: int, end_id: int, prompt: str | None, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """Pieces of every example; `row` numbers them, full_id those that make a sequence by themselves."""
 
     def run(batches):
@@ -43,7 +43,7 @@ def pieces(docs: DataFrame, tokenizer: str, max_tokens: int, max_loss: int, end_
         for b in (b.slice(i, BATCH) for b in batches for i in range(0, b.num_rows, BATCH)):
             prompts = b.column("prompt").to_pylist()
             rows = {k: [] for k in ("row", "doc_id", "start", "length", "doc_tokens", "prompt", "ids", "ids_crc32", "full_id")}
-            for doc, raw, given in zip(b.column("doc_id").to_pylist(), enc.encode(b.column("text")).to_pylist(), prompts):
+            for doc, raw, given in zip(b.column("doc_id").to_pylist(), enc.encode(b.column("text"), group_bytes).to_pylist(), prompts):
                 ids = np.append(np.frombuffer(raw, "<u2"), np.uint16(end_id))
                 for at in range(0, len(ids), max_tokens):
                     part = ids[at : at + max_tokens]
@@ -114,12 +114,12 @@ def place(length: np.ndarray, loss_from: np.ndarray, limits: tuple[int, int, int
     return out
 
 
-def pack(docs: DataFrame, tokenizer: str, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss: int | None = None, end_id: int = 0, prompt: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss: int | None = None, end_id: int = 0, prompt: str | None = None, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """Every id of every example in exactly one piece of exactly one sequence; `prompt` names a column with each example's loss-free leading tokens."""
     limits = (max_tokens, max_segments, max_loss or max_tokens)
     if min(limits) < 1:
         raise ValueError("limits must be positive")
-    cut = materialise(pieces(docs, tokenizer, max_tokens, limits[2], end_id, prompt), "pieces")
+    cut = materialise(pieces(docs, tokenizer, max_tokens, limits[2], end_id, prompt, group_bytes), "pieces")
     groups = max(1, -(-cut.filter("full_id is null").count() // GROUP_PIECES))
 
     def run(key, rows: pd.DataFrame) -> pd.DataFrame:
