@@ -7,9 +7,11 @@ import duckdb
 import pyspark.sql.functions as F
 import pytest
 
-from wakeline.operators import clusters, encounters, entities, fitted, networks, pairs, satellite, signals, spread
+from wakeline.operators import clusters, encounters, entities, fitted, networks, pairs, satellite, sequence, signals, spread
 from wakeline.plans import network_queries
 from wakeline.plans.catalog import ORACLES
+from wakeline.plans import score_queries  # isort: skip; after all others
+from wakeline.sources import adapter
 
 
 @pytest.fixture
@@ -228,3 +230,26 @@ def test_networks_take_no_more_members_than_are_shown(spark, written):
     whole = spread.network_nodes(owners, starts, limit=100_000).filter("place <= 10")
     assert got == sorted(whole.collect(), key=str) and {r.layer for r in got} == {None, 0, 1, 2}
     assert max(written) > 4_000
+
+
+def test_gaps_are_not_sent_through_the_driver(spark, fixed_plans):
+    """Only the zones are; neither vessels, nor what zone a gap lies in, nor reports by buckets of time."""
+    p = spark.range(9).selectExpr("id % 3 as vessel_id", "id as point_id", "id * 9000 as t", "0.5d as lat", "0.5d as lon", "1.0d as sog", "1 as k")
+    v = spark.range(3).selectExpr("id as vessel_id", "1e5d as dwt", "'F' as flag", "1 as flag_id", "'N' as name", "'K' as kind")
+    zoned = pairs.in_zone(sequence.gaps(p, v), adapter.corridors(spark), "gap_id")
+    assert plan(zoned).count("BroadcastExchange") <= 1 and zoned.filter("corridor_id = 1").count() == 6
+    near = sequence.near_times(p.select("vessel_id", F.col("t").alias("start")), p, "start", "t", 0, 60)
+    assert "Broadcast" not in plan(near) and near.count() == 9
+
+
+def test_signals_of_each_query_are_written_by_themselves(spark, monkeypatch):
+    """Each query is asked once, though two keys of it count, and no join of its own is left in the plan of the whole."""
+    asked = []
+    z = spark.createDataFrame([(1, 7, 300, False, 0.1, None), (2, 8, 300, False, 0.1, None)], "gap_id long, vessel_id long, duration_minutes long, impossible boolean, ratio double, corridor_kind string")
+    rows = lambda columns, values: lambda s, d: (asked.append(columns), s.createDataFrame(values, columns))[1]
+    monkeypatch.setattr(score_queries, "LONG", ("long",))
+    monkeypatch.setattr(score_queries, "MORE", (("dark", "gap_1", "'dark_pair'", "score"), ("dark", "gap_2", "'dark_pair'", "score"), ("ship", "vessel_id", "'ship'", "5")))
+    monkeypatch.setattr(score_queries, "QUERIES", {"long": rows("gap_id long, signal string, points int", [(1, "x", 3), (1, "x", 4)]), "dark": rows("gap_1 long, gap_2 long, score int", [(1, 2, 30), (2, 3, 20)]), "ship": rows("vessel_id long", [(7,), (9,)])})
+    got = score_queries.every_signal(spark, "", z)
+    assert sorted(map(tuple, got.collect())) == [(1, "dark_pair", 30), (1, "duration", 12), (1, "ship", 5), (1, "x", 4), (2, "dark_pair", 30), (2, "duration", 12), (3, "dark_pair", 20)]
+    assert len(asked) == 3 and "Join" not in plan(got)
