@@ -8,7 +8,7 @@ import public_tokenizers
 import pyarrow as pa
 
 import corpus_pipeline
-from wakeline.llm import near_copies, topk, toxicity
+from wakeline.llm import common, components, near_copies, topk, toxicity
 
 
 def test_the_fit_takes_one_row_of_a_labelled_id(spark, monkeypatch):
@@ -71,3 +71,16 @@ def test_packing_of_the_pipeline_encodes_small_groups(monkeypatch):
     texts = pa.array([f"a small text, number {i}, of words" * (i % 7) for i in range(3_000)])
     assert enc.encode(texts, 1 << 16).equals(enc.encode(texts)) and max(seen[:-1]) < 1 << 17 < seen[-1]
     assert corpus_pipeline.PACKING_BYTES < encode.GROUP_BYTES
+
+
+def test_tables_on_the_way_are_removed(spark, tmp_path, monkeypatch):
+    """Near duplicates leave the rows and the numbers of those kept, components the roots and the edges that are left (none)."""
+    monkeypatch.setattr(common, "shared_dir", lambda spark: str(tmp_path))
+    kinds = lambda: sorted(p.name.rsplit("-", 1)[0] for p in (tmp_path / "wakeline").iterdir())
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(50, 60)], "a long, b long")
+    assert {(r.node, r.root) for r in components.components(edges).collect()} == {(i, 0) for i in range(41)} | {(50, 50), (60, 50)}
+    assert kinds() == ["edges", "roots"]
+    texts = [" ".join(f"w{k}-{i}" for i in range(60)) for k in range(6)] + [" ".join([f"w0-{i}" for i in range(59)] + [f"x{k}"]) for k in range(20)]
+    got = near_copies.distinct_rows(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
+    assert sorted(r.doc_id for r in got.collect()) == list(range(6))
+    assert set(kinds()) - {"edges", "roots"} == {"kept", "rows"}  # and the last, empty edges of each call

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame
 
-from wakeline.llm.common import materialise
+from wakeline.llm.common import discard, materialise
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,7 +13,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round every node hooks to its smallest neighbour, pointers are followed twice, and the edges
     are rewritten to the nodes pointed at; self-loops and repeats go. The graph shrinks at least by
-    half every other round, so the rounds are logarithmic in its size. No rows reach the driver.
+    half every other round, so the rounds are logarithmic in its size. No rows reach the driver, and what a
+    round has written goes with the next.
     """
     rest = materialise(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     found = rest.select(F.col("a").alias("node")).union(rest.select("b")).distinct().withColumn("root", F.col("node"))
@@ -25,7 +26,9 @@ def components(edges: DataFrame) -> DataFrame:
         jump = materialise(two.alias("x").join(near.alias("y"), F.col("x.to") == F.col("y.node")).select("x.node", "y.to"), "jumps")
         a = rest.join(jump, rest.a == jump.node).select(F.col("to").alias("a"), "b")
         b = a.join(jump, a.b == jump.node).select("a", F.col("to").alias("b")).filter("a <> b")
-        rest = materialise(b.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+        less = materialise(b.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
         new = found.join(jump, found.root == jump.node, "left").select(found.node, F.coalesce("to", "root").alias("root"))
-        found = materialise(new, "roots")
+        roots = materialise(new, "roots")
+        discard(rest, near, jump, found)
+        rest, found = less, roots
     return found

@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, Window
 
-from wakeline.llm.common import materialise
+from wakeline.llm.common import discard, materialise
 from wakeline.llm.components import components
 from wakeline.llm.counts import slices
 from wakeline.llm.jaccard import ROUNDS_WHILE, rare_pairs, shingle_sets, verified
@@ -63,9 +63,8 @@ def sketches(rows: DataFrame) -> DataFrame:
     return rows.select("row", F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "row long, doc_id long, key binary, n long, fp long, bands array<long>")
 
 
-def fingerprint_pairs(classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes: those of one fingerprint with the first of them, and a forest of the trie's links between fingerprints."""
-    prints = materialise(classes.groupBy("fp").agg(F.min("node").alias("head")), "prints")
+def fingerprint_pairs(classes: DataFrame, prints: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes: those of one fingerprint with the first of them (prints: fp, head), and a forest of the trie's links between fingerprints."""
     same = classes.join(prints, "fp").filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
     heads = lambda end: prints.select(F.col("fp").alias(end), F.col("head").alias(f"{end}_head"))
     links = near_links(prints).join(heads("a"), "a").join(heads("b"), "b")
@@ -80,18 +79,24 @@ def distinct_rows(docs: DataFrame) -> DataFrame:
     classes = seen.groupBy("key").agg(least.alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
     classes = materialise(classes.select(F.col("first.row").alias("node"), F.col("first.doc_id").alias("doc_id"), "n", "fp", "bands"), "classes")
     every = classes.filter("n > 0").select("node", "n", F.explode("bands").alias("bucket"))
+    discard(seen)
     shared = every.groupBy("bucket").count().filter("count > 1").select("bucket")
     members = materialise(every.join(shared, "bucket"), "members")
-    tried = materialise(fingerprint_pairs(classes), "pairs")
+    prints = materialise(classes.groupBy("fp").agg(F.min("node").alias("head")), "prints")
+    tried = materialise(fingerprint_pairs(classes, prints), "pairs")
+    discard(prints)
     wanted = members.select(F.col("node").alias("row")).unionAll(tried.select("a")).unionAll(tried.select("b")).distinct()
     texts = materialise(rows.join(wanted, "row", "left_semi").select(F.col("row").alias("node"), F.col("text").cast("string").alias("text")), "texts")
     links = materialise(verified(tried, texts, WORDS, LEAST), "links")
 
     def mixed() -> DataFrame:
         """The members of buckets that are not one component yet, with their roots."""
-        rooted = members.join(components(links), "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
+        found = components(links)
+        rooted = members.join(found, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
         several = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
-        return materialise(rooted.join(several, "bucket", "left_semi"), "mixed")
+        out = materialise(rooted.join(several, "bucket", "left_semi"), "mixed")
+        discard(found)
+        return out
 
     def left(open_: DataFrame) -> float:
         each = open_.groupBy("bucket", "root").count().groupBy("bucket").agg(F.sum("count").alias("s"), F.sum(F.col("count") * F.col("count")).alias("q"))
@@ -107,10 +112,15 @@ def distinct_rows(docs: DataFrame) -> DataFrame:
     while rest > ROUNDS_WHILE * open_.count() and rest <= before / 2:
         pivot = open_.groupBy("bucket").agg(F.min_by(F.struct("node", "root"), F.struct(F.xxhash64("node", F.lit(salt)), F.col("node"))).alias("p"))
         compare(open_.join(pivot, "bucket").filter("root <> p.root").select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct())
+        discard(open_)
         open_ = mixed()
         salt, before, rest = salt + 1, rest, left(open_)
-    compare(rare_pairs(open_.groupBy("node").agg(F.first("n").alias("n"), F.first("root").alias("root")), texts, WORDS, LEAST))
+    rare = rare_pairs(open_.groupBy("node").agg(F.first("n").alias("n"), F.first("root").alias("root")), texts, WORDS, LEAST)
+    compare(rare)
+    discard(rare, open_, members, texts)
     named = classes.select("node", "doc_id", F.col("node").alias("row"))
-    named = named.join(components(links), "node", "left").select("doc_id", "row", F.coalesce("root", "node").alias("node"))
-    kept = named.groupBy("node").agg(least.alias("first")).select(F.col("first.row").alias("row"))
+    found = components(links)
+    named = named.join(found, "node", "left").select("doc_id", "row", F.coalesce("root", "node").alias("node"))
+    kept = materialise(named.groupBy("node").agg(least.alias("first")).select(F.col("first.row").alias("row")), "kept")
+    discard(found, classes, links, tried)
     return rows.join(kept, "row", "left_semi").select(*docs.columns)
