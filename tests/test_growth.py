@@ -9,6 +9,7 @@ import pytest
 
 from wakeline.operators import clusters, encounters, entities, fitted, networks, pairs, satellite, sequence, signals, spread
 from wakeline.plans import network_queries
+from wakeline.plans.oracle import distance
 from wakeline.plans.catalog import ORACLES
 from wakeline.plans import score_queries  # isort: skip; after all others
 from wakeline.sources import adapter
@@ -253,3 +254,21 @@ def test_signals_of_each_query_are_written_by_themselves(spark, monkeypatch):
     got = score_queries.every_signal(spark, "", z)
     assert sorted(map(tuple, got.collect())) == [(1, "dark_pair", 30), (1, "duration", 12), (1, "ship", 5), (1, "x", 4), (2, "dark_pair", 30), (2, "duration", 12), (3, "dark_pair", 20)]
     assert len(asked) == 3 and "Join" not in plan(got)
+
+
+def test_straight_days_are_told_to_the_last_bit(spark):
+    """Where way and direct way are one up to the last bit, by the C library's functions, as DuckDB has them."""
+    rng = random.Random(20)
+    rows = [(v, 10 * v + i, 3_600 * i, rng.randrange(0, 200) / 100 if v % 2 else i * rng.randrange(1, 9) / 100, v % 7 / 10) for v in range(1_000) for i in range(3)]
+    rows = [(v, p, t, la if v % 3 else v % 50 / 100 + t / 360_000, lo) for v, p, t, la, lo in rows]
+    con, want = duckdb.connect(), {}
+
+    def exact(p, q):
+        return con.execute(f"SELECT {distance('a', 'b', 'c', 'd')} FROM (SELECT ?::DOUBLE AS a, ?::DOUBLE AS b, ?::DOUBLE AS c, ?::DOUBLE AS d)", [*p, *q]).fetchone()[0]
+
+    for v in range(1_000):
+        a, b, c = [r[3:] for r in rows[3 * v : 3 * v + 3]]
+        way = exact(a, b) + exact(b, c)
+        want[v] = math.floor(100 * exact(a, c) / way) if way > 0 else 0
+    got = networks.segments(spark.createDataFrame(rows, "vessel_id long, point_id long, t long, lat double, lon double"))
+    assert {r.vessel_id: r.straightness for r in got.collect()} == want and {99, 100} < set(want.values())
