@@ -3,12 +3,16 @@
 import math
 import random
 import statistics
+from datetime import datetime, timedelta
+from fractions import Fraction
 
+import duckdb
 import numpy as np
 import pytest
 
 from wakeline.operators import encounters as E
 from wakeline.operators import tracks as K
+from wakeline.plans.catalog import ORACLES, QUERIES
 
 POINTS = "vessel_id long, point_id long, t long, lat double, lon double, sog double"
 PORTS = "port_id int, lat double, lon double"
@@ -135,3 +139,22 @@ def test_dark_pairs_need_reasons(spark):
     assert run(1, 7)[1, 7] == (1, "high", 30, 50_000) and run(1, 7)[2, 7][1] == "high"
     assert (1, 4) not in run(1) and run(1, 4)[1, 4] == (1, "low", 10, 50_000)
     assert E.dark_pairs(gaps, zones, spark.createDataFrame([(1,)], "vessel_id long"), quiet=spark.createDataFrame([(1,), (2,)], "corridor_id int")).collect() == []
+
+
+def test_a_deviation_on_the_limit_is_taken_step_by_step_as_in_the_sql(spark, tmp_path):
+    """Latitudes whose variance is 0.16: only the last bit tells the deviation from the limit of 0.4."""
+    tracks = {5: [306, 249, 325, 314, 302, 261, 374, 315, 254], 8: [267, 210, 286, 275, 263, 222, 335, 276, 215], 3: [80, 143, 106, 154, 169, 122, 199], 9: [54, 117, 80, 128, 143, 96, 173]}
+    turn, rows = pow(7919, -1, 200), []
+    for vessel, lats in tracks.items():
+        for i, lat in enumerate(lats):
+            offset = lat - vessel % 3 * 100
+            rows.append((200 * len(rows) + offset * turn % 200, datetime(2024, 1, 1) + timedelta(hours=5 * i), vessel, "view", 50.0, '{"k": 1}'))
+    names = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    spark.createDataFrame(rows, names).write.parquet(str(tmp_path / "events.parquet"))
+    assert all(statistics.variance(Fraction(x, 100) for x in lats) == Fraction(16, 100) for lats in tracks.values())
+    duck = duckdb.connect()
+    duck.sql(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    want = duck.sql(ORACLES["w10_circle_window"]).fetchall()
+    got = [tuple(r) for r in QUERIES["w10_circle_window"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want)
+    assert {r[0] for r in got} != set(tracks) and got

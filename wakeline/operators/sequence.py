@@ -78,6 +78,18 @@ def forward_window(points: DataFrame, seconds: int, **aggregates: Column) -> Dat
     return points.withColumns({k: v.over(w) for k, v in aggregates.items()})
 
 
+def deviation(values: Column) -> Column:
+    """Sample deviation of an array's numbers, the mean moved from one to the next, step by step as in the SQL: a limit may lie on it up to the last bit."""
+
+    def step(acc, v):
+        n = acc["n"] + 1.0
+        mean = acc["mean"] + (v - acc["mean"]) / n
+        return F.struct(n.alias("n"), mean.alias("mean"), (acc["squares"] + (v - mean) * (v - acc["mean"])).alias("squares"))
+
+    start = F.struct(*(F.lit(0.0).alias(c) for c in ("n", "mean", "squares")))
+    return F.aggregate(values, start, step, lambda acc: F.when(acc["n"] > 1, F.sqrt(acc["squares"] / (acc["n"] - 1.0))))
+
+
 def near_times(df: DataFrame, other: DataFrame, left_t: str, right_t: str, before: int, after: int, key: str = "vessel_id") -> DataFrame:
     """Rows of `df` and `other` with equal key and right_t within [left_t - before, left_t + after], by time buckets."""
     size = max(1, before + after)
