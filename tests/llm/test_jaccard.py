@@ -1,6 +1,7 @@
 """The n-gram Jaccard join against all pairs: bands, empty segments, hot groups, chains, passages; nulls, short texts, repeats."""
 
 import random
+import re
 
 import duckdb
 import numpy as np
@@ -149,3 +150,17 @@ def test_query_matches_sql(spark):
     df = jaccard.op11_jaccard_join(spark, d)
     assert sorted(names) == sorted(df.columns)
     assert sorted(tuple(r) for r in df.select(*names).collect()) == sorted(con.execute(jaccard.ORACLE).fetchall())
+
+
+def test_only_shingles_that_several_nodes_have_are_sorted_by_node(spark, monkeypatch):
+    rng, looks = random.Random(5), []
+    texts = [[f"w{g}_{rng.randrange(400)}" for _ in range(80)] for g in range(3) for _ in range(2)]
+    texts += [[*t[:k], "edit", *t[k + 1 :]] for t in texts[:4] for k in (0, 30, 79)]
+    sets = [shingles(" ".join(t)) for t in texts]
+    nodes = spark.createDataFrame([(i, len(s), i) for i, s in enumerate(sets)], "node long, n long, root long")
+    monkeypatch.setattr(jaccard, "materialise", lambda df, name: looks.append(df) or df)
+    found = {(r.a, r.b) for r in jaccard.rare_pairs(nodes, spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "node long, text string")).collect()}
+    want = {(i, j) for j, b in enumerate(sets) for i, a in enumerate(sets[:j]) if 100 * len(a & b) >= 85 * len(a | b)}
+    assert want and want <= found
+    plan = looks[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("row_number()") < re.search(r"Filter \(+f#\d+L > 1", plan).start()  # printed from the top: the sort by node reads what the filter leaves

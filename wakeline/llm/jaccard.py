@@ -276,8 +276,10 @@ def rare_pairs(nodes: DataFrame, texts: DataFrame, words: int = WORDS, percent:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), node)), pa.array(x.view(np.int64))], ["node", "shingle"])
 
     every = texts.join(nodes.select("node"), "node", "left_semi").select("node", "text").mapInArrow(run, "node long, shingle long")
-    ranked = every.withColumn("f", F.count("*").over(Window.partitionBy("shingle")))
-    ranked = ranked.withColumn("at", F.row_number().over(Window.partitionBy("node").orderBy("f", "shingle")) - 1).filter("f > 1").join(nodes, "node")
+    common = every.withColumn("f", F.count("*").over(Window.partitionBy("shingle"))).filter("f > 1")  # a node's others come first, so their number is enough
+    one = Window.partitionBy("node")
+    ranked = common.withColumns({"r": F.row_number().over(one.orderBy("f", "shingle")), "held": F.count("*").over(one)}).join(nodes, "node")
+    ranked = ranked.withColumn("at", F.col("n") - F.col("held") + F.col("r") - 1)
     n, other = F.col("n"), F.ceil(F.col("n") * percent / 100)
     shared_by = lambda a, b: F.ceil(percent * (a + b) / (100 + percent))
     looks = materialise(ranked.filter(F.col("at") <= n - shared_by(n, other)).select("shingle", "node", "n", "root", "at"), "prefixes")
