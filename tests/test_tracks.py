@@ -158,3 +158,16 @@ def test_a_deviation_on_the_limit_is_taken_step_by_step_as_in_the_sql(spark, tmp
     got = [tuple(r) for r in QUERIES["w10_circle_window"](spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted(want)
     assert {r[0] for r in got} != set(tracks) and got
+
+
+def test_fingerprints_are_joined_by_shuffle(spark):
+    """A covariance counts as one number in Spark's estimate, so prints of many megabytes would go through the driver."""
+    prints = spark.range(9).selectExpr("id as vessel_id", "array_repeat(double(id), 10) as features", "transform(sequence(0, 99), i -> if(i % 11 = 0, 1d, 0d)) as covariance", "true as diagonal")
+    pairs = spark.range(3).selectExpr("id as id_1", "id + 4 as id_2", "50 as score")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = K.fingerprint_bonus(pairs, prints)
+        assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert {(r.id_1, r.id_2, round(r.distance, 6), r.bonus) for r in got.collect()} == {(i, i + 4, round(math.sqrt(160), 6), -5) for i in range(3)}
