@@ -272,3 +272,18 @@ def test_straight_days_are_told_to_the_last_bit(spark):
         want[v] = math.floor(100 * exact(a, c) / way) if way > 0 else 0
     got = networks.segments(spark.createDataFrame(rows, "vessel_id long, point_id long, t long, lat double, lon double"))
     assert {r.vessel_id: r.straightness for r in got.collect()} == want and {99, 100} < set(want.values())
+
+
+def test_days_are_thinned_in_order_with_their_last_report(spark):
+    """A report a little after the start of a slot is left out, the last one is kept; two reports left are a track, and one that stays is straight."""
+    rows = [(1, i, t, la, lo, s) for i, (t, la, lo, s) in enumerate([(0, 0.0, 0.0, 1.0), (1_700, 0.0, 0.1, 2.0), (1_850, 0.0, 0.2, 3.0), (3_620, 0.5, 0.2, None), (3_700, 0.0, 0.3, 5.0), (3_800, 1.0, 0.3, 7.0)])]
+    rows += [(2, 10 + i, 86_400 + 60 * i, 1.0, 1.0, None) for i in range(3)] + [(3, 20, 0, 1.0, 1.0, 1.0), (3, 21, 50, 2.0, 1.0, 1.0)]
+    frame = spark.createDataFrame(rows, "vessel_id long, point_id long, t long, lat double, lon double, sog double")
+    got = {r.vessel_id: r for r in networks.segments(frame).collect()}
+    track = [(0.0, 0.0), (0.0, 0.2), (0.0, 0.3), (1.0, 0.3)]
+    way = sum(miles(p, q) for p, q in zip(track, track[1:]))
+    one = got[1]
+    assert set(got) == {1, 2} and (one.day, one.n, one.seconds, one.straightness) == (0, 4, 3_800, math.floor(100 * miles(track[0], track[-1]) / way))
+    assert (one.nm, one.lat, one.lon, one.mean_sog) == (pytest.approx(way), pytest.approx(0.25), pytest.approx(0.2), pytest.approx(4.0)) and one.bearing == pytest.approx(math.degrees(math.atan2(math.sin(math.radians(0.3)) * math.cos(math.radians(1)), math.sin(math.radians(1)))))
+    two = got[2]
+    assert (two.day, two.n, two.seconds, two.straightness, two.nm, two.mean_sog) == (1, 2, 120, 100, 0.0, 0.0)
