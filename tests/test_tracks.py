@@ -12,6 +12,7 @@ import pytest
 
 from wakeline.operators import encounters as E
 from wakeline.operators import tracks as K
+from wakeline.plans.base import gap_frame
 from wakeline.plans.catalog import ORACLES, QUERIES
 
 POINTS = "vessel_id long, point_id long, t long, lat double, lon double, sog double"
@@ -171,3 +172,12 @@ def test_fingerprints_are_joined_by_shuffle(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert {(r.id_1, r.id_2, round(r.distance, 6), r.bonus) for r in got.collect()} == {(i, i + 4, round(math.sqrt(160), 6), -5) for i in range(3)}
+
+
+def test_dark_pairs_are_of_all_silences(spark):
+    """Four hours together are enough; no silence need last a day."""
+    d = "/root/testdata/sf0.001"
+    got = QUERIES["w20_dark_pairs"](spark, d)
+    brief = gap_frame(spark, d).filter("duration_minutes < 1440").select("gap_id")
+    assert got.join(brief, got.gap_1 == brief.gap_id).count() > 0 and got.filter("end - start < 86400").count() > 0
+    assert got.filter("end - start < 14400").count() == 0
