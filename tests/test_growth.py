@@ -7,7 +7,7 @@ import duckdb
 import pyspark.sql.functions as F
 import pytest
 
-from wakeline.operators import clusters, encounters, entities, fitted, networks, pairs, satellite, sequence, signals, spread
+from wakeline.operators import clusters, encounters, entities, fitted, identity, networks, pairs, satellite, sequence, signals, spread
 from wakeline.plans import network_queries
 from wakeline.plans.oracle import distance
 from wakeline.plans.catalog import ORACLES
@@ -287,3 +287,27 @@ def test_days_are_thinned_in_order_with_their_last_report(spark):
     assert (one.nm, one.lat, one.lon, one.mean_sog) == (pytest.approx(way), pytest.approx(0.25), pytest.approx(0.2), pytest.approx(4.0)) and one.bearing == pytest.approx(math.degrees(math.atan2(math.sin(math.radians(0.3)) * math.cos(math.radians(1)), math.sin(math.radians(1)))))
     two = got[2]
     assert (two.day, two.n, two.seconds, two.straightness, two.nm, two.mean_sog) == (1, 2, 120, 100, 0.0, 0.0)
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_only_reports_with_a_value_in_common_meet(spark, fixed_plans, monkeypatch, strict):
+    rng = random.Random(27)
+    points = [(v, 10 * v + i, rng.randrange(0, 40_000), rng.uniform(0, 0.5), rng.uniform(0, 0.5)) for v in range(30) for i in range(4)]
+    changes = [(v, 10 * v + i, rng.randrange(0, 60_000), rng.choice(["flag", "name"]), rng.randrange(9), rng.choice([None, *range(9)])) for v in range(30) for i in range(5)]
+    sent, meet = [], identity.meetings
+    monkeypatch.setattr(identity, "meetings", lambda *a: (sent.append(meet(*a)), sent[-1])[1])
+    frame = spark.createDataFrame(points, "vessel_id long, point_id long, t long, lat double, lon double")
+    found = identity.identity_swaps(frame, spark.createDataFrame(changes, "vessel_id long, change_id long, t long, field string, value long, old long"), 20_000, 20_000, 12.0, 9_000, strict)
+    want = {}
+    for a in points:
+        for b in points:
+            m = max(a[2], b[2])
+            if a[0] < b[0] and abs(a[2] - b[2]) <= 9_000 and a[2] // 20_000 == b[2] // 20_000 and miles(a[3:], b[3:]) <= 12.0:
+                for c in changes:
+                    for e in changes:
+                        real = c[5] not in (None, c[4]) and e[5] not in (None, e[4]) and c[3] == e[3]
+                        if c[0] == a[0] and e[0] == b[0] and real and m <= c[2] <= m + 20_000 and m <= e[2] <= m + 20_000 and (all if strict else any)((c[5] == e[4], e[5] == c[4])):
+                            want[a[0], b[0], c[3]] = min(m, want.get((a[0], b[0], c[3]), m))
+    assert {(r.vessel_id_1, r.vessel_id_2, r.field): r.met_t for r in found.collect()} == want and want
+    pairs_of = sum(a[0] < b[0] and abs(a[2] - b[2]) <= 9_000 for a in points for b in points)
+    assert sent[0].count() < pairs_of / 4

@@ -6,6 +6,7 @@ import pyspark.sql.functions as F
 from pyspark.sql import Column, DataFrame, Window
 
 from wakeline.functions.geo import haversine_nm
+from wakeline.operators.pairs import meetings
 from wakeline.operators.sequence import by_vessel, near_times
 
 DAY = 86_400
@@ -79,16 +80,24 @@ def receivers_disagree(reports: DataFrame, seconds: int, nm: float, points: int
     return near.filter(haversine_nm("lat_1", "lon_1", "lat_2", "lon_2") > nm).select("vessel_id", "point_id_1", "point_id_2", F.lit(points).alias("points"))
 
 
-def identity_swaps(met: DataFrame, changes: DataFrame, seconds: int, strict: bool = False, points: int = 50) -> DataFrame:
-    """Pairs that met and soon after took over identities: what one gave up is what the other took (strict: and the reverse)."""
-    took = real_changes(changes).select("vessel_id", F.col("t").alias("change_t"), "field", "value", "old")
-    side = lambda k: took.select(F.col("vessel_id").alias(f"vessel_id_{k}"), "field", F.col("change_t").alias(f"change_{k}"), F.col("value").alias(f"new_{k}"), F.col("old").alias(f"old_{k}"))
-    first = near_times(met.select("vessel_id_1", "vessel_id_2", F.greatest("t_1", "t_2").alias("met_t")).distinct(), side(1), "met_t", "change_1", 0, seconds, "vessel_id_1")
-    both = first.join(side(2), ["vessel_id_2", "field"]).filter(F.col("change_2").between(F.col("met_t"), F.col("met_t") + seconds))
-    swap = F.col("old_1") == F.col("new_2")
-    back = F.col("old_2") == F.col("new_1")
-    hits = both.filter(swap & back if strict else swap | back)
-    return hits.groupBy("vessel_id_1", "vessel_id_2", "field").agg(F.min("met_t").alias("met_t")).withColumn("points", F.lit(points))
+def identity_swaps(points: DataFrame, changes: DataFrame, seconds: int, bucket: int, nm: float, apart: int, strict: bool = False, score: int = 50) -> DataFrame:
+    """vessel_id_1 < vessel_id_2, field, met_t, points: pairs that met (as in pairs.meetings) and within `seconds` took over identities: what one gave up is what the other took (strict: and the reverse).
+
+    Each report is joined with its vessel's changes to come, so only reports meet that have a value in common.
+    """
+    took = real_changes(changes).select("vessel_id", F.col("t").alias("change"), "field", F.col("value").alias("new"), "old")
+    near = near_times(points.select("vessel_id", "t", "lat", "lon"), took, "t", "change", 0, seconds + apart)
+
+    def side(gave: str, other: str) -> DataFrame:
+        way = F.array(F.struct(F.lit(0).alias("way"), F.col(gave).alias("shared")), *([] if strict else [F.struct(F.lit(1).alias("way"), F.col(other).alias("shared"))]))
+        return near.withColumn("_x", F.explode(way)).select("*", "_x.*").drop("_x")
+
+    met = meetings(side("old", "new"), bucket, nm, apart, ["change", "new", "old"], ["field", "way", "shared"], side("new", "old"))
+    met = met.withColumn("met_t", F.greatest("t_1", "t_2"))
+    hits = met.filter(F.col("change_1").between(F.col("met_t"), F.col("met_t") + seconds) & F.col("change_2").between(F.col("met_t"), F.col("met_t") + seconds))
+    if strict:
+        hits = hits.filter(F.col("old_2") == F.col("new_1"))
+    return hits.groupBy("vessel_id_1", "vessel_id_2", "field").agg(F.min("met_t").alias("met_t")).withColumn("points", F.lit(score))
 
 
 BLANK = ("", "FOR ORDERS", "TBN", "UNKNOWN", "NONE", "ORDERS")

@@ -6,7 +6,6 @@ import pyspark.sql.functions as F
 
 from wakeline.functions import prefixes as P
 from wakeline.operators import identity as I
-from wakeline.operators import pairs
 from wakeline.plans.base import query
 from wakeline.plans.detector_queries import met
 from wakeline.plans.oracle import distance, sql
@@ -55,7 +54,7 @@ def w26(spark, d):
 @query("w27_identity_swap", met(172_800, 60, 43_200, f"""SELECT m.vessel_id_1, m.vessel_id_2, a.field, min(m.m) AS met_t, 50 AS points FROM (SELECT DISTINCT vessel_id_1, vessel_id_2, greatest(t_1, t_2) AS m FROM met) m JOIN changes a ON a.vessel_id = m.vessel_id_1 AND a.t BETWEEN m.m AND m.m + 864000 JOIN changes b ON b.vessel_id = m.vessel_id_2 AND b.field = a.field AND b.t BETWEEN m.m AND m.m + 864000
   WHERE a.old IS NOT NULL AND a.old <> a.value AND b.old IS NOT NULL AND b.old <> b.value AND (a.old = b.value OR b.old = a.value) GROUP BY 1, 2, 3""", "TRUE", "changes"))
 def w27(spark, d):
-    return I.identity_swaps(pairs.meetings(positions(spark, d), 172_800, 60.0, 43_200), changes(spark, d), 864_000)
+    return I.identity_swaps(positions(spark, d), changes(spark, d), 864_000, 172_800, 60.0, 43_200)
 
 
 @query("w30_flag_hopping", sql(f"""SELECT vessel_id, n_90, n_365, CAST(CASE WHEN EXISTS (SELECT 1 FROM changes f JOIN changes m ON f.vessel_id = m.vessel_id AND m.t BETWEEN f.t - 604800 AND f.t + 604800 WHERE f.vessel_id = h.vessel_id AND f.field = 'flag' AND f.t <= {AS_OF} AND m.field = 'manager' AND f.old <> f.value AND m.old <> m.value)
