@@ -311,3 +311,23 @@ def test_only_reports_with_a_value_in_common_meet(spark, fixed_plans, monkeypatc
     assert {(r.vessel_id_1, r.vessel_id_2, r.field): r.met_t for r in found.collect()} == want and want
     pairs_of = sum(a[0] < b[0] and abs(a[2] - b[2]) <= 9_000 for a in points for b in points)
     assert sent[0].count() < pairs_of / 4
+
+
+def test_only_possible_successors_meet(spark, fixed_plans, monkeypatch):
+    """As by plain loops, of both orders of ids; pairs whose wait does not fit never come together."""
+    rng = random.Random(1)
+    spans = {v: (rng.randrange(0, 3), rng.randrange(5, 9)) for v in range(40)}
+    points = [(v, 10 * v + i, t, rng.uniform(0, 0.4), rng.uniform(0, 0.4)) for v, (a, z) in spans.items() for i, t in enumerate([a * 86_400 + v, *(rng.randrange(a * 86_400 + 50, z * 86_400) for _ in range(6)), z * 86_400 + v])]
+    low, high = -6 * 86_400, -4 * 86_400
+    sent, meet = [], networks.meetings
+    monkeypatch.setattr(networks, "meetings", lambda *a: (sent.append(meet(*a)), sent[-1])[1])
+    frame = spark.createDataFrame(points, "vessel_id long, point_id long, t long, lat double, lon double")
+    got = networks.meetings_of_successors(frame, 86_400, 15.0, 20_000, low, high)
+    first, last = ({v: f(p[2] for p in points if p[0] == v) for v in spans} for f in (min, max))
+    met = {(a[0], b[0]) for a in points for b in points if a[0] < b[0] and a[2] // 86_400 == b[2] // 86_400 and abs(a[2] - b[2]) <= 20_000 and miles(a[3:], b[3:]) <= 15.0}
+    want = {(a, b) for a, b in met if low < first[b] - last[a] <= high}
+    assert {(r.dark_id, r.new_id) for r in got.collect()} == want and 0 < len(want) < len(met) / 2
+    assert {(r.vessel_id_1, r.vessel_id_2) for r in sent[0].select("vessel_id_1", "vessel_id_2").distinct().collect()} < met
+    ships = spark.createDataFrame([(v, "F", "K", 1.0, str(v)) for v in spans], "vessel_id long, flag string, kind string, dwt double, imo string")
+    pairs_of = {(r.dark_id, r.new_id) for r in networks.merge_candidates(frame, ships, (86_400, 15.0, 20_000), low, high).collect()}
+    assert pairs_of == {(a, b) for a in spans for b in spans if a != b and low < first[b] - last[a] <= high} - want
