@@ -331,3 +331,17 @@ def test_only_possible_successors_meet(spark, fixed_plans, monkeypatch):
     ships = spark.createDataFrame([(v, "F", "K", 1.0, str(v)) for v in spans], "vessel_id long, flag string, kind string, dwt double, imo string")
     pairs_of = {(r.dark_id, r.new_id) for r in networks.merge_candidates(frame, ships, (86_400, 15.0, 20_000), low, high).collect()}
     assert pairs_of == {(a, b) for a in spans for b in spans if a != b and low < first[b] - last[a] <= high} - want
+
+
+@pytest.mark.parametrize("grid", [4, 1_000_000])
+def test_reports_of_one_place_are_counted_together(spark, fixed_plans, grid):
+    """As by plain loops, with times on both limits; and no more comes together than places in slots."""
+    rng = random.Random(grid)
+    rows = [(i, i % 17, rng.randrange(0, 40) * 300, rng.randrange(grid) / grid, rng.randrange(grid) / grid) for i in range(400)]
+    frame = spark.createDataFrame(rows, "point_id long, vessel_id long, t long, lat double, lon double")
+    got = pairs.counts_near(frame.filter("point_id % 5 = 0"), frame, 20.0, 1_800)
+    want = {a[0]: sum(a[1] != b[1] and abs(a[2] - b[2]) <= 1_800 and miles(a[3:], b[3:]) <= 20.0 for b in rows) for a in rows if a[0] % 5 == 0}
+    assert {r.point_id: r.near for r in got.collect()} == {k: n for k, n in want.items() if n}
+    assert any(abs(a[2] - b[2]) == 1_800 for a in rows for b in rows)
+    times = 1_800 // 300  # reports of one place and slot
+    assert grid > 4 or plan(got).count("SortMergeJoin") == 2 and frame.selectExpr("lat", "lon", "floor(t / 1800)").distinct().count() < len(rows) / (times / 3)

@@ -88,9 +88,7 @@ def j1(spark, d):
   WHERE a.nav_status = 15 AND {distance('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 20 GROUP BY 1""", "pos"))
 def j6(spark, d):
     p = positions(spark, d)
-    side = lambda df, k, *more: df.select(*more, F.col("vessel_id").alias(f"vessel_{k}"), *(F.col(c).alias(f"{c}_{k}") for c in ("t", "lat", "lon")))
-    near = pairs.near_in_space_and_time(side(p, 1), side(p.filter("nav_status = 15"), 2, "point_id"), 20.0, 10_800).filter("vessel_1 <> vessel_2")
-    return near.groupBy("point_id").agg(F.count("*").alias("near"))
+    return pairs.counts_near(p.filter("nav_status = 15"), p, 20.0, 10_800)
 
 
 @query("m9_condition_sessions", sql("""SELECT vessel_id, min(t) AS session_start, max(t) AS session_end, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY vessel_id ORDER BY t, point_id ROWS UNBOUNDED PRECEDING) AS s FROM
